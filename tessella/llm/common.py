@@ -29,14 +29,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors."""
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. The shuffle files behind it go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     for k, v in options.items():
         writer = writer.option(k, v)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ hash in each window (leftmost on ties) is chosen by content alone, so equal wind
 2. In each text, windows about the grams left are ordered by radix passes within a batch; those not first in it are
    marked at once, and only the first travel, with their bytes, to where all with their gram meet.
 3. There the passes are repeated in order of place, and windows not first are marked. Groups larger than a batch go on
-   with their first windows only.
+   with their first windows only; windows about very frequent grams are dealt out by their full-depth digits.
 4. Marks are united by document and applied.
 
 Digits are compared by 64-bit hashes over positions (odd multiplier, random values per byte), about 2^-64 per pair.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, partitions
+from .common import only, partitions, written
 
 WINDOW, GRAM = 100, 32
 DIGITS = ((0, 32), (32, 66), (66, 100))
@@ -211,7 +211,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 same = slice(lo, int(np.searchsorted(pieces, pieces[lo], side="right")))
                 shift = p.base[pieces[lo]] - p.starts[pieces[lo]]
                 spans = np.stack([a[same] + shift, b[same] + WINDOW + shift], axis=1).reshape(-1)
-                put(int(gram[0]) + lo, int(pieces[lo]), None, None, spans.tolist())
+                put(None, int(pieces[lo]), None, None, spans.tolist())
         new = np.ones(len(windows), bool)
         new[later] = False
         run = np.repeat(np.arange(len(n)), n)[new]
@@ -226,7 +226,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _context_rows in order of (gram, did, hash, start) -> (did, hash, spans)."""
+    """(gram, did, hash, start, bytes) in order of all but bytes -> (did, hash, spans)."""
 
     def marks(rows: list[tuple], fresh: int) -> tuple[list[tuple[int, int, list[int]]], list[tuple]]:
         """Marks of rows[fresh:], and the rows that hold a first window."""
@@ -262,11 +262,7 @@ def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     fresh = size = 0
     for b in batches:
-        passed = []
         for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-            if row[5] is not None:
-                passed.append((row[1], row[2], row[5]))
-                continue
             if size >= BATCH:
                 out, firsts = marks(rows, fresh)
                 if out:
@@ -276,12 +272,25 @@ def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fresh, size = len(rows), 0
             rows.append(row)
             size += len(row[4])
-        if passed:
-            yield batch(passed)
     if len(rows) > fresh:
         yield batch(marks(rows, fresh)[0])
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(did, hash, start, bytes) -> two full-depth digits, did, hash and start of each window."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 5000):
+            did, h, start, data = (b.slice(lo, 5000).column(i).to_pylist() for i in range(4))
+            n = np.array([len(x) for x in data], np.int64)
+            at, m = np.append(0, np.cumsum(n)[:-1]), n - WINDOW + 1
+            within = np.arange(m.sum()) - np.repeat(np.append(0, np.cumsum(m)[:-1]), m)
+            windows, text = np.repeat(at, m) + within, Text(np.frombuffer(b"".join(data), np.uint8))
+            one = text.hashes(windows, 0, WINDOW)
+            two = _mixed(text.hashes(windows, 0, 50) * _ODD + text.hashes(windows, 50, WINDOW))
+            cols = [one.view(np.int64), two.view(np.int64), np.repeat(np.array(did, np.int64), m), np.repeat(np.array(h, np.int64), m), np.repeat(np.array(start, np.int64), m) + within]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w1", "w2", "did", "hash", "start"])
+
+
 def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(zip((spans or [])[::2], (spans or [])[1::2])):
@@ -292,8 +301,12 @@ def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans). texts: did, hash, bytes of each row; spans: did, hash, spans (starts and ends by turns, unordered) of the documents that lose bytes."""
+def repeated_spans(docs: DataFrame, crowd: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans). texts: did, hash, bytes of each row; spans: did, hash, spans (starts and ends by turns, unordered) of the documents that lose bytes.
+
+    The windows about a gram with more than ``crowd`` contexts (a short line that very many texts share) go on by their
+    full-depth digits instead of by the gram, pre-aggregated, so that none meets the others of its gram in one task.
+    """
     n = partitions(docs.sparkSession)
     texts = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
     long = texts.where(F.octet_length("bytes") >= WINDOW)
@@ -302,10 +315,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     local = long.mapInArrow(_anchor_rows(True), "did long, grams array<bigint>")
     grams = several.union(local).groupBy("did").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     about = texts.join(grams.withColumnRenamed("did", "g"), F.col("did") == F.col("g")).select("did", "hash", "bytes", "grams")
-    contexts = about.mapInArrow(_context_rows, "gram long, did long, hash long, start long, bytes binary, spans array<bigint>")
-    met = contexts.repartition(n, "gram").sortWithinPartitions("gram", "did", "hash", "start")
+    found = written(about.mapInArrow(_context_rows, "gram long, did long, hash long, start long, bytes binary, spans array<bigint>"), "dedup-contexts")
+    contexts = found.where("bytes IS NOT NULL").drop("spans")
+    hot = written(contexts.groupBy(F.col("gram").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"), "dedup-hot")
+    met = contexts.join(hot, F.col("gram") == F.col("h"), "left_anti").repartition(n, "gram").sortWithinPartitions("gram", "did", "hash", "start")
     marks = met.mapInArrow(_mark_rows, "did long, hash long, spans array<bigint>")
-    return texts, marks.groupBy("did", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    windows = contexts.join(hot, F.col("gram") == F.col("h"), "left_semi").select("did", "hash", "start", "bytes").mapInArrow(_window_rows, "w1 long, w2 long, did long, hash long, start long")
+    me = F.struct("did", "hash", "start")
+    first = windows.groupBy(F.col("w1").alias("f1"), F.col("w2").alias("f2")).agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(me != F.col("first")).select("did", "hash", F.array(F.col("start"), F.col("start") + WINDOW).alias("spans"))
+    every = marks.unionByName(later).unionByName(found.where("spans IS NOT NULL").select("did", "hash", "spans"))
+    return texts, every.groupBy("did", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ Texts with runs of white space after a space, or with the string of a special to
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,31 +28,52 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 class WordEncoder:
-    """most: words and pieces kept; beyond it only the words of the texts at hand stay."""
+    """most: words kept in memory; beyond it only those of the last batches stay."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut, self.odd = regex.compile(PIECES).findall, regex.compile(r" \s|\s$|^\s").search
-        self.words: dict[str, bytes] = {}
-        self.starts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.cut, self.odd = regex.compile(PIECES).findall, re.compile(r" \s").search
+        self.words: dict[str, bytes] = {}  # " " + key
+        self.starts: dict[str, bytes] = {}  # key itself
+        self.recent: deque[set[str]] = deque(maxlen=8)
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, new: list[str], prefix: str, into: dict[str, bytes]) -> None:
-        cut = [self.cut(prefix + w) for w in new]
-        if len(self.pieces) > self.most:
-            self.pieces = {}
-        unseen = [p for p in set().union(*cut) if p not in self.pieces]
-        self.pieces.update(zip(unseen, self.whole(unseen)))
-        got = self.pieces.__getitem__
-        into.update((w, got(p[0]) if len(p) == 1 else b"".join(map(got, p))) for w, p in zip(new, cut))
+    def _learn(self, words: list[str], starts: set[str]) -> None:
+        """Ids of these, from those of the pieces they are made of."""
+        mixed: list[tuple[str, str, list[str]]] = []
+        w1, s1 = set(), set()
+        for w in words:
+            if w.isalpha():
+                w1.add(w)
+            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
+                mixed.append(("", w, [" " + w[:-1], w[-1]]))
+            else:
+                mixed.append(("", w, self.cut(" " + w)))
+        mixed += [(w, "", self.cut(w)) for w in starts]
+        for _, _, pieces in mixed:
+            for p in pieces:
+                if p[0] == " ":
+                    if p[1:] not in self.words:
+                        w1.add(p[1:])
+                elif p not in self.starts:
+                    s1.add(p)
+        new = list(w1)
+        self.words.update(zip(new, self.whole([" " + w for w in new])))
+        new = list(s1)
+        self.starts.update(zip(new, self.whole(new)))
+        for start, word, pieces in mixed:
+            ids = b"".join([self.words[p[1:]] if p[0] == " " else self.starts[p] for p in pieces])
+            if start:
+                self.starts[start] = ids
+            else:
+                self.words[word] = ids
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
@@ -60,7 +83,7 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif self.odd(t) or any(s in t for s in self.special):
+            elif t[0].isspace() or t[-1].isspace() or self.odd(t) or any(s in t for s in self.special):
                 odd.append(i)
             else:
                 plain.append((i, t.split(" ")))
@@ -68,14 +91,12 @@ class WordEncoder:
             out[i] = np.frombuffer(ids, np.uint32)
         first = {p[0] for _, p in plain}
         rest = set().union(*(p[1:] for _, p in plain)) if plain else set()
+        self.recent.append(rest)
         if len(self.words) > self.most:
-            self.words = {w: self.words[w] for w in rest if w in self.words}
-        if len(self.starts) > self.most:
+            self.words = {w: self.words[w] for w in set().union(*self.recent) if w in self.words}
+        if len(self.starts) > self.most // 4:
             self.starts = {}
-        if new := [w for w in first if w not in self.starts]:
-            self._learn(new, "", self.starts)
-        if new := [w for w in rest if w not in self.words]:
-            self._learn(new, " ", self.words)
+        self._learn(list(rest.difference(self.words)), first.difference(self.starts))
         got = self.words.__getitem__
         for i, p in plain:
             out[i] = np.frombuffer(self.starts[p[0]] + b"".join(map(got, p[1:])), np.uint32)
