@@ -7,12 +7,13 @@ All windows of a group but the earliest (doc_id, then place) mark their bytes.
 So that not every suffix has to move, the first distributed pass goes over synchronised places: the ``gram`` of least
 hash in each window (leftmost on ties) is chosen by content alone, so equal windows hold equal grams at the same place.
 
+0. Documents that equal an earlier one as a whole are marked whole.
 1. Anchors: the chosen grams of all texts; within a batch each different gram counts once, so a gram of any frequency is
    one row a batch. Grams that occur once in all are dropped.
-2. In each text, windows about the grams left are ordered by radix passes within a batch; those not first in it are
-   marked at once, and only the first travel, with their bytes, to where all with their gram meet.
-3. There the passes are repeated in order of place, and windows not first are marked. Groups larger than a batch go on
-   with their first windows only; windows about very frequent grams are dealt out by their full-depth digits.
+2. The runs of windows about the grams left travel, with their bytes, to where all with their gram meet; of runs over
+   equal bytes only the first in a batch does, and the others are marked at once.
+3. There windows are ordered by radix passes, and those not first in their group are marked. Windows about very frequent
+   grams are dealt out by their full-depth digits instead.
 4. Marks are united by document and applied.
 
 Digits are compared by 64-bit hashes over positions (odd multiplier, random values per byte), about 2^-64 per pair.
@@ -36,7 +37,7 @@ from .common import only, partitions, written
 
 WINDOW, GRAM = 100, 32
 DIGITS = ((0, 32), (32, 66), (66, 100))
-BATCH, SEGMENT, PLACE = 4_000_000, 8_000_000, 28
+BATCH, SEGMENT, PLACE = 2_000_000, 8_000_000, 28
 NO_ID = -(1 << 63)
 _BASE, _ODD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -117,12 +118,6 @@ def radix_groups(text: Text, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return alive, alive[at][inverse]
 
 
-def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive ascending places."""
-    cut = np.flatnonzero(np.diff(places) != 1)
-    return places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)]
-
-
 class Pieces:
     """Texts laid end to end in order of (doc_id, text hash); long ones as overlapping segments."""
 
@@ -182,8 +177,23 @@ def _anchor_rows(local: bool):
     return rows
 
 
+def _spans(did: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """A row (did, hash, [start, stop]) for each."""
+    flat = np.stack([start, stop], axis=1).reshape(-1).astype(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
+    return pa.RecordBatch.from_arrays([pa.array(did), pa.array(h), lists], names=["did", "hash", "spans"])
+
+
+def _same_runs(text: Text, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each run of windows first .. last, the number of the earliest run over equal bytes."""
+    low, high = text.hashes(first, 0, WINDOW), text.hashes(last, 0, WINDOW)
+    key = _mixed(low * _ODD + high) ^ (last - first).astype(np.uint64)
+    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return at[inverse]
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, hash, text, grams) -> rows (gram, did, hash, start, bytes) of windows first in their batch, and rows with marks (spans: start and end by turns)."""
+    """(did, hash, text, grams) -> rows (gram, did, hash, start, bytes) of the windows about those grams; of runs over equal bytes only the first in the batch travels, the others become rows with marks (spans)."""
     for docs in _batched(batches):
         grams = [np.array(d[3], np.int64) for d in docs if d[3]]
         if not grams:
@@ -193,87 +203,69 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         first, last, gram = p.first[keep], p.last[keep], p.hash[keep].view(np.int64)
         if not len(first):
             continue
-        n = last - first + 1
-        windows = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        again, earliest = radix_groups(p.text, windows)
-        later = again[again != earliest]
-        out = {k: [] for k in ("gram", "did", "hash", "start", "bytes", "spans")}
-
-        def put(gram: int | None, piece: int, start: int | None, data: bytes | None, spans: list[int] | None) -> None:
-            did, h, _ = p.docs[p.doc[piece]]
-            for k, v in zip(out, (gram, did, h, start, data, spans)):
-                out[k].append(v)
-
-        if len(later):
-            a, b = _runs(windows[later])
-            pieces = p.piece(a)
-            for lo in np.flatnonzero(np.diff(pieces, prepend=-1)).tolist():
-                same = slice(lo, int(np.searchsorted(pieces, pieces[lo], side="right")))
-                shift = p.base[pieces[lo]] - p.starts[pieces[lo]]
-                spans = np.stack([a[same] + shift, b[same] + WINDOW + shift], axis=1).reshape(-1)
-                put(None, int(pieces[lo]), None, None, spans.tolist())
-        new = np.ones(len(windows), bool)
-        new[later] = False
-        run = np.repeat(np.arange(len(n)), n)[new]
-        if len(run):
-            heads = np.flatnonzero(np.diff(run, prepend=-1))
-            tails = np.append(heads[1:], len(run)) - 1
-            places = windows[new]
-            buffer = p.data.tobytes()
-            for r, a, b, piece in zip(run[heads].tolist(), places[heads].tolist(), places[tails].tolist(), p.piece(places[heads]).tolist()):
-                put(int(gram[r]), piece, a - int(p.starts[piece]) + p.base[piece], buffer[a : b + WINDOW], None)
-        yield pa.RecordBatch.from_arrays([pa.array(out["gram"], pa.int64()), pa.array(out["did"], pa.int64()), pa.array(out["hash"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["bytes"], pa.binary()), pa.array(out["spans"], pa.list_(pa.int64()))], names=list(out))
+        piece = p.piece(first)
+        doc = np.array(p.doc, np.int64)[piece]
+        did, h = (np.array([d[i] for d in p.docs], np.int64)[doc] for i in (0, 1))
+        shift = np.array(p.base, np.int64)[piece] - p.starts[piece]
+        new = _same_runs(p.text, first, last) == np.arange(len(first))
+        old = ~new
+        marks = _spans(did[old], h[old], (first + shift)[old], (last + shift)[old] + WINDOW)
+        buffer, nulls = p.data.tobytes(), old.sum()
+        data = pa.array([buffer[a:b] for a, b in zip(first[new].tolist(), (last[new] + WINDOW).tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(gram[new]), pa.array(did[new]), pa.array(h[new]), pa.array((first + shift)[new]), data, pa.nulls(int(new.sum()), pa.list_(pa.int64()))], names=["gram", "did", "hash", "start", "bytes", "spans"])
+        if nulls:
+            none = [pa.nulls(int(nulls), pa.int64()), marks.column(0), marks.column(1), pa.nulls(int(nulls), pa.int64()), pa.nulls(int(nulls), pa.binary()), marks.column(2)]
+            yield pa.RecordBatch.from_arrays(none, names=["gram", "did", "hash", "start", "bytes", "spans"])
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, did, hash, start, bytes) in order of all but bytes -> (did, hash, spans)."""
-
-    def marks(rows: list[tuple], fresh: int) -> tuple[list[tuple[int, int, list[int]]], list[tuple]]:
-        """Marks of rows[fresh:], and the rows that hold a first window."""
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        n = np.array([len(r[4]) for r in rows], np.int64)
-        at = np.append(0, np.cumsum(n)[:-1])
-        m = n - WINDOW + 1
+    """(gram, did, hash, start, bytes) in order of all but bytes -> (did, hash, spans). All rows of a gram are judged together."""
+
+    def marks(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        did, h, start = (t.column(i).to_numpy() for i in (1, 2, 3))
+        data = t.column(4).to_pylist()
+        n = np.array([len(x) for x in data], np.int64)
+        text, at = Text(np.frombuffer(b"".join(data), np.uint8)), np.append(0, np.cumsum(n)[:-1])
+        earliest = _same_runs(text, at, at + n - WINDOW)
+        own = (did == did[earliest]) & (h == h[earliest]) & (start == start[earliest])
+        again = (earliest != np.arange(len(n))) & ~own
+        if again.any():
+            yield _spans(did[again], h[again], start[again], start[again] + n[again])
+        # of each bytes one row is left; its windows are compared one by one
+        left = np.flatnonzero(earliest == np.arange(len(n)))
+        m = n[left] - WINDOW + 1
         before = np.append(0, np.cumsum(m)[:-1])
-        windows = np.repeat(at - before, m) + np.arange(m.sum())
-        again, earliest = radix_groups(Text(data), windows)
-        owner = np.repeat(np.arange(len(rows)), m)
-        key = np.array([r[1:3] for r in rows], np.int64).reshape(-1, 2)
-        start = np.array([r[3] for r in rows], np.int64)
-        a, b = owner[again], owner[earliest]
-        same = (key[a] == key[b]).all(1) & (start[a] + again - before[a] == start[b] + earliest - before[b])
-        later = again[(again != earliest) & ~same & (a >= fresh)]
-        out = []
+        within = np.arange(m.sum()) - np.repeat(before, m)
+        owner = np.repeat(left, m)
+        some, first = radix_groups(text, at[owner] + within)
+        later = some[some != first]
+        if len(later):
+            first = first[some != first]
+            a, b = owner[later], owner[first]
+            other = (did[a] != did[b]) | (h[a] != h[b]) | (start[a] + within[later] != start[b] + within[first])
+            later = later[other]
         if len(later):
-            rows_of = owner[later]
-            for lo in np.flatnonzero(np.diff(rows_of, prepend=-1)).tolist():
-                r = int(rows_of[lo])
-                mine = later[lo : int(np.searchsorted(rows_of, r, side="right"))]
-                x, y = _runs(mine - before[r] + rows[r][3])
-                out.append((rows[r][1], rows[r][2], np.stack([x, y + WINDOW], axis=1).reshape(-1).tolist()))
-        firsts = np.ones(len(windows), bool)
-        firsts[again[again != earliest]] = False
-        return out, [rows[r] for r in np.unique(owner[firsts]).tolist()]
-
-    def batch(out: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], names=["did", "hash", "spans"])
-
-    rows: list[tuple] = []
-    fresh = size = 0
+            r, w = owner[later], within[later]
+            cut = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
+            end = np.append(cut[1:], len(later)) - 1
+            yield _spans(did[r[cut]], h[r[cut]], start[r[cut]] + w[cut], start[r[cut]] + w[end] + WINDOW)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+        for lo in range(0, b.num_rows, 10_000):
+            held.append(b.slice(lo, 10_000))
+            size += held[-1].column(4).nbytes
             if size >= BATCH:
-                out, firsts = marks(rows, fresh)
-                if out:
-                    yield batch(out)
-                # a group that goes on keeps its first windows
-                rows = [r for r in firsts if r[0] == row[0]] if rows[-1][0] == row[0] else []
-                fresh, size = len(rows), 0
-            rows.append(row)
-            size += len(row[4])
-    if len(rows) > fresh:
-        yield batch(marks(rows, fresh)[0])
+                t = pa.Table.from_batches(held)
+                gram = t.column(0).to_numpy()
+                cut = int(np.searchsorted(gram, gram[-1]))
+                if cut:
+                    yield from marks(t.slice(0, cut))
+                    held = t.slice(cut).combine_chunks().to_batches()
+                size = sum(x.column(4).nbytes for x in held) if cut else 0
+    if held and sum(x.num_rows for x in held):
+        yield from marks(pa.Table.from_batches(held))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +301,17 @@ def repeated_spans(docs: DataFrame, crowd: int = 512) -> tuple[DataFrame, DataFr
     """
     n = partitions(docs.sparkSession)
     texts = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    long = texts.where(F.octet_length("bytes") >= WINDOW)
+    # a document of the same bytes as an earlier one loses them all, and takes no part in the search
+    sized = texts.select("did", F.sha2("bytes", 256).alias("sha"), "hash", F.octet_length("bytes").alias("n")).where(F.col("n") >= WINDOW)
+    originals = sized.groupBy("sha").agg(F.min("did").alias("first"))
+    copies = written(sized.join(originals.withColumnRenamed("sha", "s"), F.col("sha") == F.col("s")).where(F.col("did") != F.col("first")).select("did", "hash", "n").distinct(), "dedup-copies")
+    gone = copies.select(F.col("did").alias("c_did"), F.col("hash").alias("c_hash"))
+    long = texts.where(F.octet_length("bytes") >= WINDOW).join(gone, (F.col("did") == F.col("c_did")) & (F.col("hash").bitwiseXOR(F.col("c_hash")) == 0), "left_anti")
     once = long.mapInArrow(_anchor_rows(False), "gram long, did long").repartition(n, "gram")
     several = once.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1").select("did", F.array("gram").alias("grams"))
     local = long.mapInArrow(_anchor_rows(True), "did long, grams array<bigint>")
     grams = several.union(local).groupBy("did").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    about = texts.join(grams.withColumnRenamed("did", "g"), F.col("did") == F.col("g")).select("did", "hash", "bytes", "grams")
+    about = long.join(grams.withColumnRenamed("did", "g"), F.col("did") == F.col("g")).select("did", "hash", "bytes", "grams")
     found = written(about.mapInArrow(_context_rows, "gram long, did long, hash long, start long, bytes binary, spans array<bigint>"), "dedup-contexts")
     contexts = found.where("bytes IS NOT NULL").drop("spans")
     hot = written(contexts.groupBy(F.col("gram").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"), "dedup-hot")
@@ -323,8 +320,9 @@ def repeated_spans(docs: DataFrame, crowd: int = 512) -> tuple[DataFrame, DataFr
     windows = contexts.join(hot, F.col("gram") == F.col("h"), "left_semi").select("did", "hash", "start", "bytes").mapInArrow(_window_rows, "w1 long, w2 long, did long, hash long, start long")
     me = F.struct("did", "hash", "start")
     first = windows.groupBy(F.col("w1").alias("f1"), F.col("w2").alias("f2")).agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(me != F.col("first")).select("did", "hash", F.array(F.col("start"), F.col("start") + WINDOW).alias("spans"))
-    every = marks.unionByName(later).unionByName(found.where("spans IS NOT NULL").select("did", "hash", "spans"))
+    later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(me != F.col("first")).select("did", "hash", F.array(F.col("start"), F.col("start") + F.lit(WINDOW).cast("long")).alias("spans"))
+    whole = copies.select("did", "hash", F.array(F.lit(0).cast("long"), F.col("n").cast("long")).alias("spans"))
+    every = marks.unionByName(later).unionByName(whole).unionByName(found.where("spans IS NOT NULL").select("did", "hash", "spans"))
     return texts, every.groupBy("did", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
