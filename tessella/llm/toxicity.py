@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
                 out.append((quiet, known))
             yield pd.DataFrame({"toxic": b["toxic"], "quiet": [q for q, _ in out], "known": [k for _, k in out]})
 
-    rows = picked.mapInPandas(bags, "toxic int, quiet int, known array<array<int>>").orderBy(F.xxhash64("quiet", "known", "toxic")).collect()  # at most ``sample`` rows
+    rows = picked.mapInPandas(bags, "toxic int, quiet int, known array<array<int>>").collect()  # at most ``sample`` rows
+    rows.sort(key=lambda r: (r.toxic, r.quiet, r.known))  # sums don't hang on the order of tasks
     start = np.clip(np.array([r.odds for r in best]), 0, 6) * 0.5
     weights, bias, leak = _fit([(r.toxic, r.quiet, r.known) for r in rows], len(names), start)
     return Model({w: float(x) for w, x in zip(names, weights) if abs(x) >= 0.3}, bias, leak)
