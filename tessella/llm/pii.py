@@ -13,6 +13,8 @@ SQL functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ DAYS, FIRST = (189, 773), "1800-01-01"
 ROUNDS = 8
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _chars(s: Column) -> Column:
     return F.split(s, "")
 
@@ -49,9 +56,13 @@ def _shifted(s: Column, mask: Column) -> Column:
 
 def feistel(s: Column, key: Column) -> Column:
     """A permutation of the ASCII strings with the same class of character in each place."""
+    return let(s, lambda v: _feistel(v, key))
+
+
+def _feistel(s: Column, key: Column) -> Column:
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
-    turn = lambda x, r: F.struct(x["b"].alias("a"), _shifted(x["a"], F.xxhash64(key, r, F.length(s), x["b"])).alias("b"))
+    turn = lambda x, r: F.struct(x["b"].alias("a"), let(F.xxhash64(key, r, F.length(s), x["b"]), lambda mask: _shifted(x["a"], mask)).alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda x: F.concat(x["a"], x["b"]))
 
 
@@ -60,7 +71,9 @@ def feistel_number(n: Column, left: int, right: int, key: Column) -> Column:
     start = F.struct(F.floor(n / right).cast("long").alias("a"), F.pmod(n, F.lit(right)).cast("long").alias("b"))
 
     def turn(x: Column, r: Column) -> Column:
-        a = F.pmod(x["a"] + F.pmod(F.xxhash64(key, r, x["b"]), F.lit(left)), F.lit(left))
+        return let(F.pmod(x["a"] + F.pmod(F.xxhash64(key, r, x["b"]), F.lit(left)), F.lit(left)), lambda a: second(x, r, a))
+
+    def second(x: Column, r: Column, a: Column) -> Column:
         return F.struct(a.cast("long").alias("a"), F.pmod(x["b"] + F.pmod(F.xxhash64(key, -r, a.cast("long")), F.lit(right)), F.lit(right)).cast("long").alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn, lambda x: x["a"] * right + x["b"])
@@ -68,6 +81,10 @@ def feistel_number(n: Column, left: int, right: int, key: Column) -> Column:
 
 def _luhn_sum(digits: Column, odd: int) -> Column:
     """Luhn sum of a string of digits; odd: 1 if the last digit is doubled."""
+    return let(digits, lambda v: _luhn(v, odd))
+
+
+def _luhn(digits: Column, odd: int) -> Column:
     n = F.length(digits)
 
     def add(acc: Column, i: Column) -> Column:
@@ -79,6 +96,10 @@ def _luhn_sum(digits: Column, odd: int) -> Column:
 
 
 def _mod97(s: Column) -> Column:
+    return let(s, _mod97_of)
+
+
+def _mod97_of(s: Column) -> Column:
     turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
 
     def add(acc: Column, c: Column) -> Column:
@@ -89,6 +110,10 @@ def _mod97(s: Column) -> Column:
 
 def _refilled(shape: Column, chars: Column) -> Column:
     """shape with its letters and digits replaced in order by those of chars."""
+    return let(chars, lambda v: _refilled_by(shape, v))
+
+
+def _refilled_by(shape: Column, chars: Column) -> Column:
     start = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
 
     def put(x: Column, c: Column) -> Column:
@@ -99,34 +124,41 @@ def _refilled(shape: Column, chars: Column) -> Column:
 
 
 def _card(m: Column, key: Column) -> Column:
-    digits = F.regexp_replace(m, "[^0-9]", "")
-    body = feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key)
-    check = F.pmod(10 - _luhn_sum(body, 1) % 10, F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits, 0) % 10 == 0, _refilled(m, F.concat(body, check)))
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(10 - _luhn_sum(body, 1) % 10, F.lit(10)).cast("string"))
+
+    def made(digits: Column) -> Column:
+        return F.when(_luhn_sum(digits, 0) % 10 == 0, _refilled(m, let(feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key), checked)))
+
+    return let(F.regexp_replace(m, "[^0-9]", ""), made)
 
 
 def _iban(m: Column, key: Column) -> Column:
-    plain = F.regexp_replace(m, " ", "")
-    body = feistel(F.substring(plain, F.lit(5), F.length(plain)), key)
-    check = F.lpad((98 - _mod97(F.concat(F.substring(plain, 1, 2), F.lit("00"), body))).cast("string"), 2, "0")
-    return F.when((F.length(plain) >= 15) & (_mod97(plain) == 1), _refilled(m, F.concat(F.substring(plain, 1, 2), check, body)))
+    def made(plain: Column) -> Column:
+        land = F.substring(plain, 1, 2)
+        checked = lambda body: F.concat(land, F.lpad((98 - _mod97(F.concat(land, F.lit("00"), body))).cast("string"), 2, "0"), body)
+        return F.when((F.length(plain) >= 15) & (_mod97(plain) == 1), _refilled(m, let(feistel(F.substring(plain, F.lit(5), F.length(plain)), key), checked)))
+
+    return let(F.regexp_replace(m, " ", ""), made)
 
 
 def _ip(m: Column, key: Column) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
-    out = feistel_number(number, 65536, 65536, key)
-    dotted = F.concat_ws(".", *[(F.floor(out / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)])
-    return F.when(~F.exists(octets, lambda o: o > 255), dotted)
+    dotted = lambda n: F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)])
+
+    def made(octets: Column) -> Column:
+        number = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
+        return F.when(~F.exists(octets, lambda o: o > 255), let(feistel_number(number, 65536, 65536, key), dotted))
+
+    return let(F.transform(F.split(m, r"\."), lambda o: o.cast("long")), made)
 
 
 def _date(m: Column, key: Column) -> Column:
     iso = F.regexp_like(m, F.lit("^[0-9]{4}-"))
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(m, r"\.", "/"), "dd/MM/yyyy"))
-    n = F.datediff(day, F.lit(FIRST).cast("date"))
-    new = F.date_add(F.lit(FIRST).cast("date"), feistel_number(n.cast("long"), *DAYS, key).cast("int"))
-    dmy = F.concat(F.date_format(new, "dd"), F.substring(m, 3, 1), F.date_format(new, "MM"), F.substring(m, 3, 1), F.date_format(new, "yyyy"))
-    return F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(dmy))
+    first, sep = F.lit(FIRST).cast("date"), F.substring(m, 3, 1)
+    written = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy")))
+    made = lambda n: F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), let(F.date_add(first, feistel_number(n.cast("long"), *DAYS, key).cast("int")), written))
+    return let(F.datediff(day, first), made)
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -149,9 +181,13 @@ MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phon
 
 
 def _replacement(m: Column, key: str) -> Column:
-    """struct<kind, value> for a match: the first kind whose whole pattern it is and whose test it passes, else nulls."""
-    made = [F.when(F.regexp_like(m, F.lit(f"^(?:{p})$")), F.when(MAKERS[k](m, F.lit(f"{key}/{k}")).isNotNull(), F.struct(F.lit(k).alias("kind"), MAKERS[k](m, F.lit(f"{key}/{k}")).alias("value")))) for k, p in KINDS.items()]
-    return F.coalesce(*made)
+    """struct<kind, value> for a match: the first kind whose whole pattern it is and whose test it passes, else null."""
+
+    def made(kind: str, pattern: str) -> Column:
+        as_kind = lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        return F.when(F.regexp_like(m, F.lit(f"^(?:{pattern})$")), let(MAKERS[kind](m, F.lit(f"{key}/{kind}")), as_kind))
+
+    return F.coalesce(*[made(k, p) for k, p in KINDS.items()])
 
 
 def found(docs: DataFrame, key: str = "tessella") -> DataFrame:
