@@ -58,23 +58,22 @@ def _pair(word: Column, i: Column) -> Column:
     return at(i) * SIDE + at(i + 1)
 
 
-def train(docs: DataFrame, sample: int = 20_000, smoothing: float = 0.5) -> list[float]:
+def train(docs: DataFrame, sample: int = 20_000, smoothing: float = 0.5, backoff: float = 100.0) -> list[float]:
     """log P(b | a, random) - log P(b | a, identifier) for each pair of characters, in _pair's order."""
     chosen = only(docs, "doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce("text", F.lit(""))
     picked = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select(text.alias("text"))
-    random = picked.select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.lit(1).alias("random"), F.regexp_extract(F.col("s.value"), r"([A-Za-z0-9+/_.=-]+)$", 1).alias("word"))
+    random = picked.select(F.explode(base_spans(F.col("text"))).alias("s")).select(F.lit(1).alias("random"), F.regexp_extract(F.col("s.value"), r"([A-Za-z0-9+/_.-]+=*)$", 1).alias("word"))
     hits = F.concat_ws("|", F.lit(ASSIGN), F.lit(ACCESS), F.lit(HEX))
     plain = picked.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", hits, F.lit(" ")), F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("word")).select(F.lit(0).alias("random"), "word")
     pairs = random.unionByName(plain).where(F.length("word") >= 2).select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: _pair(F.col("word"), i))).alias("pair"))
     counts = {(r.random, r.pair): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}  # at most 2 x SIDE^2 rows
 
     def logs(kind: int) -> list[float]:
-        out = []
-        for a in range(SIDE):
-            row = [counts.get((kind, a * SIDE + b), 0) + smoothing for b in range(SIDE)]
-            out += [math.log(x / sum(row)) for x in row]
-        return out
+        """Rows of pairs, smoothed towards how often the second character comes at all."""
+        table = [[counts.get((kind, a * SIDE + b), 0) for b in range(SIDE)] for a in range(SIDE)]
+        alone = [sum(row[b] for row in table) + smoothing for b in range(SIDE)]
+        return [math.log((n + backoff * alone[b] / sum(alone)) / (sum(row) + backoff)) for row in table for b, n in enumerate(row)]
 
     return [a - b for a, b in zip(logs(1), logs(0))]
 

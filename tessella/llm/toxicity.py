@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
     totals = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
-        return Model(leak=n1 / max(1, n0 + n1))
+        return Model(bias=-60.0, leak=n1 / max(1, n0 + n1))
     seen = picked.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= min_docs)
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
 
     rows = picked.mapInPandas(bags, "toxic int, quiet int, known array<array<int>>").collect()  # at most ``sample`` rows
     rows.sort(key=lambda r: (r.toxic, r.quiet, r.known))  # sums don't hang on the order of tasks
-    start = np.clip(np.array([r.odds for r in best]), 0, 6) * 0.5
+    # telling words start where a sentence is even: further down the sigmoid is flat, and the leak would explain their labels first
+    start = -MAX_BIAS * np.clip(np.array([r.odds for r in best]) / 3, 0, 1)
     weights, bias, leak = _fit([(r.toxic, r.quiet, r.known) for r in rows], len(names), start)
     return Model({w: float(x) for w, x in zip(names, weights) if abs(x) >= 0.3}, bias, leak)
 
