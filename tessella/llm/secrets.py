@@ -78,7 +78,7 @@ def train(docs: DataFrame, sample: int = 20_000, smoothing: float = 0.5, backoff
     return [a - b for a, b in zip(logs(1), logs(0))]
 
 
-def scan(docs: DataFrame, sample: int = 20_000, threshold: float = 14.0, model: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, sample: int = 20_000, threshold: float = 8.0, model: list[float] | None = None) -> DataFrame:
     """doc_id, base and added: spans (start, kind, stop, value) sorted by start."""
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in model or train(docs, sample))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
