@@ -37,7 +37,7 @@ from .common import only, partitions, written
 
 WINDOW, GRAM = 100, 32
 DIGITS = ((0, 32), (32, 66), (66, 100))
-BATCH, SEGMENT, PLACE = 2_000_000, 8_000_000, 28
+BATCH, SEGMENT, PLACE, OFTEN = 2_000_000, 8_000_000, 28, 8
 NO_ID = -(1 << 63)
 _BASE, _ODD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -209,13 +209,34 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         shift = np.array(p.base, np.int64)[piece] - p.starts[piece]
         new = _same_runs(p.text, first, last) == np.arange(len(first))
         old = ~new
-        marks = _spans(did[old], h[old], (first + shift)[old], (last + shift)[old] + WINDOW)
-        buffer, nulls = p.data.tobytes(), old.sum()
+        marks = [_spans(did[old], h[old], (first + shift)[old], (last + shift)[old] + WINDOW)]
+        # about grams that many texts of the batch share, windows are compared here already, and only those first in it travel
+        _, gram_no, uses = np.unique(gram, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(new & (uses[gram_no] > OFTEN))
+        if len(often):
+            m = last[often] - first[often] + 1
+            windows, run = np.repeat(first[often] - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum()), np.repeat(often, m)
+            again, earliest = radix_groups(p.text, windows)
+            later = again[again != earliest]
+            if len(later):
+                r, w = run[later], windows[later]
+                cut = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
+                end = np.append(cut[1:], len(later)) - 1
+                marks.append(_spans(did[r[cut]], h[r[cut]], w[cut] + shift[r[cut]], w[end] + shift[r[cut]] + WINDOW))
+                left = np.ones(len(windows), bool)
+                left[later] = False
+                new[often] = False
+                heads = np.flatnonzero(np.diff(run[left], prepend=-1))
+                tails = np.append(heads[1:], left.sum()) - 1
+                kept = run[left][heads]
+                new[kept], first[kept], last[kept] = True, windows[left][heads], windows[left][tails]
+        buffer = p.data.tobytes()
         data = pa.array([buffer[a:b] for a, b in zip(first[new].tolist(), (last[new] + WINDOW).tolist())], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(gram[new]), pa.array(did[new]), pa.array(h[new]), pa.array((first + shift)[new]), data, pa.nulls(int(new.sum()), pa.list_(pa.int64()))], names=["gram", "did", "hash", "start", "bytes", "spans"])
-        if nulls:
-            none = [pa.nulls(int(nulls), pa.int64()), marks.column(0), marks.column(1), pa.nulls(int(nulls), pa.int64()), pa.nulls(int(nulls), pa.binary()), marks.column(2)]
-            yield pa.RecordBatch.from_arrays(none, names=["gram", "did", "hash", "start", "bytes", "spans"])
+        for m in marks:
+            if n := m.num_rows:
+                none = [pa.nulls(n, pa.int64()), m.column(0), m.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), m.column(2)]
+                yield pa.RecordBatch.from_arrays(none, names=["gram", "did", "hash", "start", "bytes", "spans"])
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
