@@ -2,7 +2,8 @@
 
 Byte-level BPE never merges across the pieces its pre-tokenizer cuts, and a cut always lies before a single space that
 stands between other characters. So a text is cut at its single spaces and the ids of " word" chunks are looked up; chunks
-not seen before are cut further by the pre-tokenizer's own pattern and only new pieces go through the library's model.
+not seen before are cut further by the pre-tokenizer's own pattern and only new pieces go through the library's model,
+sixteen to a call's text: ids of such a text are dealt back by the tokens that begin with the space.
 Texts with runs of white space after a space, or with the string of a special token, are encoded whole.
 """
 
@@ -37,7 +38,12 @@ class WordEncoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut, self.odd = regex.compile(PIECES).findall, re.compile(r" \s").search
+        self.cut, self.odd, self.blank = regex.compile(PIECES).findall, re.compile(r" \s").search, re.compile(r"\s").search
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # words come once only
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(names.values()) + 1, bool)
+        self.opens[[i for name, i in names.items() if name.startswith("\u0120")]] = True  # the format's sign for a space
         self.words: dict[str, bytes] = {}  # " " + key
         self.starts: dict[str, bytes] = {}  # key itself
         self.recent: deque[set[str]] = deque(maxlen=8)
@@ -45,6 +51,16 @@ class WordEncoder:
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def after_space(self, words: list[str], joined: int = 16) -> list[bytes]:
+        """Ids of " " + word for words without white space."""
+        texts = ["".join([" " + w for w in words[i : i + joined]]) for i in range(0, len(words), joined)]
+        ids = np.frombuffer(b"".join(self.whole(texts)), np.uint32)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words):
+            return self.whole([" " + w for w in words])
+        flat, edges = ids.tobytes(), (at * 4).tolist()
+        return [flat[a:b] for a, b in zip(edges, [*edges[1:], len(flat)])]
+
     def _learn(self, words: list[str], starts: set[str]) -> None:
         """Ids of these, from those of the pieces they are made of."""
         mixed: list[tuple[str, str, list[str]]] = []
@@ -64,7 +80,9 @@ class WordEncoder:
                         w1.add(p[1:])
                 elif p not in self.starts:
                     s1.add(p)
-        new = list(w1)
+        new = [w for w in w1 if w and not self.blank(w)]
+        self.words.update(zip(new, self.after_space(new)))
+        new = [w for w in w1 if not w or self.blank(w)]
         self.words.update(zip(new, self.whole([" " + w for w in new])))
         new = list(s1)
         self.starts.update(zip(new, self.whole(new)))
