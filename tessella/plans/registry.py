@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
-from tessella.operators import chunking, evaluation, retrieval, store
+from tessella.operators import chunking, evaluation, rerank, retrieval, store
 from tessella.sources import pages as html_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,6 +350,37 @@ def html_to_markdown(spark, d):
     return html_pages.parse_pages(_t(spark, d, "pages"))
 
 
+@query()
+def hashed_embeddings(spark, d):
+    return _t(spark, d, "documents").select("doc_id", rerank.hashed_embedding(F.col("text")).alias("embedding"))
+
+
+@query()
+def mmr_rerank(spark, d):
+    vectors, asked = _t(spark, d, "embeddings"), _q_vec(spark, d)
+    best = retrieval.dense(vectors, asked, k=20).select("query_id", "vec_id", "rank")
+    return rerank.mmr(best.join(asked, "query_id").join(vectors.select("vec_id", "embedding"), "vec_id"))
+
+
+@query(BM25 + "SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 10 AND doc_id % 4 <> 0")
+def superseded_filter(spark, d):
+    """Every fourth document is made up to be superseded."""
+    ranked = retrieval.bm25(_t(spark, d, "documents"), _questions(spark, d)).withColumn("status", F.when(F.col("doc_id") % 4 == 0, "superseded"))
+    return rerank.current_only(ranked).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(BM25 + rf""", c AS (SELECT query_id, doc_id, rank, trim(regexp_replace(text, '\s+', ' ', 'g')) AS words, len(regexp_extract_all(text, '{_TOKEN}')) + 12 AS cost FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10),
+u AS (SELECT query_id, doc_id, cost, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM (SELECT *, row_number() OVER (PARTITION BY query_id, words ORDER BY rank) AS copy FROM c) WHERE copy = 1),
+w AS (SELECT query_id, list(cost ORDER BY i) AS costs FROM u GROUP BY 1),
+folded AS (WITH RECURSIVE r AS (SELECT query_id, costs, 1 AS i, 1500 - costs[1] AS room, 1 AS label, TRUE AS taken FROM w
+  UNION ALL SELECT query_id, costs, i + 1, CASE WHEN costs[i + 1] <= room THEN room - costs[i + 1] ELSE room END, CASE WHEN costs[i + 1] <= room THEN label + 1 ELSE label END, costs[i + 1] <= room FROM r WHERE i < len(costs)) SELECT * FROM r)
+SELECT query_id, doc_id, rank, cost, CAST(label AS BIGINT) AS label FROM u JOIN folded USING (query_id, i) WHERE taken""")
+def context_pack(spark, d):
+    docs = _t(spark, d, "documents")
+    ranked = retrieval.bm25(docs, _questions(spark, d)).select("query_id", "doc_id", "rank")
+    return rerank.packed_context(ranked.join(docs.select("doc_id", "text"), "doc_id"), 1500)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -14,7 +14,7 @@ def test_names_match():
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["bm25_batch_queries", "chunks_fixed", "dense_topk_batch", "normalized_text", "token_f1", "injection_scan"])
+@pytest.mark.parametrize("name", ["bm25_batch_queries", "chunks_fixed", "dense_topk_batch", "normalized_text", "token_f1", "injection_scan", "superseded_filter", "context_pack"])
 def test_against_sql(spark, name):
     import duckdb
 
