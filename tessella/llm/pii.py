@@ -1,6 +1,6 @@
 r"""Operator 7: personal data replaced by format-preserving Feistel pseudonyms.
 
-Found are e-mail addresses, phone numbers, payment-card numbers (13 to 19 digits that pass the Luhn test), social-security
+Found are e-mail addresses, phone numbers, payment-card numbers (13 to 19 digits that pass the Luhn test, also as whole groups of a longer run), social-security
 numbers, IBANs (mod-97 test), IPv4 addresses (octets to 255) and dates (that exist). A value is permuted by a keyed Feistel
 network within its format: strings keep the class of every character (digit, lower, upper, other), card numbers and IBANs
 keep valid check digits, addresses stay addresses, dates stay dates of the same notation. Being permutations under one key,
@@ -127,10 +127,24 @@ def _card(m: Column, key: Column) -> Column:
     def checked(body: Column) -> Column:
         return F.concat(body, F.pmod(10 - _luhn_sum(body, 1) % 10, F.lit(10)).cast("string"))
 
-    def made(digits: Column) -> Column:
-        return F.when(_luhn_sum(digits, 0) % 10 == 0, _refilled(m, let(feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key), checked)))
+    return let(F.regexp_replace(m, "[^0-9]", ""), lambda digits: _refilled(m, let(feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key), checked)))
 
-    return let(F.regexp_replace(m, "[^0-9]", ""), made)
+
+def _card_run(m: Column) -> Column:
+    """struct<before, run, after>: the longest run of m's digit groups, the first of equals, that has 13 to 19 digits and passes the Luhn test, else null."""
+    part = lambda before, run, after: F.struct(before.alias("before"), run.alias("run"), after.alias("after"))
+    passes = lambda s: let(F.regexp_replace(s, "[^0-9]", ""), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, 0) % 10 == 0))
+
+    def runs(groups: Column) -> Column:
+        wide = lambda first, n: F.length(F.array_join(F.slice(groups, first, n), " "))
+        # start: characters before the run; size: its characters; digits, negated, sorts the longest first
+        one = lambda i, j: F.struct((-F.length(F.array_join(F.slice(groups, i, j - i + 1), ""))).alias("digits"), F.when(i > 1, wide(F.lit(1), i - 1) + 1).otherwise(0).alias("start"), wide(i, j - i + 1).alias("size"))
+        each = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.transform(F.sequence(i, F.size(groups)), lambda j: one(i, j))))
+        good = F.filter(each, lambda r: r["digits"].between(-19, -13) & passes(F.substring(m, r["start"] + 1, r["size"])))
+        cut = lambda r: part(F.substring(m, F.lit(1), r["start"]), F.substring(m, r["start"] + 1, r["size"]), F.substring(m, r["start"] + r["size"] + 1, F.length(m)))
+        return F.try_element_at(F.transform(F.array_sort(good), cut), F.lit(1))
+
+    return F.when(passes(m), part(F.lit(""), m, F.lit(""))).otherwise(let(F.split(m, "[ -]"), runs))
 
 
 def _iban(m: Column, key: Column) -> Column:
@@ -181,11 +195,16 @@ MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phon
 
 
 def _replacement(m: Column, key: str) -> Column:
-    """struct<kind, value> for a match: the first kind whose whole pattern it is and whose test it passes, else null."""
+    """struct<kind, value, before, after> for a match: the first kind whose whole pattern it is and whose test it passes, else null. before and after: what of the match stays."""
 
     def made(kind: str, pattern: str) -> Column:
-        as_kind = lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value")))
-        return F.when(F.regexp_like(m, F.lit(f"^(?:{pattern})$")), let(MAKERS[kind](m, F.lit(f"{key}/{kind}")), as_kind))
+        as_kind = lambda v, before, after: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"), before.alias("before"), after.alias("after")))
+        make = lambda x: MAKERS[kind](x, F.lit(f"{key}/{kind}"))
+        if kind == "card":
+            new = let(_card_run(m), lambda r: F.when(r.isNotNull(), let(make(r["run"]), lambda v: as_kind(v, r["before"], r["after"]))))
+        else:
+            new = let(make(m), lambda v: as_kind(v, F.lit(""), F.lit("")))
+        return F.when(F.regexp_like(m, F.lit(f"^(?:{pattern})$")), new)
 
     return F.coalesce(*[made(k, p) for k, p in KINDS.items()])
 
@@ -201,7 +220,8 @@ def found(docs: DataFrame, key: str = "tessella") -> DataFrame:
 
 
 def _text() -> Column:
-    put = F.transform("pii_hits", lambda m, i: F.concat(F.element_at("pii_pieces", i + 1), F.coalesce(F.element_at("pii_new", i + 1)["value"], m)))
+    new = lambda x: F.concat(x["before"], x["value"], x["after"])
+    put = F.transform("pii_hits", lambda m, i: F.concat(F.element_at("pii_pieces", i + 1), F.coalesce(new(F.element_at("pii_new", i + 1)), m)))
     return F.when(F.col("pii_hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(put, ""), F.element_at("pii_pieces", -1)))
 
 
@@ -216,6 +236,6 @@ def pseudonymised(docs: DataFrame, key: str = "tessella") -> DataFrame:
 def report(docs: DataFrame, key: str = "tessella") -> DataFrame:
     """doc_id, text (with pseudonyms), n_found, a count for each kind, and pseudonyms: kind:pseudonym of each value in order, comma-joined."""
     marked = found(only(docs, "doc_id", "text"), key)
-    good = F.coalesce(F.array_compact("pii_new"), F.array().cast("array<struct<kind:string,value:string>>"))
+    good = F.coalesce(F.array_compact("pii_new"), F.array().cast("array<struct<kind:string,value:string,before:string,after:string>>"))
     count = lambda k: F.size(F.filter(good, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return marked.select("doc_id", _text().alias("text"), F.size(good).cast("long").alias("n_found"), *[count(k) for k in KINDS], F.array_join(F.transform(good, lambda x: F.concat_ws(":", x["kind"], x["value"])), ",").alias("pseudonyms"))
