@@ -2,7 +2,7 @@
 
 Documents are dealt into index shards of bounded size (as storage holds them; no shuffle). A shard has a BM25 inverted
 index over token ids. A seed document, the next unused one, opens a window; while there is room, the index returns the
-seed's best unused neighbours and they fill the window greedily, the last one cut to fit. The rest of a cut document opens
+seed's best unused neighbours by its heaviest terms, then by all the others, and they fill the window greedily, the last one cut to fit. The rest of a cut document opens
 the next window, so a document's pieces lie in neighbouring windows in order. All windows are full but a shard's last, whose
 ids are cut into windows of powers of two, so nothing is padded.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +42,19 @@ class Bm25:
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / max(length.mean(), 1)))
         ends = np.cumsum(sizes)
-        # a query is its document's ``terms`` heaviest terms that other documents have too
-        self.query = []
+        # a query is its document's terms that other documents have too, the ``terms`` heaviest before the rest
+        self.query, self.terms = [], terms
         for e, s in zip(ends, sizes):
             t, w = term[e - s : e], np.where(df[term[e - s : e]] > 1, weight[e - s : e], 0.0)
-            best = np.argpartition(-w, terms)[:terms] if s > terms else np.arange(s)
+            best = np.argpartition(-w, terms) if s > terms else np.arange(s)
             self.query.append(t[best[w[best] > 0]])
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.at = doc[order], weight[order], np.concatenate([[0], np.cumsum(df)])
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.query[seed]]
+    def neighbours(self, seed: int, unused: np.ndarray, rest: bool = False) -> np.ndarray:
+        """Unused documents that share one of the seed's heaviest terms, or of the rest of its terms, best first."""
+        asked = self.query[seed][self.terms :] if rest else self.query[seed][: self.terms]
+        spans = [slice(self.at[t], self.at[t + 1]) for t in asked]
         if not spans:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n) * unused
@@ -87,7 +89,8 @@ def pack_shard(docs: list[np.ndarray], window: int = 1024, terms: int = 12) -> I
         if end < len(docs[seed]):
             rest = (seed, end)
         elif used < window:
-            for d in index.neighbours(seed, unused):
+            # once the heaviest terms' documents are used up, only the rest of the terms can score
+            for d in chain.from_iterable(index.neighbours(seed, unused, more) for more in (False, True)):
                 unused[d] = False
                 end = put(int(d), 0)
                 if end < len(docs[d]):
