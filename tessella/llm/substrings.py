@@ -1,23 +1,22 @@
 """Operator 3: suffix-array dedup to a depth of ``window`` bytes.
 
-Suffixes are ordered only as far as the window reaches, by most-significant-digit passes over hashed digits of a few dozen bytes;
-a suffix alone in its group is dropped after each pass, and the groups left at full depth are exactly the repeated windows.
-All windows of a group but the earliest (doc_id, then place) mark their bytes.
+Suffixes are ordered only as far as the window reaches, by most-significant-digit passes over digits of eight bytes, as they
+stand in the text; a suffix alone in its group is dropped after each pass, and the groups left at full depth are exactly
+the repeated windows. All windows of a group but the earliest (doc_id, then place) mark their bytes.
 
-So that not every suffix has to move, the first distributed pass goes over synchronised places: the ``gram`` of least
+So that not every suffix has to move, the suffixes are first dealt out about synchronised places: the ``gram`` of least
 hash in each window (leftmost on ties) is chosen by content alone, so equal windows hold equal grams at the same place.
+Hashes only decide which windows meet; that windows are equal is decided on their bytes.
 
 0. Documents that equal an earlier one as a whole are marked whole.
-1. Anchors: the chosen grams of all texts; within a batch each different gram counts once, so a gram of any frequency is
-   one row a batch. Grams that occur once in all are dropped.
-2. The runs of windows about the grams left travel, with their bytes, to where all with their gram meet; of runs over
-   equal bytes only the first in a batch does, and the others are marked at once.
-3. There windows are ordered by radix passes, and those not first in their group are marked. Windows about very frequent
-   grams are dealt out by their full-depth digits instead.
+1. Anchors: the chosen grams of all texts. Those that occur once in all are dropped, in one pass over the sorted rows.
+2. The runs of windows about the grams left travel, with their bytes, to where all with their gram meet. Of windows that a
+   batch repeats only the first does; the others are marked at once.
+3. There windows are ordered by the radix passes, and those not first in their group are marked. A gram of more than
+   ``crowd`` runs is dealt over several places; windows that are first in one of these are ordered once more, over all
+   places, by their whole bytes.
 4. Marks are united by document and applied.
 
-Digits are compared by 64-bit hashes over positions (odd multiplier, random values per byte), about 2^-64 per pair.
-
 Defined results: null text is empty; texts shorter than the window lose nothing; rows with the same doc_id and text count
 as one document and share its result; different texts with one doc_id are ordered by a hash of the text; null doc_ids come
 first; texts of any length are handled in overlapping segments; an empty table gives no rows; extra columns are ignored.
@@ -26,63 +25,47 @@ first; texts of any length are handled in overlapping segments; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, written
 
 WINDOW, GRAM = 100, 32
-DIGITS = ((0, 32), (32, 66), (66, 100))
-BATCH, SEGMENT, PLACE, OFTEN = 2_000_000, 8_000_000, 28, 8
+#: Where the digits of a window begin; the last one overlaps the one before it.
+DIGITS = (*range(0, WINDOW - 8, 8), WINDOW - 8)
+#: Bytes of text a worker handles at once, at most about twice as many; bits of a place among them.
+BATCH, PLACE = 1_000_000, 28
 NO_ID = -(1 << 63)
-_BASE, _ODD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
-_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = np.random.default_rng(7).integers(1 << 62, 1 << 63, GRAM // 8 + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MAX = np.uint64((1 << 64) - 1)
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD
-    x = (x ^ (x >> np.uint64(29))) * _ODD
-    return x ^ (x >> np.uint64(32))
-
+def digits(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, most significant first; data has eight bytes or more."""
+    return np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64)
 
-class Text:
-    """A run of bytes with hashes of any piece by place."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.n = len(data)
-        size = 1 << max(12, (self.n + 1).bit_length())
-        up, self.down = _powers(size)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[: self.n], out=self.sums[1:])
+def grams_of(digit: np.ndarray) -> np.ndarray:
+    """A hash of the gram at each place."""
+    n = len(digit) - GRAM + 8
+    x = np.zeros(n, np.uint64)
+    for k in range(GRAM // 8):
+        x += digit[8 * k : 8 * k + n] * _ODD[k]
+        x ^= x >> np.uint64(31)
+    x *= _ODD[-1]
+    return x ^ (x >> np.uint64(29))
 
-    def hashes(self, at: np.ndarray | slice, lo: int, hi: int) -> np.ndarray:
-        """Hashes of the bytes at + lo .. at + hi of each place."""
-        if isinstance(at, slice):
-            a, b = at.start + lo, at.stop + lo
-            return _mixed((self.sums[a + hi - lo : b + hi - lo] - self.sums[a:b]) * self.down[a:b])
-        return _mixed((self.sums[at + hi] - self.sums[at + lo]) * self.down[at + lo])
 
-
-def anchors(text: Text, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows within each piece starts .. ends of text: (place of the chosen gram, its hash, first window, last window) for each run of windows that share it."""
-    n, reach = text.n, WINDOW - GRAM + 1
+def anchors(digit: np.ndarray, n: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows within each piece starts .. ends of n bytes: (place of the chosen gram, its hash, first window, last window) for each run of windows that share it."""
+    reach = WINDOW - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none, none.astype(np.uint64), none, none
-    grams = text.hashes(slice(0, n - GRAM + 1), 0, GRAM)
+        return none, none, none, none
+    grams = grams_of(digit)
     place = np.uint64((1 << PLACE) - 1)
     packed = np.full(-(-n // reach) * reach + reach, _MAX, np.uint64)
     packed[: len(grams)] = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
@@ -96,212 +79,236 @@ def anchors(text: Text, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
     np.add.at(inside, ends[fit] - WINDOW + 1, -1)
     windows = np.flatnonzero(np.cumsum(inside[: n - WINDOW + 1]))
     if not len(windows):
-        return none, none.astype(np.uint64), none, none
+        return none, none, none, none
     chosen = least[windows]
     new = np.flatnonzero((np.diff(chosen, prepend=-1) != 0) | (np.diff(windows, prepend=-2) != 1))
     last = np.append(new[1:], len(windows)) - 1
-    return chosen[new], grams[chosen[new]], windows[new], windows[last]
-
+    return chosen[new], grams[chosen[new]].view(np.int64), windows[new], windows[last]
 
-def radix_groups(text: Text, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, first): numbers of the windows that others equal at full depth, ascending, and for each the least number of its group."""
-    alive, group = np.arange(len(windows)), np.zeros(len(windows), np.uint64)
-    for lo, hi in DIGITS:
-        if not len(alive):
-            break
-        key = text.hashes(windows[alive], lo, hi) ^ (group[alive] * _ODD)
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        several = counts[inverse] > 1
-        alive, inverse = alive[several], inverse[several]
-        group[alive] = inverse.astype(np.uint64) + np.uint64(1)
-    _, at, inverse = np.unique(group[alive], return_index=True, return_inverse=True)
-    return alive, alive[at][inverse]
 
+def radix_groups(digit: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, first): numbers of the windows that others equal at full depth, and for each the least number of its group.
 
-class Pieces:
-    """Texts laid end to end in order of (doc_id, text hash); long ones as overlapping segments."""
-
-    def __init__(self, docs: list[tuple[int, int, bytes]]) -> None:
-        parts, self.doc, starts, ends, self.base, at = [], [], [], [], [], 0
-        self.docs = sorted(docs, key=lambda d: d[:2])
-        for i, (_, _, data) in enumerate(self.docs):
-            for lo in range(0, max(1, len(data) - WINDOW + 1), SEGMENT):
-                part = data[lo : lo + SEGMENT + WINDOW - 1]
-                parts.append(part)
-                self.doc.append(i)
-                self.base.append(lo)
-                starts.append(at)
-                at += len(part)
-                ends.append(at)
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
-        self.starts, self.ends = np.array(starts, np.int64), np.array(ends, np.int64)
-        self.text = Text(self.data)
-        self.anchor, self.hash, self.first, self.last = anchors(self.text, self.ends, self.starts)
-
-    def piece(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, places, side="right") - 1
-
-
-def _batched(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[list[tuple]]:
-    """Rows in lists of about ``most`` bytes of text (the third column)."""
+    One pass for each digit; the order within a group is that of the numbers. A group whose windows all have the same digit
+    stays as it is, the others are sorted by it.
+    """
+    order, heads = np.arange(len(windows)), np.zeros(min(1, len(windows)), np.int64)
+    for lo in DIGITS:
+        if not len(order):
+            break
+        size = np.diff(np.append(heads, len(order)))
+        d = digit[windows[order] + lo]
+        group = np.repeat(np.arange(len(heads)), size)
+        split = np.logical_or.reduceat(d != np.repeat(d[heads], size), heads)
+        if not split.any():
+            continue
+        at = np.flatnonzero(split[group])
+        by = np.lexsort((d[at], group[at]))
+        order[at], d[at] = order[at[by]], d[at[by]]
+        new = np.append(True, (d[1:] != d[:-1]) | (group[1:] != group[:-1]))
+        heads = np.flatnonzero(new)
+        several = np.repeat(np.diff(np.append(heads, len(order))) > 1, np.diff(np.append(heads, len(order))))
+        order, new = order[several], new[several]
+        heads = np.flatnonzero(new)
+    if not len(order) or len(windows) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order, np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+
+
+class Runs:
+    """Runs of windows over equal or different bytes, in order of (did, hash, start): what of them is first, and what comes again."""
+
+    def __init__(self, did: np.ndarray, h: np.ndarray, start: np.ndarray, data: list[bytes], gram: np.ndarray | None = None) -> None:
+        order = np.lexsort((start, h, did))
+        self.did, self.h, self.start = did[order], h[order], start[order]
+        self.gram = None if gram is None else gram[order]
+        self.data = [data[i] for i in order.tolist()]
+        n = len(order)
+        code = np.asarray(pa.array(self.data, pa.large_binary()).dictionary_encode().indices)
+        first = np.zeros(int(code.max()) + 1, np.int64)
+        first[code[::-1]] = np.arange(n)[::-1]
+        earliest = first[code]
+        # a row that says the same of the same place as the earliest one is that row
+        same = (self.did == self.did[earliest]) & (self.h == self.h[earliest]) & (self.start == self.start[earliest])
+        again = np.flatnonzero(~same)
+        size = np.array([len(x) for x in self.data], np.int64)
+        self.marks = [(again, self.start[again], self.start[again] + size[again])]
+        # of each bytes one run is left; its windows are compared one by one
+        left = np.flatnonzero(earliest == np.arange(n))
+        m = size[left] - WINDOW + 1
+        joined = np.frombuffer(b"".join([self.data[i] for i in left.tolist()]), np.uint8)
+        at = np.cumsum(size[left]) - size[left]
+        run = np.repeat(np.arange(len(left)), m)
+        within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        some, least = radix_groups(digits(joined), at[run] + within)
+        place = lambda i: (self.did[left[run[i]]], self.h[left[run[i]]], self.start[left[run[i]]] + within[i])
+        apart = np.zeros(len(some), bool)
+        for x, y in zip(place(some), place(least)):
+            apart |= x != y
+        later = np.sort(some[apart])
+        self._spans(left, run, within, later, self.marks)
+        # windows that are first, as runs
+        new = np.ones(len(run), bool)
+        new[some[some != least]] = False
+        self.first: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._spans(left, run, within, np.flatnonzero(new), self.first)
+
+    def _spans(self, left: np.ndarray, run: np.ndarray, within: np.ndarray, windows: np.ndarray, out: list) -> None:
+        """Adds (rows, starts, stops) of the stretches that these windows make."""
+        if len(windows):
+            cut = np.flatnonzero((np.diff(run[windows], prepend=-1) != 0) | (np.diff(windows, prepend=-2) != 1))
+            end = np.append(cut[1:], len(windows)) - 1
+            row = left[run[windows[cut]]]
+            out.append((row, self.start[row] + within[windows[cut]], self.start[row] + within[windows[end]] + WINDOW))
+
+    def rows(self, keep: bool) -> Iterator[pa.RecordBatch]:
+        """CONTEXTS rows: the marks (spans), and, with keep, the runs of first windows (bytes)."""
+        for row, a, b in self.marks:
+            if len(row):
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(row) + 1, 2, dtype=np.int32)), pa.array(np.stack([a, b], axis=1).reshape(-1)))
+                none = [pa.nulls(len(row), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(self.did[row]), pa.array(self.h[row]), none[1], none[2], flat], names=NAMES)
+        for row, a, b in self.first if keep else ():
+            o = a - self.start[row]
+            data = [self.data[i][x : x + y] for i, x, y in zip(row.tolist(), o.tolist(), (b - a).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(self.gram[row]), pa.array(self.did[row]), pa.array(self.h[row]), pa.array(a), pa.array(data, pa.binary()), pa.nulls(len(row), pa.list_(pa.int64()))], names=NAMES)
+
+
+CONTEXTS = "gram long, did long, hash long, start long, bytes binary, spans array<bigint>"
+NAMES = ["gram", "did", "hash", "start", "bytes", "spans"]
+
+
+def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows whose third column is a text, in lists of about ``most`` bytes: each text in overlapping segments, and where the segment begins at the end."""
     rows, size = [], 0
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-            rows.append(row)
-            size += len(row[2] or b"")
-            if size >= most:
-                yield rows
-                rows, size = [], 0
+        for lo in range(0, b.num_rows, 64):
+            for row in zip(*(b.slice(lo, 64).column(i).to_pylist() for i in range(b.num_columns))):
+                for at in range(0, max(1, len(row[2]) - WINDOW + 1), most):
+                    part = row[2][at : at + most + WINDOW - 1]
+                    rows.append((*row[:2], part, *row[3:], at))
+                    size += len(part)
+                    if size >= most:
+                        yield rows
+                        rows, size = [], 0
     if rows:
         yield rows
 
 
-def _anchor_rows(local: bool):
-    """Grams of each batch. local: per document, those that occur twice in its batch; else: each different gram once, with a document that has it."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs in _batched(batches):
-            p = Pieces(docs)
-            did = np.array([d[0] for d in p.docs], np.int64)[np.array(p.doc, np.int64)[p.piece(p.anchor)]] if len(p.anchor) else np.zeros(0, np.int64)
-            _, at, inverse, counts = np.unique(p.hash, return_index=True, return_inverse=True, return_counts=True)
-            if local:
-                twice = counts[inverse] > 1
-                hashes, did = p.hash[twice].view(np.int64), did[twice]
-                if len(did):
-                    lo = np.flatnonzero(np.diff(did, prepend=did[0] - 1 if did[0] > NO_ID else did[0] + 1))
-                    offsets = pa.array(np.append(lo, len(did)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(did[lo]), pa.ListArray.from_arrays(offsets, pa.array(hashes))], names=["did", "grams"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(p.hash[at].view(np.int64)), pa.array(did[at])], names=["gram", "did"])
-
-    return rows
-
-
-def _spans(did: np.ndarray, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    """A row (did, hash, [start, stop]) for each."""
-    flat = np.stack([start, stop], axis=1).reshape(-1).astype(np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
-    return pa.RecordBatch.from_arrays([pa.array(did), pa.array(h), lists], names=["did", "hash", "spans"])
-
+class Pieces:
+    """Segments laid end to end, with their anchors."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        self.data = b"".join(parts)
+        size = np.array([len(p) for p in parts], np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        x = np.frombuffer(self.data, np.uint8)
+        digit = digits(x) if len(x) >= WINDOW else np.zeros(0, np.uint64)
+        self.place, self.gram, self.first, self.last = anchors(digit, len(x), self.starts, self.ends)
+        self.piece = np.searchsorted(self.starts, self.first, side="right") - 1
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """(key, any, text) -> (gram, salt, key, sure). Each different gram of a batch is one row of salt 0, which is counted; a gram that
+    a batch repeats also gives a sure row, of a salt of its own, for each document that has it."""
+    for rows in _segments(batches, most):
+        p = Pieces([r[2] for r in rows])
+        if not len(p.gram):
+            continue
+        key = np.array([r[0] for r in rows], np.int64)[p.piece]
+        _, at, inverse, counts = np.unique(p.gram, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(counts[inverse] > 1)
+        again = again[np.append(True, (p.gram[again][1:] != p.gram[again][:-1]) | (key[again][1:] != key[again][:-1]))] if len(again) else again
+        once = at[counts == 1]
+        # the row counted for a repeated gram names no document: the sure rows do
+        several = at[counts > 1]
+        gram = np.concatenate([p.gram[once], p.gram[several], p.gram[again]])
+        salt = np.concatenate([np.zeros(len(once) + len(several), np.int64), key[again] | 1])
+        sure = np.repeat([0, 2, 1], [len(once), len(several), len(again)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(salt), pa.array(np.concatenate([key[once], key[several], key[again]])), pa.array(sure)], names=["gram", "salt", "key", "sure"])
+
+
+def _repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, salt, key, sure) in order of gram and salt -> (key, gram) of the grams that are sure or counted more than once."""
+
+    def kept(t: pa.RecordBatch, before: tuple, after: tuple) -> pa.RecordBatch:
+        gram, salt, key, sure = (t.column(i).to_numpy() for i in range(4))
+        g, s = np.concatenate([[before[0]], gram, [after[0]]]), np.concatenate([[before[1]], salt, [after[1]]])
+        same = (g[1:] == g[:-1]) & (s[1:] == s[:-1])
+        same[0] &= before[2]
+        same[-1] &= after[2]
+        good = (sure == 1) | ((sure == 0) & (same[1:] | same[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(gram[good])], names=["key", "gram"])
+
+    ends = lambda b, i: (b.column(0)[i].as_py(), b.column(1)[i].as_py(), True)
+    held, before, none = None, (0, 0, False), (0, 0, False)
+    for b in batches:
+        if b.num_rows:
+            if held is not None:
+                yield kept(held, before, ends(b, 0))
+                before = ends(held, held.num_rows - 1)
+            held = b
+    if held is not None:
+        yield kept(held, before, none)
+
+
+def _context_rows(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """(did, hash, text, grams) -> CONTEXTS: the runs of windows about those grams, without what the batch repeats, and marks for that."""
+    for rows in _segments(batches, most):
+        rows = list({(r[0], r[1], r[4]): r for r in rows}.values())
+        grams = [np.asarray(r[3], np.int64) for r in rows]
+        p = Pieces([r[2] for r in rows])
+        keep = np.isin(p.gram, np.unique(np.concatenate(grams)))
+        if not keep.any():
+            continue
+        first, last, piece = p.first[keep], p.last[keep], p.piece[keep]
+        did, h, base = (np.array([r[i] for r in rows], np.int64)[piece] for i in (0, 1, 4))
+        data = [p.data[a:b] for a, b in zip(first.tolist(), (last + WINDOW).tolist())]
+        yield from Runs(did, h, first - p.starts[piece] + base, data, p.gram[keep]).rows(True)
 
-def _same_runs(text: Text, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """For each run of windows first .. last, the number of the earliest run over equal bytes."""
-    low, high = text.hashes(first, 0, WINDOW), text.hashes(last, 0, WINDOW)
-    key = _mixed(low * _ODD + high) ^ (last - first).astype(np.uint64)
-    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return at[inverse]
 
+def _mark_rows(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """(gram, salt, hot, did, hash, start, bytes) in order of gram and salt -> CONTEXTS: marks, and what is first about hot grams. All rows of a gram and salt are judged together."""
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, hash, text, grams) -> rows (gram, did, hash, start, bytes) of the windows about those grams; of runs over equal bytes only the first in the batch travels, the others become rows with marks (spans)."""
-    for docs in _batched(batches):
-        grams = [np.array(d[3], np.int64) for d in docs if d[3]]
-        if not grams:
-            continue
-        p = Pieces(list({d[:2]: d[:3] for d in docs if d[3]}.values()))
-        keep = np.isin(p.hash.view(np.int64), np.unique(np.concatenate(grams)))
-        first, last, gram = p.first[keep], p.last[keep], p.hash[keep].view(np.int64)
-        if not len(first):
-            continue
-        piece = p.piece(first)
-        doc = np.array(p.doc, np.int64)[piece]
-        did, h = (np.array([d[i] for d in p.docs], np.int64)[doc] for i in (0, 1))
-        shift = np.array(p.base, np.int64)[piece] - p.starts[piece]
-        new = _same_runs(p.text, first, last) == np.arange(len(first))
-        old = ~new
-        marks = [_spans(did[old], h[old], (first + shift)[old], (last + shift)[old] + WINDOW)]
-        # about grams that many texts of the batch share, windows are compared here already, and only those first in it travel
-        _, gram_no, uses = np.unique(gram, return_inverse=True, return_counts=True)
-        often = np.flatnonzero(new & (uses[gram_no] > OFTEN))
-        if len(often):
-            m = last[often] - first[often] + 1
-            windows, run = np.repeat(first[often] - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum()), np.repeat(often, m)
-            again, earliest = radix_groups(p.text, windows)
-            later = again[again != earliest]
-            if len(later):
-                r, w = run[later], windows[later]
-                cut = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
-                end = np.append(cut[1:], len(later)) - 1
-                marks.append(_spans(did[r[cut]], h[r[cut]], w[cut] + shift[r[cut]], w[end] + shift[r[cut]] + WINDOW))
-                left = np.ones(len(windows), bool)
-                left[later] = False
-                new[often] = False
-                heads = np.flatnonzero(np.diff(run[left], prepend=-1))
-                tails = np.append(heads[1:], left.sum()) - 1
-                kept = run[left][heads]
-                new[kept], first[kept], last[kept] = True, windows[left][heads], windows[left][tails]
-        buffer = p.data.tobytes()
-        data = pa.array([buffer[a:b] for a, b in zip(first[new].tolist(), (last[new] + WINDOW).tolist())], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(gram[new]), pa.array(did[new]), pa.array(h[new]), pa.array((first + shift)[new]), data, pa.nulls(int(new.sum()), pa.list_(pa.int64()))], names=["gram", "did", "hash", "start", "bytes", "spans"])
-        for m in marks:
-            if n := m.num_rows:
-                none = [pa.nulls(n, pa.int64()), m.column(0), m.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), m.column(2)]
-                yield pa.RecordBatch.from_arrays(none, names=["gram", "did", "hash", "start", "bytes", "spans"])
-
-
-def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, did, hash, start, bytes) in order of all but bytes -> (did, hash, spans). All rows of a gram are judged together."""
-
-    def marks(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        did, h, start = (t.column(i).to_numpy() for i in (1, 2, 3))
-        data = t.column(4).to_pylist()
-        n = np.array([len(x) for x in data], np.int64)
-        text, at = Text(np.frombuffer(b"".join(data), np.uint8)), np.append(0, np.cumsum(n)[:-1])
-        earliest = _same_runs(text, at, at + n - WINDOW)
-        own = (did == did[earliest]) & (h == h[earliest]) & (start == start[earliest])
-        again = (earliest != np.arange(len(n))) & ~own
-        if again.any():
-            yield _spans(did[again], h[again], start[again], start[again] + n[again])
-        # of each bytes one row is left; its windows are compared one by one
-        left = np.flatnonzero(earliest == np.arange(len(n)))
-        m = n[left] - WINDOW + 1
-        before = np.append(0, np.cumsum(m)[:-1])
-        within = np.arange(m.sum()) - np.repeat(before, m)
-        owner = np.repeat(left, m)
-        some, first = radix_groups(text, at[owner] + within)
-        later = some[some != first]
-        if len(later):
-            first = first[some != first]
-            a, b = owner[later], owner[first]
-            other = (did[a] != did[b]) | (h[a] != h[b]) | (start[a] + within[later] != start[b] + within[first])
-            later = later[other]
-        if len(later):
-            r, w = owner[later], within[later]
-            cut = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(w, prepend=-2) != 1))
-            end = np.append(cut[1:], len(later)) - 1
-            yield _spans(did[r[cut]], h[r[cut]], start[r[cut]] + w[cut], start[r[cut]] + w[end] + WINDOW)
+    def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        hot = t.column(2).to_numpy().astype(bool)
+        for some in (hot, ~hot):
+            if some.any():
+                part = t.filter(pa.array(some))
+                gram, did, h, start = (part.column(i).to_numpy() for i in (0, 3, 4, 5))
+                yield from Runs(did, h, start, part.column(6).to_pylist(), gram).rows(bool(some is hot))
 
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
-        for lo in range(0, b.num_rows, 10_000):
-            held.append(b.slice(lo, 10_000))
-            size += held[-1].column(4).nbytes
-            if size >= BATCH:
+        for lo in range(0, b.num_rows, 2_000):
+            held.append(b.slice(lo, 2_000))
+            size += held[-1].column(6).nbytes
+            if size >= most:
                 t = pa.Table.from_batches(held)
-                gram = t.column(0).to_numpy()
-                cut = int(np.searchsorted(gram, gram[-1]))
+                gram, salt = t.column(0).to_numpy(), t.column(1).to_numpy()
+                other = np.flatnonzero((gram != gram[-1]) | (salt != salt[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
-                    yield from marks(t.slice(0, cut))
+                    yield from judged(t.slice(0, cut))
                     held = t.slice(cut).combine_chunks().to_batches()
-                size = sum(x.column(4).nbytes for x in held) if cut else 0
+                size = sum(x.column(6).nbytes for x in held) if cut else 0
     if held and sum(x.num_rows for x in held):
-        yield from marks(pa.Table.from_batches(held))
+        yield from judged(pa.Table.from_batches(held))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, hash, start, bytes) -> two full-depth digits, did, hash and start of each window."""
+    """(did, hash, start, bytes) -> the bytes of each window, did, hash, where its run begins, and its start."""
     for b in batches:
-        for lo in range(0, b.num_rows, 5000):
-            did, h, start, data = (b.slice(lo, 5000).column(i).to_pylist() for i in range(4))
-            n = np.array([len(x) for x in data], np.int64)
-            at, m = np.append(0, np.cumsum(n)[:-1]), n - WINDOW + 1
-            within = np.arange(m.sum()) - np.repeat(np.append(0, np.cumsum(m)[:-1]), m)
-            windows, text = np.repeat(at, m) + within, Text(np.frombuffer(b"".join(data), np.uint8))
-            one = text.hashes(windows, 0, WINDOW)
-            two = _mixed(text.hashes(windows, 0, 50) * _ODD + text.hashes(windows, 50, WINDOW))
-            cols = [one.view(np.int64), two.view(np.int64), np.repeat(np.array(did, np.int64), m), np.repeat(np.array(h, np.int64), m), np.repeat(np.array(start, np.int64), m) + within]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["w1", "w2", "did", "hash", "start"])
+        for lo in range(0, b.num_rows, 2_000):
+            did, h, start, data = (b.slice(lo, 2_000).column(i).to_pylist() for i in range(4))
+            m = np.array([len(x) - WINDOW + 1 for x in data], np.int64)
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            w = [x[i : i + WINDOW] for x in data for i in range(len(x) - WINDOW + 1)]
+            run = np.repeat(np.array(start, np.int64), m)
+            cols = [np.repeat(np.array(did, np.int64), m), np.repeat(np.array(h, np.int64), m), run, run + within]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), *map(pa.array, cols)], names=["w", "did", "hash", "run", "start"])
 
 
 def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -314,62 +321,64 @@ def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, crowd: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans). texts: did, hash, bytes of each row; spans: did, hash, spans (starts and ends by turns, unordered) of the documents that lose bytes.
+def repeated_spans(docs: DataFrame, crowd: int = 512, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """(texts, spans). texts: did, hash, key, bytes of each row; spans: key, spans (starts and ends by turns, unordered) of the documents that lose bytes.
 
-    The windows about a gram with more than ``crowd`` contexts (a short line that very many texts share) go on by their
-    full-depth digits instead of by the gram, pre-aggregated, so that none meets the others of its gram in one task.
+    crowd: runs about a gram that are judged in one place. batch: bytes of text a worker handles at once.
     """
     n = partitions(docs.sparkSession)
-    texts = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    raw = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    texts = raw.withColumn("key", F.xxhash64("did", "hash"))
     # a document of the same bytes as an earlier one loses them all, and takes no part in the search
-    sized = texts.select("did", F.sha2("bytes", 256).alias("sha"), "hash", F.octet_length("bytes").alias("n")).where(F.col("n") >= WINDOW)
-    originals = sized.groupBy("sha").agg(F.min("did").alias("first"))
-    copies = written(sized.join(originals.withColumnRenamed("sha", "s"), F.col("sha") == F.col("s")).where(F.col("did") != F.col("first")).select("did", "hash", "n").distinct(), "dedup-copies")
-    gone = copies.select(F.col("did").alias("c_did"), F.col("hash").alias("c_hash"))
-    long = texts.where(F.octet_length("bytes") >= WINDOW).join(gone, (F.col("did") == F.col("c_did")) & (F.col("hash").bitwiseXOR(F.col("c_hash")) == 0), "left_anti")
-    once = long.mapInArrow(_anchor_rows(False), "gram long, did long").repartition(n, "gram")
-    several = once.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).where("n > 1").select("did", F.array("gram").alias("grams"))
-    local = long.mapInArrow(_anchor_rows(True), "did long, grams array<bigint>")
-    grams = several.union(local).groupBy("did").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    about = long.join(grams.withColumnRenamed("did", "g"), F.col("did") == F.col("g")).select("did", "hash", "bytes", "grams")
-    found = written(about.mapInArrow(_context_rows, "gram long, did long, hash long, start long, bytes binary, spans array<bigint>"), "dedup-contexts")
+    sized = texts.select("did", F.sha2("bytes", 256).alias("sha"), "key", F.octet_length("bytes").alias("n")).where(F.col("n") >= WINDOW)
+    originals = sized.groupBy("sha").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first != last").select(F.col("sha").alias("s"), "first")
+    copies = written(sized.join(originals, F.col("sha") == F.col("s")).where(F.col("did") != F.col("first")).select("key", "n").distinct(), "dedup-copies")
+    long = texts.where(F.octet_length("bytes") >= WINDOW).join(copies.select(F.col("key").alias("c")), F.col("key") == F.col("c"), "left_anti")
+    anchored = long.select("key", "hash", "bytes").mapInArrow(lambda b: _anchor_rows(b, batch), "gram long, salt long, key long, sure int")
+    several = anchored.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_repeated_rows, "key long, gram long")
+    grams = several.groupBy(F.col("key").alias("g")).agg(F.collect_set("gram").alias("grams"))
+    about = long.join(grams, F.col("key") == F.col("g")).select("did", "hash", "bytes", "grams")
+    found = written(about.mapInArrow(lambda b: _context_rows(b, batch), CONTEXTS), "dedup-contexts")
     contexts = found.where("bytes IS NOT NULL").drop("spans")
-    hot = written(contexts.groupBy(F.col("gram").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h"), "dedup-hot")
-    met = contexts.join(hot, F.col("gram") == F.col("h"), "left_anti").repartition(n, "gram").sortWithinPartitions("gram", "did", "hash", "start")
-    marks = met.mapInArrow(_mark_rows, "did long, hash long, spans array<bigint>")
-    windows = contexts.join(hot, F.col("gram") == F.col("h"), "left_semi").select("did", "hash", "start", "bytes").mapInArrow(_window_rows, "w1 long, w2 long, did long, hash long, start long")
+    hot = written(contexts.groupBy(F.col("gram").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h", F.ceil(F.col("n") / crowd).alias("parts")), "dedup-hot")
+    dealt = contexts.join(hot, F.col("gram") == F.col("h"), "left").withColumn("hot", F.col("parts").isNotNull().cast("int"))
+    dealt = dealt.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("did", "hash", "start"), F.col("parts"))).otherwise(F.lit(0))).select("gram", "salt", "hot", "did", "hash", "start", "bytes")
+    judged = written(dealt.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(lambda b: _mark_rows(b, batch), CONTEXTS), "dedup-judged")
+    windows = judged.where("bytes IS NOT NULL").select("did", "hash", "start", "bytes").mapInArrow(_window_rows, "w binary, did long, hash long, run long, start long")
     me = F.struct("did", "hash", "start")
-    first = windows.groupBy(F.col("w1").alias("f1"), F.col("w2").alias("f2")).agg(F.min(me).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(me != F.col("first")).select("did", "hash", F.array(F.col("start"), F.col("start") + F.lit(WINDOW).cast("long")).alias("spans"))
-    whole = copies.select("did", "hash", F.array(F.lit(0).cast("long"), F.col("n").cast("long")).alias("spans"))
-    every = marks.unionByName(later).unionByName(whole).unionByName(found.where("spans IS NOT NULL").select("did", "hash", "spans"))
-    return texts, every.groupBy("did", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    first = windows.groupBy(F.col("w").alias("f")).agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first != last").select("f", "first")
+    later = windows.join(first, F.col("w") == F.col("f")).where(me != F.col("first")).groupBy("did", "hash", "run").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    a, b = F.element_at("starts", 1), F.element_at("starts", -1)
+    each = F.flatten(F.transform("starts", lambda s: F.array(s, s + WINDOW)))
+    later = later.select("did", "hash", F.when(b - a + 1 == F.size("starts"), F.array(a, b + WINDOW)).otherwise(each).alias("spans"))
+    every = later.unionByName(judged.where("spans IS NOT NULL").select("did", "hash", "spans")).unionByName(found.where("spans IS NOT NULL").select("did", "hash", "spans"))
+    whole = copies.select("key", F.array(F.lit(0).cast("long"), F.col("n").cast("long")).alias("spans"))
+    return texts, every.select(F.xxhash64("did", "hash").alias("key"), "spans").unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, kept (bytes left), n_bytes, n_removed and n_spans of each row of docs."""
-    texts, spans = repeated_spans(docs)
-    spans = spans.select(F.col("did").alias("s_did"), F.col("hash").alias("s_hash"), "spans")
-    both = texts.join(spans, (F.col("did") == F.col("s_did")) & (F.col("hash").bitwiseXOR(F.col("s_hash")) == 0), "left")
+    texts, spans = repeated_spans(docs, **parameters)
+    both = texts.join(spans.withColumnRenamed("key", "s"), F.col("key") == F.col("s"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept, removed, n = [], [], []
-            data = b.column(1).to_pylist()
-            for text, spans in zip(data, b.column(2).to_pylist()):
-                gone = merged_spans(spans)
-                edges = [0, *(x for s in gone for x in s), len(text)]
-                kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])) if gone else text)
-                removed.append(len(text) - len(kept[-1]))
-                n.append(len(gone))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array([len(t) for t in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())], names=["did", "kept", "n_bytes", "n_removed", "n_spans"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                kept, removed, n = [], [], []
+                data = b.column(1).to_pylist()
+                for text, spans in zip(data, b.column(2).to_pylist()):
+                    gone = merged_spans(spans)
+                    edges = [0, *(x for s in gone for x in s), len(text)]
+                    kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])) if gone else text)
+                    removed.append(len(text) - len(kept[-1]))
+                    n.append(len(gone))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array([len(t) for t in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64())], names=["did", "kept", "n_bytes", "n_removed", "n_spans"])
 
     done = both.select("did", "bytes", "spans").mapInArrow(cut, "did long, kept binary, n_bytes long, n_removed long, n_spans long")
     return done.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return deduplicated(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
+    return deduplicated(docs, **parameters).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, components, fingerprints, mixing, packing, pii, secrets, simhash, substrings, token_store, tokens, toxicity
+from tessella.llm import ann, components, fingerprints, mixing, packing, pii, secrets, simhash, token_store, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, did string"
 
@@ -34,29 +34,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_substrings_match_brute_force(corpus, empty):
-    docs, rows = corpus
-    got = {r.doc_id: r for r in substrings.report(docs).collect()}
-    seen = set()
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for k in range(len(b) - 99):
-            if b[k : k + 100] in seen:
-                gone[k : k + 100] = b"\1" * 100
-            seen.add(b[k : k + 100])
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        n = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), sum(gone), n, hashlib.sha256(kept).hexdigest())
-    assert substrings.report(empty).count() == 0
-
-
-def test_substrings_of_very_frequent_lines(corpus):
-    docs, _ = corpus
-    few = substrings.repeated_spans(docs, crowd=1)[1].select("did", F.size("spans")).count()
-    assert few == substrings.repeated_spans(docs)[1].count()
-
-
 @pytest.mark.parametrize("crowd", [64, 0])
 def test_simhash_components(corpus, empty, crowd):
     docs, rows = corpus
