@@ -1,49 +1,55 @@
 r"""Operator 7: personal data replaced by format-preserving Feistel pseudonyms.
 
-Found are e-mail addresses, phone numbers, payment-card numbers (13 to 19 digits that pass the Luhn test, also as whole groups of a longer run), social-security
-numbers, IBANs (mod-97 test), IPv4 addresses (octets to 255) and dates (that exist). A value is permuted by a keyed Feistel
-network within its format: strings keep the class of every character (digit, lower, upper, other), card numbers and IBANs
-keep valid check digits, addresses stay addresses, dates stay dates of the same notation. Being permutations under one key,
-equal values get equal pseudonyms in all documents, and different values different ones.
+Found are e-mail addresses (letters of any script), phone numbers (national, and international ones after a plus sign),
+payment-card numbers (13 to 19 digits that pass the Luhn test, also as whole groups of a longer run), social-security numbers,
+IBANs (mod-97 test), IPv4 addresses (octets to 255), IPv6 addresses and dates (that exist, years 1 to 9600). A value is permuted
+by a keyed Feistel network within its format: strings keep the class of every character (digit, lower, upper, other), card
+numbers and IBANs keep valid check digits, addresses stay addresses, dates stay dates of the same notation within their 400
+years. Being permutations under one key, equal values get equal pseudonyms in all documents, and different values different ones.
+
+The key is the setting ``tessella.pii.key`` of the session. Where it is unset, one is drawn at random for the session, so that
+pseudonyms are linked within it only. Rounds are SHA-256 digests of key, round and half.
 
 Defined results: null text stays null; text without findings stays as it is; values that fail their test stay; repeated rows
-are treated alike; texts may be of any length; other columns of docs are kept (``pseudonymised``). Expressions are built-in
-SQL functions only.
+are treated alike; texts may be of any length; other columns of docs are kept, whatever their names (``pseudonymised``).
+Expressions are built-in SQL functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import let, only, whole_rows
 
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:.])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "international": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 }
 ANY = "|".join(KINDS.values())
-#: 400 Gregorian years from 1800-01-01: 189 x 773 days.
-DAYS, FIRST = (189, 773), "1800-01-01"
+#: 400 Gregorian years have 189 x 773 days; dates are permuted within the 400 years they are in, counted from FIRST, for CYCLES of them.
+DAYS, FIRST, CYCLES = (189, 773), "0001-01-01", 24
 ROUNDS = 8
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _chars(s: Column) -> Column:
     return F.split(s, "")
 
 
+def _round(key: Column, *parts: Column) -> Column:
+    """The keyed function of a round: a digest that gives neither the key nor its other values away."""
+    return F.sha2(F.concat_ws("/", key, *(p.cast("string") for p in parts)).cast("binary"), 256)
+
+
 def _shifted(s: Column, mask: Column) -> Column:
     """Each letter and digit of s moved within its class by an amount that (mask, place) decides."""
 
@@ -62,7 +68,7 @@ def feistel(s: Column, key: Column) -> Column:
 def _feistel(s: Column, key: Column) -> Column:
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
-    turn = lambda x, r: F.struct(x["b"].alias("a"), let(F.xxhash64(key, r, F.length(s), x["b"]), lambda mask: _shifted(x["a"], mask)).alias("b"))
+    turn = lambda x, r: F.struct(x["b"].alias("a"), let(_round(key, r, F.length(s), x["b"]), lambda mask: _shifted(x["a"], mask)).alias("b"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda x: F.concat(x["a"], x["b"]))
 
 
@@ -71,10 +77,10 @@ def feistel_number(n: Column, left: int, right: int, key: Column) -> Column:
     start = F.struct(F.floor(n / right).cast("long").alias("a"), F.pmod(n, F.lit(right)).cast("long").alias("b"))
 
     def turn(x: Column, r: Column) -> Column:
-        return let(F.pmod(x["a"] + F.pmod(F.xxhash64(key, r, x["b"]), F.lit(left)), F.lit(left)), lambda a: second(x, r, a))
+        return let(F.pmod(x["a"] + F.pmod(F.xxhash64(_round(key, r, x["b"])), F.lit(left)), F.lit(left)), lambda a: second(x, r, a))
 
     def second(x: Column, r: Column, a: Column) -> Column:
-        return F.struct(a.cast("long").alias("a"), F.pmod(x["b"] + F.pmod(F.xxhash64(key, -r, a.cast("long")), F.lit(right)), F.lit(right)).cast("long").alias("b"))
+        return F.struct(a.cast("long").alias("a"), F.pmod(x["b"] + F.pmod(F.xxhash64(_round(key, -r, a.cast("long"))), F.lit(right)), F.lit(right)).cast("long").alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn, lambda x: x["a"] * right + x["b"])
 
@@ -169,9 +175,10 @@ def _ip(m: Column, key: Column) -> Column:
 def _date(m: Column, key: Column) -> Column:
     iso = F.regexp_like(m, F.lit("^[0-9]{4}-"))
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.regexp_replace(m, r"\.", "/"), "dd/MM/yyyy"))
-    first, sep = F.lit(FIRST).cast("date"), F.substring(m, 3, 1)
+    first, sep, n = F.lit(FIRST).cast("date"), F.substring(m, 3, 1), DAYS[0] * DAYS[1]
     written = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy")))
-    made = lambda n: F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), let(F.date_add(first, feistel_number(n.cast("long"), *DAYS, key).cast("int")), written))
+    moved = lambda at: F.date_add(first, ((at - F.pmod(at, F.lit(n))) + feistel_number(F.pmod(at, F.lit(n)).cast("long"), *DAYS, key)).cast("int"))
+    made = lambda at: F.when((at >= 0) & (at < CYCLES * n), let(moved(at), written))
     return let(F.datediff(day, first), made)
 
 
@@ -191,7 +198,32 @@ def _ssn(m: Column, key: Column) -> Column:
     return _refilled(m, feistel(F.regexp_replace(m, "-", ""), key))
 
 
-MAKERS = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
+def _ipv6(m: Column, key: Column) -> Column:
+    """Each hexadecimal digit is moved among its like; the shape stays."""
+    return _refilled(m, feistel_hex(F.regexp_replace(m, ":", ""), key))
+
+
+def feistel_hex(s: Column, key: Column) -> Column:
+    """A permutation of the strings of hexadecimal digits of a length; letters keep their case, as upper or lower of the whole."""
+    upper = F.regexp_like(s, F.lit("[A-F]"))
+    # digits 0-f as the letters a-p, moved there, and back
+    as_letters = F.translate(F.lower(s), "0123456789abcdef", "abcdefghijklmnop")
+
+    def half(x: Column, mask: Column) -> Column:
+        one = lambda c, i: F.chr(F.lit(97) + F.pmod(F.ascii(c) - 97 + F.pmod(F.xxhash64(mask, i), F.lit(16)), F.lit(16)))
+        return F.array_join(F.transform(_chars(x), one), "")
+
+    def permuted(v: Column) -> Column:
+        middle = F.floor(F.length(v) / 2).cast("int")
+        start = F.struct(F.substring(v, F.lit(1), middle).alias("a"), F.substring(v, middle + 1, F.length(v)).alias("b"))
+        turn = lambda x, r: F.struct(x["b"].alias("a"), let(_round(key, r, F.length(v), x["b"]), lambda mask: half(x["a"], mask)).alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda x: F.concat(x["a"], x["b"]))
+
+    back = F.translate(let(as_letters, permuted), "abcdefghijklmnop", "0123456789abcdef")
+    return F.when(upper, F.upper(back)).otherwise(back)
+
+
+MAKERS = {"email": _email, "ipv6": _ipv6, "international": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
 
 
 def _replacement(m: Column, key: str) -> Column:
@@ -209,33 +241,47 @@ def _replacement(m: Column, key: str) -> Column:
     return F.coalesce(*[made(k, p) for k, p in KINDS.items()])
 
 
-def found(docs: DataFrame, key: str = "tessella") -> DataFrame:
-    """docs with pii_pieces (texts between matches), pii_hits (matches) and pii_new (their kind and pseudonym, or null)."""
-    # every kind but e-mail has several digits; texts without either are passed over by two cheap scans
-    possible = F.regexp_like("text", F.lit("[0-9][^0-9]{0,4}[0-9]")) | F.contains("text", F.lit("@"))
+def session_key(spark: SparkSession) -> str:
+    """``tessella.pii.key`` of the session; where it is unset, a random key is drawn and set there."""
+    key = spark.conf.get("tessella.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("tessella.pii.key", key)
+    return key
+
+
+NEW = "array<struct<kind:string,value:string,before:string,after:string>>"
+
+
+def found(texts: DataFrame, key: str) -> DataFrame:
+    """texts (text and others) with pieces (texts between matches), hits (matches) and new (their kind and pseudonym, or null)."""
+    # every kind but e-mail has several digits, or digits and colons; texts without either are passed over by cheap scans
+    possible = F.regexp_like("text", F.lit("[0-9][^0-9]{0,4}[0-9]")) | F.contains("text", F.lit("@")) | F.contains("text", F.lit("::"))
     hits = F.when(possible, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     hits = F.when(F.size(hits) > 0, hits)
-    cut = docs.select("*", hits.alias("pii_hits")).select("*", F.when(F.col("pii_hits").isNotNull(), F.split("text", ANY, -1)).alias("pii_pieces"))
-    return cut.select("*", F.transform("pii_hits", lambda m: _replacement(m, key)).alias("pii_new"))
+    cut = texts.select("*", hits.alias("hits")).select("*", F.when(F.col("hits").isNotNull(), F.split("text", ANY, -1)).alias("pieces"))
+    return cut.select("*", F.transform("hits", lambda m: _replacement(m, key)).alias("new"))
 
 
 def _text() -> Column:
     new = lambda x: F.concat(x["before"], x["value"], x["after"])
-    put = F.transform("pii_hits", lambda m, i: F.concat(F.element_at("pii_pieces", i + 1), F.coalesce(new(F.element_at("pii_new", i + 1)), m)))
-    return F.when(F.col("pii_hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(put, ""), F.element_at("pii_pieces", -1)))
+    put = F.transform("hits", lambda m, i: F.concat(F.element_at("pieces", i + 1), F.coalesce(new(F.element_at("new", i + 1)), m)))
+    return F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.concat(F.array_join(put, ""), F.element_at("pieces", -1)))
 
 
-def pseudonymised(docs: DataFrame, key: str = "tessella") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with the texts' personal data replaced; n_chars, where present, follows the text."""
-    out = found(docs, key).withColumn("text", _text())
+    marked = found(whole_rows(docs, F.col("text").alias("text")), key or session_key(docs.sparkSession))
+    out = marked.select("row", _text().alias("said"), F.col("hits").isNull().alias("same"))
+    row = F.col("row").withField("text", F.col("said"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("pii_hits").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("same"), F.col("row")["n_chars"]).otherwise(F.length("said")).cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("row")).select("row.*")
 
 
-def report(docs: DataFrame, key: str = "tessella") -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text (with pseudonyms), n_found, a count for each kind, and pseudonyms: kind:pseudonym of each value in order, comma-joined."""
-    marked = found(only(docs, "doc_id", "text"), key)
-    good = F.coalesce(F.array_compact("pii_new"), F.array().cast("array<struct<kind:string,value:string,before:string,after:string>>"))
+    marked = found(only(docs, "doc_id", "text"), key or session_key(docs.sparkSession))
+    good = F.coalesce(F.array_compact("new"), F.array().cast(NEW))
     count = lambda k: F.size(F.filter(good, lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return marked.select("doc_id", _text().alias("text"), F.size(good).cast("long").alias("n_found"), *[count(k) for k in KINDS], F.array_join(F.transform(good, lambda x: F.concat_ws(":", x["kind"], x["value"])), ",").alias("pseudonyms"))
