@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, only, partitions
-from .tokens import encoder, vocabulary
+from .tokens import batches_of, encoder, vocabulary
 
 END_ID = 2
 SCHEMA = "shard int, group_no long, n_ids long, doc_ids array<bigint>, n_tokens array<bigint>, chunk_index array<struct<first:long,n:int,at:long,sizes:array<int>>>, payload binary"
@@ -76,24 +76,29 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     vocab = vocab or vocabulary()
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, no, kept_ids, kept, size = TaskContext.get().partitionId(), 0, [], [], 0
-        end = np.array([end_id], np.uint32)
+        shard, no, size = TaskContext.get().partitionId(), 0, 0
+        names: list[int | None] = []
+        sizes: list[np.ndarray] = []
+        kept: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
             index, payload = encode_ids(np.concatenate(kept), block, kind)
-            one = {"shard": shard, "group_no": no, "n_ids": size, "doc_ids": kept_ids, "n_tokens": [len(x) for x in kept], "chunk_index": index, "payload": payload}
+            one = {"shard": shard, "group_no": no, "n_ids": size, "doc_ids": names, "n_tokens": np.concatenate(sizes).tolist(), "chunk_index": index, "payload": payload}
             return pa.RecordBatch.from_pylist([one], schema=arrow)
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                for i, ids in zip(part.column(0).to_pylist(), encoder(vocab).encode(part.column(1).to_pylist())):
-                    kept_ids.append(i)
-                    kept.append(np.concatenate([ids, end]))
-                    size += len(ids) + 1
-                    if size >= group_ids:
-                        yield row()
-                        no, kept_ids, kept, size = no + 1, [], [], 0
+        for b in batches_of(batches):
+            ids, n = encoder(vocab).encode_ended(b.column(1), end_id)
+            ends, docs, lo = np.cumsum(n), b.column(0).to_pylist(), 0
+            while lo < len(n):
+                done = int(ends[lo - 1]) if lo else 0
+                hi = min(int(np.searchsorted(ends, done + group_ids - size)) + 1, len(n))
+                names += docs[lo:hi]
+                sizes.append(n[lo:hi])
+                kept.append(ids[done : ends[hi - 1]])
+                size, lo = size + int(ends[hi - 1]) - done, hi
+                if size >= group_ids:
+                    yield row()
+                    no, names, sizes, kept, size = no + 1, [], [], [], 0
         if kept:
             yield row()
 
