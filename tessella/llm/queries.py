@@ -33,7 +33,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.linked(table(spark, sf_dir, "documents"))
+    return simhash.linked(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

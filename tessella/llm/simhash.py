@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import first_named, only, representatives, written
 from .components import components
 
 
@@ -42,13 +42,13 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, hash (of the text), fp (the fingerprint's bits as a signed long)."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
 
-    return only(docs, "doc_id", "text").select("doc_id", fp("text").alias("fp"))
+    return only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("hash"), fp("text").alias("fp"))
 
 
 GROUPS, WIDTH = 2, 32
@@ -89,19 +89,17 @@ def pairs(fps: DataFrame, max_distance: int = 2, crowd: int = 64) -> DataFrame:
 
 
 def linked(docs: DataFrame, shingle: int = 3, max_distance: int = 2, crowd: int = 64, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
+    """doc_id, hash, fingerprint (16 hex digits), component_id (least doc_id that links reach), component_hash (of that document's text, the least)."""
     marked = written(fingerprints(docs, shingle, seed), "simhash")
-    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = written(marked.groupBy("fp").agg(first_named().alias("first")), "simhash-classes")
     roots = components(written(pairs(classes.select("fp"), max_distance, crowd), "simhash-links")).select(F.col("node"), "root")
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    named = rooted.join(least, "root").select(F.col("fp").alias("f"), F.col("component.doc_id").alias("component_id"), F.col("component.hash").alias("component_hash"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "hash", hexed.alias("fingerprint"), "component_id", "component_hash")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that stay: of each component the one of the least doc_id (and, of rows sharing it, one); rows of null doc_id can't be named and stay."""
-    kept = linked(docs, **parameters).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("k_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs that stay: of each component the one of the least doc_id (and hash of the text); rows of null doc_id can't be named and stay."""
+    return representatives(docs, linked(docs, **parameters))
