@@ -1,21 +1,23 @@
 """Operator 9: packing documents into token windows beside their lexical neighbours.
 
-Documents are dealt into index shards of bounded size (as storage holds them; no shuffle). A shard has a BM25 inverted
-index over token ids. A seed document, the next unused one, opens a window; while there is room, the index returns the
-seed's best unused neighbours by its heaviest terms, then by all the others, and they fill the window greedily, the last one cut to fit. The rest of a cut document opens
-the next window, so a document's pieces lie in neighbouring windows in order. All windows are full but a shard's last, whose
-ids are cut into windows of powers of two, so nothing is padded.
+Documents are dealt into index shards by content: a document's key is the least hash of its runs of three ids, so that
+copies share it, and other documents do as often as their runs overlap. Encoded documents are put in order of keys by
+ranges (a key of very many documents spreads over several), and each run of about ``shard_ids`` ids is a shard with a BM25
+inverted index over token ids, the end id left out. A seed document, the next unused one, opens a window; while there is
+room, the index returns the seed's unused neighbours by all of the seed's terms, best first, and they fill the window
+greedily, the last one cut to fit. The rest of a cut document opens the next window, so a document's pieces lie in
+neighbouring windows in order. All windows are full but a shard's last, whose ids are cut into windows of powers of two, so
+nothing is padded.
 
 Defined results: a null or empty text is just the end id; repeated rows and repeated or null doc_ids are packed each, as rows
-of their own; a document longer than a window fills windows of its own first; an empty table gives no rows; extra
-columns are ignored.
+of their own; a document longer than a window fills windows of its own first; equal scores go to the earlier document of
+the shard; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,48 +25,81 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
-from .tokens import encoder, vocabulary
+from .common import only, partitions, written
+from .tokens import batches_of, encoder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each document, the least hash of its runs of three ids; ids: of all documents, n: how many each has (1 or more)."""
+    x = ids.astype(np.uint64)
+    x[:-2] = (x[:-2] * _ODD + x[1:-1]) * _ODD + x[2:]
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    x ^= x >> np.uint64(32)
+    ends = np.cumsum(n)
+    # a document's last two ids begin no run of its own
+    x[ends - 1] = ~np.uint64(0)
+    x[(ends - 2)[n > 1]] = ~np.uint64(0)
+    return np.minimum.reduceat(x, ends - n).view(np.int64)
 
 
 class Bm25:
     """Inverted index over the documents of a shard; terms are token ids."""
 
-    def __init__(self, docs: list[np.ndarray], terms: int = 12, k1: float = 1.2, b: float = 0.75) -> None:
-        counted = [np.unique(d, return_counts=True) for d in docs]
-        self.n, sizes = len(docs), np.array([len(t) for t, _ in counted])
-        term, tf = np.concatenate([t for t, _ in counted]), np.concatenate([c for _, c in counted]).astype(np.float64)
-        doc = np.repeat(np.arange(self.n), sizes)
-        length = np.array([len(d) for d in docs], np.float64)
+    def __init__(self, ids: np.ndarray, n: np.ndarray, k1: float = 1.2, b: float = 0.75) -> None:
+        self.n = len(n)
+        both = np.repeat(np.arange(self.n, dtype=np.int64), n) << 32 | ids
+        both.sort()
+        new = np.flatnonzero(np.diff(both, prepend=-1))
+        tf = np.diff(np.append(new, len(both))).astype(np.float32)
+        doc, term = (both[new] >> 32).astype(np.int32), (both[new] & 0xFFFFFFFF).astype(np.int64)
         df = np.bincount(term)
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / max(length.mean(), 1)))
-        ends = np.cumsum(sizes)
-        # a query is its document's terms that other documents have too, the ``terms`` heaviest before the rest
-        self.query, self.terms = [], terms
-        for e, s in zip(ends, sizes):
-            t, w = term[e - s : e], np.where(df[term[e - s : e]] > 1, weight[e - s : e], 0.0)
-            best = np.argpartition(-w, terms) if s > terms else np.arange(s)
-            self.query.append(t[best[w[best] > 0]])
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.at = doc[order], weight[order], np.concatenate([[0], np.cumsum(df)])
-
-    def neighbours(self, seed: int, unused: np.ndarray, rest: bool = False) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, or of the rest of its terms, best first."""
-        asked = self.query[seed][self.terms :] if rest else self.query[seed][: self.terms]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in asked]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n) * unused
+        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        long = (1 - b + b * n / max(n.mean() if self.n else 0, 1)).astype(np.float32)
+        weight = idf[term] * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * long[doc])
+        # a query is its document's terms that other documents have too
+        asked = df[term] > 1
+        self.query, self.first = term[asked], np.concatenate([[0], np.cumsum(np.bincount(doc[asked], minlength=self.n))])
+        # terms of an eighth of the documents or more as rows over all documents, the others as postings
+        often = np.flatnonzero(df >= max(8, self.n / 8))
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        dense = self.row[term] >= 0
+        self.rows = np.zeros((len(often), self.n), np.float32)
+        self.rows[self.row[term[dense]], doc[dense]] = weight[dense]
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        df[often] = 0
+        self.doc, self.weight, self.at = doc[rest].astype(np.intp), weight[rest].astype(np.float64), np.concatenate([[0], np.cumsum(df)])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of each document for all terms of the seed."""
+        terms = self.query[self.first[seed] : self.first[seed + 1]]
+        rows = self.row[terms]
+        terms = terms[rows < 0]
+        out = self.rows[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        if len(terms):
+            spans = [slice(a, b) for a, b in zip(self.at[terms].tolist(), self.at[terms + 1].tolist())]
+            out += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out
+
+    def neighbours(self, seed: int, unused: np.ndarray, few: int = 48) -> Iterator[int]:
+        """Unused documents that share a term with the seed, best first; the best ``few`` are sorted before the others."""
+        score = self.scores(seed) * unused
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        if len(found) > few:
+            near = score[found] >= np.partition(score[found], len(found) - few)[len(found) - few]
+            yield from found[near][np.argsort(-score[found[near]], kind="stable")].tolist()
+            found = found[~near]
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
-def pack_shard(docs: list[np.ndarray], window: int = 1024, terms: int = 12) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; sequences count from 0."""
-    index = Bm25(docs, terms)
+def pack_shard(docs: list[np.ndarray], window: int = 1024) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) of each piece; sequences count from 0. docs: ids, the end id last."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    index = Bm25(np.concatenate([d[:-1] for d in docs]) if docs else np.zeros(0, np.uint32), sizes - 1)
     unused, nxt, sequence, used = np.ones(len(docs), bool), 0, 0, 0
     opened: list[tuple[int, int, int, int]] = []  # pieces of the open window: document, start, length, offset
     rest: tuple[int, int] | None = None
@@ -89,12 +124,11 @@ def pack_shard(docs: list[np.ndarray], window: int = 1024, terms: int = 12) -> I
         if end < len(docs[seed]):
             rest = (seed, end)
         elif used < window:
-            # once the heaviest terms' documents are used up, only the rest of the terms can score
-            for d in chain.from_iterable(index.neighbours(seed, unused, more) for more in (False, True)):
+            for d in index.neighbours(seed, unused):
                 unused[d] = False
-                end = put(int(d), 0)
+                end = put(d, 0)
                 if end < len(docs[d]):
-                    rest = (int(d), end)
+                    rest = (d, end)
                 if used == window:
                     break
         if used == window:
@@ -113,39 +147,52 @@ def pack_shard(docs: list[np.ndarray], window: int = 1024, terms: int = 12) -> I
             s, n, at = s + take, n - take, at + take
 
 
-def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id: int = 0, shard_ids: int = 2_000_000, terms: int = 12) -> DataFrame:
-    """A row per piece (SCHEMA). shard_ids: ids of an index shard, but for its last document. sequence_id: input partition and number within."""
+def encoded(docs: DataFrame, vocab: str | None = None, end_id: int = 0) -> DataFrame:
+    """doc_id, key, salt (any even spread over a key's rows) and ids (little-endian, the end id last; two bytes each where wide is 0) of each row."""
     vocab = vocab or vocabulary()
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        for b in batches_of(batches):
+            ids, n = encoder(vocab).encode_ended(b.column(1), end_id)
+            wide = int(ids.max()) >> 16 > 0
+            at = pa.array(np.concatenate([[0], (4 if wide else 2) * np.cumsum(n)]).astype(np.int64))
+            flat = pa.Array.from_buffers(pa.large_binary(), len(n), [None, at.buffers()[1], pa.py_buffer(ids.astype("<u4" if wide else "<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys(ids, n)), pa.array(rng.integers(0, 1 << 62, len(n))), pa.array(np.full(len(n), wide, np.int32)), flat.cast(pa.binary())], names=["doc_id", "key", "salt", "wide", "ids"])
+
+    texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(rows, "doc_id long, key long, salt long, wide int, ids binary")
+
+
+def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id: int = 0, shard_ids: int = 500_000) -> DataFrame:
+    """A row per piece (SCHEMA). shard_ids: ids of an index shard, but for its last document. sequence_id: partition and number within."""
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
-        end = np.array([end_id], np.uint32)
-        ids: list[int | None] = []
+        names: list[int | None] = []
         docs: list[np.ndarray] = []
         size = 0
 
         def rows() -> pa.RecordBatch:
             nonlocal first
-            got = list(pack_shard(docs, window, terms))
+            got = list(pack_shard(docs, window))
             d, s, n, q, o = (np.array(x, np.int64) for x in zip(*got))
             crc = [zlib.crc32(docs[a][b : b + c].tobytes()) for a, b, c, _, _ in got]
-            out = pa.RecordBatch.from_arrays([pa.array([ids[a] for a in d.tolist()], pa.int64()), pa.array(s), pa.array(n), pa.array(crc, pa.int64()), pa.array([len(docs[a]) for a in d.tolist()], pa.int64()), pa.array(q + first), pa.array(o)],
+            out = pa.RecordBatch.from_arrays([pa.array([names[a] for a in d.tolist()], pa.int64()), pa.array(s), pa.array(n), pa.array(crc, pa.int64()), pa.array([len(docs[a]) for a in d.tolist()], pa.int64()), pa.array(q + first), pa.array(o)],
                                              names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             first += int(q.max()) + 1
             return out
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids += part.column(0).to_pylist()
-                for x in encoder(vocab).encode(part.column(1).to_pylist()):
-                    docs.append(np.concatenate([x, end]))
-                    size += len(x) + 1
+            for name, wide, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                names.append(name)
+                docs.append(np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2").astype(np.uint32))
+                size += len(docs[-1])
                 if size >= shard_ids:
                     yield rows()
-                    ids, docs, size = [], [], 0
+                    names, docs, size = [], [], 0
         if docs:
             yield rows()
 
-    texts = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(shards, SCHEMA)
+    dealt = written(encoded(docs, vocab, end_id), "packing-ids").repartitionByRange(partitions(docs.sparkSession), "key", "salt")
+    return dealt.sortWithinPartitions("key", "salt").select("doc_id", "wide", "ids").mapInArrow(shards, SCHEMA)
