@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import drop, only, written
 
 SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -52,12 +52,21 @@ class Model:
     words: dict[str, float] = field(default_factory=dict)
     bias: float = BIAS
     leak: float = 0.0
+    memo: dict[str, list[str]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.starts = sorted({len(w) - 1 for w in self.words if w.endswith("*")})
 
     def features(self, word: str) -> list[str]:
-        """Those of the model's words and beginnings that a lower-case word has."""
+        """Those of the model's words and beginnings that a lower-case word has; words met before are remembered."""
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) >= 300_000:
+                self.memo.clear()
+            found = self.memo[word] = self._features(word)
+        return found
+
+    def _features(self, word: str) -> list[str]:
         return [f for f in (word, *(word[:k] + "*" for k in self.starts if len(word) > k)) if f in self.words]
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
@@ -141,7 +150,9 @@ def _telling(bags: DataFrame, words: int, min_docs: int, level: float, rate: flo
     # the toxic share of a feature's documents falls as documents are set aside, but for clean ones that hold other features: half the rate is asked here
     others = each(bags.where("toxic = 0")).join(some, F.col("word") == F.col("w"), "left_semi").groupBy("word").agg(F.count("*").alias("b"))
     likely = some.join(others, F.col("w") == F.col("word"), "left").where(F.col("a") >= (F.col("a") + F.coalesce("b", F.lit(0))) * (rate / 2)).select("w")
-    seen = written(each(bags).join(written(likely, "toxicity-likely"), F.col("word") == F.col("w"), "left_semi"), "toxicity-seen")
+    likely = written(likely, "toxicity-likely")
+    seen = written(each(bags).join(likely, F.col("word") == F.col("w"), "left_semi"), "toxicity-seen")
+    drop(some, likely)
     sizes, gone, names = {r.toxic: r["count"] for r in bags.groupBy("toxic").count().collect()}, {0: 0, 1: 0}, []
     need = NormalDist().inv_cdf(1 - level / (2 * max(m, 1))) ** 2
     while len(names) < words:
@@ -160,7 +171,10 @@ def _telling(bags: DataFrame, words: int, min_docs: int, level: float, rate: flo
         held = written(seen.where(F.col("word").isin(more)).select(F.col("doc").alias("d"), F.col("toxic").alias("t")).distinct(), "toxicity-held")
         for r in held.groupBy("t").count().collect():
             gone[r.t] += r["count"]
-        seen = written(seen.join(held, F.col("doc") == F.col("d"), "left_anti"), "toxicity-left")
+        left = written(seen.join(held, F.col("doc") == F.col("d"), "left_anti"), "toxicity-left")
+        drop(seen, held)
+        seen = left
+    drop(seen)
     return names
 
 
@@ -173,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
     totals = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
+        drop(picked)
         return Model(leak=n1 / max(1, n0 + n1))
     said = picked.select("doc", "toxic", F.explode(F.split(F.lower("text"), SENTENCE_END.pattern)).alias("sentence")).where("sentence != ''")
     # a sentence counts for the document of least hash that has it
@@ -180,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
     words_of = F.array_distinct(F.flatten(F.transform(F.collect_list("sentence"), lambda t: F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)))))
     sets = written(once.groupBy("doc", "toxic").agg(words_of.alias("words")), "toxicity-sets")
     names = _telling(sets, words, min_docs, level, rate)
+    drop(sets)
     number, look = {w: i for i, w in enumerate(names)}, Model(dict.fromkeys(names, 0.0))
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
             yield pd.DataFrame({"doc": b["doc"], "toxic": b["toxic"], "known": out})
 
     rows = picked.mapInPandas(bags, "doc long, toxic int, known array<array<int>>").withColumn("fold", F.pmod(F.xxhash64("doc", F.lit("fold")), F.lit(5))).collect()  # at most ``sample`` rows
+    drop(picked)
     rows.sort(key=lambda r: r.doc)  # sums don't hang on the order of tasks
     some, rest = ([(r.toxic, r.known) for r in rows if (r.fold > 0) == k] for k in (True, False))
     prior = min(priors, key=lambda s: Bags(rest, len(names)).loss(_fit(Bags(some, len(names)), s))[0]) if some and rest else priors[0]
