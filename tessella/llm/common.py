@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,24 +42,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of our own writes: the shuffle files behind a written table go at once, and Python gets few rows at a time, as texts may be long.
+OWN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _one_at_a_time = threading.Lock()
 
 
+@contextmanager
+def own_settings(spark: SparkSession) -> Iterator[None]:
+    """OWN for an action; what was set before comes back. One action at a time, as settings are the session's."""
+    with _one_at_a_time:
+        before = {k: spark.conf.get(k, None) for k in OWN}
+        for k, v in OWN.items():
+            spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors. The shuffle files behind it go at once."""
+    """df as a table in the shared folder: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write
     for k, v in options.items():
         writer = writer.option(k, v)
-    with _one_at_a_time:
-        before = spark.conf.get(CLEANUP, "false")
-        spark.conf.set(CLEANUP, "true")
-        try:
-            writer.parquet(path)
-        finally:
-            spark.conf.set(CLEANUP, before)
+    with own_settings(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

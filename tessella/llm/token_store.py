@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, only, partitions
+from .common import new_path, only, own_settings, partitions
 from .tokens import batches_of, encoder, vocabulary
 
 END_ID = 2
@@ -107,7 +107,8 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     spark = docs.sparkSession
     texts = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(max(partitions(spark), 2), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
-    ordered.mapInArrow(groups, SCHEMA).write.option("compression", "none").parquet(path)
+    with own_settings(spark):
+        ordered.mapInArrow(groups, SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ JOINED, CALL = 64, 128
 #: Stands, after a space put in, before what follows a letter directly.
 GLUE = "\x01"
 #: Bytes of text that one call of ``encode_flat`` gets from ``batches_of``.
-BATCH_BYTES = 10_000_000
+BATCH_BYTES = 6_000_000
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -36,7 +36,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class WordEncoder:
     """most: distinct words kept in memory for later batches; beyond it only those of the last batch."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
