@@ -1,0 +1,253 @@
+"""Answers from retrieved sources: packing, extractive sentences with citations, grounding, the final record; a batch of questions at a time.
+
+A question's sources are a short list by construction (the retriever's k), so each question is one group of Arrow rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessella.config import Generation, Guard
+from tessella.functions import analysis, spans
+from tessella.operators.embedding import Embedder, embed
+from tessella.operators.rerank import LABEL_TOKENS
+
+# Fixed values.
+ABSTAIN = "I don't know based on the provided documents."
+MARGIN, ALIKE, LOW_GROUNDING = 0.08, 0.9, 0.5
+ANSWER = "query_id {q}, answer string, abstained boolean, labels array<string>, cited array<string>, invalid array<string>, grounded double, unsupported array<string>, flags array<string>"
+
+
+@dataclass(frozen=True)
+class Source:
+    key: str
+    text: str
+    title: str = ""
+    path: tuple[str, ...] = ()
+    page: int | None = None
+    flags: tuple[str, ...] = ()
+
+    @property
+    def location(self) -> str:
+        names = " › ".join(dict.fromkeys(p for p in (self.title, *self.path) if p))
+        return names if self.page is None else f"{names} (p. {self.page})"
+
+
+def location(title: Column, path: Column, page: Column) -> Column:
+    """Title and headings, each once, and the page, as a column."""
+    names = F.array_join(F.array_distinct(F.filter(F.concat(F.array(title), F.coalesce(path, F.array().cast("array<string>"))), lambda p: F.coalesce(p, F.lit("")) != "")), " › ")
+    return F.concat(names, F.when(page.isNotNull(), F.concat(F.lit(" (p. "), page.cast("string"), F.lit(")"))).otherwise(""))
+
+
+def fitting(sources: Iterable[Source], most: int, order: str = "relevance") -> list[Source]:
+    """In order, those that fit the budget of tokens; the first in any case, texts equal but for white space once. sandwich: the best at both ends."""
+    once = {" ".join(s.text.split()): s for s in reversed(list(sources))}
+    room, used = most, []
+    for s in reversed(list(once.values())):
+        cost = spans.n_tokens(s.text) + LABEL_TOKENS
+        if not used or cost <= room:
+            used.append(s)
+            room -= cost
+    return used[::2] + used[1::2][::-1] if order == "sandwich" else used
+
+
+def rendered(used: Sequence[Source]) -> str:
+    """The context for a model."""
+    return "\n\n".join(f"[S{i}] {s.location}\n{s.text.strip()}" for i, s in enumerate(used, 1))
+
+
+def filled(template: str, **values: str) -> str:
+    """A template with {name} replaced; other braces stay."""
+    for name, value in values.items():
+        template = template.replace("{" + name + "}", value)
+    return template
+
+
+@dataclass(frozen=True)
+class Candidate:
+    label: int
+    said: str
+    about: str  # the sentence under its title and section: what is scored
+
+
+def candidates(used: Sequence[Source]) -> list[Candidate]:
+    """Sentences with three content words or more, each once whatever its case; headings only name the section of what follows."""
+
+    def said(label: int, s: Source):
+        headers, section = spans.row_headers(s.text), s.path[-1] if s.path else ""
+        for a, b in spans.sentences_of(s.text):
+            raw = s.text[a:b]
+            shown = spans.rendered_row(raw, headers[a]) if a in headers else spans.plain(raw)
+            if raw.startswith("#"):
+                section = shown
+            elif len(analysis.content_words(shown)) >= 3:
+                names = " › ".join(dict.fromkeys(p for p in (s.title, section) if p))
+                yield Candidate(label, shown, f"{names}: {shown}" if names else shown)
+
+    once: dict[str, Candidate] = {}
+    for label, s in enumerate(used, 1):
+        for c in said(label, s):
+            once.setdefault(c.said.lower(), c)
+    return list(once.values())
+
+
+def scores(question: str, found: Sequence[Candidate], embedder: Embedder, idf: Mapping[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (likeness, weighted share of the question's terms, place of the source) and sentence vectors."""
+    vectors = embed(embedder, [c.about for c in found]).astype(np.float64)
+    likeness = vectors @ embed(embedder, [question])[0].astype(np.float64)
+    asked = sorted(set(analysis.terms(question)))
+    have = [set(analysis.terms(c.about)) for c in found]
+    if idf is None:
+        df = Counter(t for h in have for t in h)
+        idf = {t: math.log(1.0 + (len(found) + 1) / (df[t] + 0.5)) for t in asked}
+    weight = np.array([idf.get(t, 0.0) for t in asked])
+    holds = np.array([[t in h for t in asked] for h in have], float).reshape(len(found), len(asked))
+    covered = holds @ weight / (weight.sum() or 1.0)
+    return 0.5 * np.maximum(likeness, 0) + 0.4 * covered + 0.1 / np.array([c.label for c in found]), vectors
+
+
+def chosen(value: np.ndarray, vectors: np.ndarray, cfg: Generation, rng: np.random.Generator | None = None) -> list[int]:
+    """Numbers of the sentences to say, none if the best is under the threshold. With a temperature the first one is drawn."""
+    order = np.argsort(-value, kind="stable")
+    fit = order[value[order] >= cfg.abstain_threshold]
+    if not len(fit):
+        return []
+    first = int(fit[0])
+    if cfg.temperature > 0:
+        odds = np.exp((value[fit] - value[fit].max()) / cfg.temperature)
+        first = int(fit[(rng or np.random.default_rng()).choice(len(fit), p=odds / odds.sum())])
+    out = [first]
+    for j in fit[value[fit] >= value[first] - MARGIN].tolist():
+        if len(out) < cfg.max_sentences and j not in out and (vectors[out] @ vectors[j]).max() <= ALIKE:
+            out.append(j)
+    return out
+
+
+def cited(sentence: str, label: int) -> str:
+    body = sentence.rstrip()
+    mark = body[-1:] if body[-1:] in (".", "!", "?") else ""
+    return f"{body.removesuffix(mark).rstrip() if mark else body} [S{label}]{mark or '.'}"
+
+
+def extractive(question: str, sources: Sequence[Source], embedder: Embedder, cfg: Generation, idf: Mapping[str, float] | None = None, rng: np.random.Generator | None = None) -> tuple[str | None, list[Source]]:
+    """The answer, None to abstain, and the sources used."""
+    used = fitting(sources, cfg.max_context_tokens)
+    found = candidates(used)
+    picked = chosen(*scores(question, found, embedder, idf), cfg, rng) if found else []
+    return " ".join(cited(found[i].said, found[i].label) for i in picked) or None, used
+
+
+def written_by(complete: Callable[[str], str], template: str) -> Callable[..., tuple[str | None, list[Source]]]:
+    """A generator from a model: complete(prompt) -> its words. The template has {question} and {context}. No sources or no words: abstain."""
+
+    def generate(question: str, sources: Sequence[Source], embedder: Embedder, cfg: Generation, idf=None, rng=None) -> tuple[str | None, list[Source]]:
+        used = fitting(sources, cfg.max_context_tokens, cfg.context_order)
+        said = complete(filled(template, question=question, context=rendered(used))).strip() if used else ""
+        return (None if analysis.is_abstention(said) else said), used
+
+    return generate
+
+
+@dataclass(frozen=True)
+class Check:
+    sentence: str
+    support: float
+    supported: bool
+    labels: list[str] = field(default_factory=list)
+
+
+def grounding(answer: str, sources: Sequence[Source], embedder: Embedder, threshold: float = 0.5) -> tuple[float | None, list[Check]]:
+    """Share of the answer's sentences that a cited source supports (any source, where none is validly cited), and each one's check.
+
+    Support is half likeness to the best sentence, half the share of terms; a number the source lacks keeps it under the threshold.
+    """
+    if not sources or analysis.is_abstention(answer):
+        return None, []
+    said = [(analysis.citations(raw), spans.plain(analysis.without_citations(raw))) for raw in (answer[a:b] for a, b in spans.sentences_of(answer))]
+    said = [(labels, text, set(analysis.terms(text))) for labels, text in said if len(analysis.terms(text)) >= 2]
+    if not said:
+        return None, []
+    known: dict[int, tuple] = {}
+
+    def read(i: int) -> tuple:
+        if i not in known:
+            text = sources[i].text
+            parts = [text[a:b] for a, b in spans.sentences_of(text)] or [text]
+            known[i] = embed(embedder, parts).astype(np.float64), set(analysis.terms(text)), analysis.numbers(text)
+        return known[i]
+
+    def support(vector: np.ndarray, terms: set[str], numbers: set[str], i: int) -> float:
+        vectors, have, stated = read(i)
+        value = 0.5 * max(0.0, float((vectors @ vector).max())) + 0.5 * len(terms & have) / max(1, len(terms))
+        return value if numbers <= stated else min(value, threshold - 1e-6)
+
+    checks = []
+    for (labels, text, terms), vector in zip(said, embed(embedder, [t for _, t, _ in said]).astype(np.float64)):
+        named = [int(x[1:]) - 1 for x in labels if 1 <= int(x[1:]) <= len(sources)]
+        best = max([0.0, *(support(vector, terms, analysis.numbers(text), i) for i in named or range(len(sources)))])
+        checks.append(Check(text, round(best, 4), best >= threshold, labels))
+    return round(sum(c.supported for c in checks) / len(checks), 4), checks
+
+
+def final(answer: str | None, used: Sequence[Source], n_flagged: int, embedder: Embedder, guard: Guard) -> dict:
+    """The record of an answer: citations of sources there are, labels of none, grounding, and flags for what is wrong."""
+    text, abstained = answer or ABSTAIN, answer is None
+    labels = [] if abstained else analysis.citations(text)
+    number = {f"S{i}": s.key for i, s in enumerate(used, 1)}
+    keys, invalid = [number[x] for x in labels if x in number], [x for x in labels if x not in number]
+    flags = [f"injection_flagged:{n_flagged}"] * (n_flagged > 0) + ["invalid_citations"] * bool(invalid) + ["uncited_answer"] * (not abstained and not keys)
+    score, checks = (None, []) if abstained or guard.grounding == "off" else grounding(text, used, embedder, guard.grounding_threshold)
+    if score is not None and score < LOW_GROUNDING:
+        flags.append("low_grounding")
+        if guard.grounding == "abstain":
+            text, abstained, keys = ABSTAIN, True, []
+            flags.append("abstained_low_grounding")
+    return {"answer": text, "abstained": abstained, "labels": labels, "cited": keys, "invalid": invalid, "grounded": score, "unsupported": [c.sentence for c in checks if not c.supported], "flags": flags}
+
+
+def answered(sources: DataFrame, embedder: Embedder, cfg: Generation | None = None, guard: Guard | None = None, key: str = "chunk_id", idf: DataFrame | None = None, generate=extractive, seed: int | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """(query_id, question, rank, key, text and, if there, doc_title, path, page, flags) -> ANSWER rows.
+
+    idf: term, idf of the corpus (else rarity among the candidate sentences counts). questions (query_id, question): those
+    without any source abstain too. Null texts are empty.
+    """
+    cfg, guard = cfg or Generation(), guard or Guard()
+    q = sources.schema["query_id"].dataType.simpleString()
+    schema = ANSWER.format(q=q)
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    rows = sources.select("query_id", "question", "rank", F.col(key).cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in ("doc_title", "path", "page", "flags") if c in sources.columns])
+    weighed = idf is not None
+    if weighed:
+        from tessella.functions import text as T
+
+        asked = rows.select("query_id", "question").distinct().select("query_id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
+        weights = asked.join(idf.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("weights"))
+        rows = rows.join(weights, "query_id", "left")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank", kind="stable")
+        value = lambda r, c, other: other if getattr(r, c, None) is None or (np.ndim(getattr(r, c)) == 0 and pd.isna(getattr(r, c))) else getattr(r, c)
+        all_of = [Source(r.key, r.text, value(r, "doc_title", ""), tuple(value(r, "path", ())), None if value(r, "page", None) is None else int(r.page), tuple(value(r, "flags", ()))) for r in group.itertuples()]
+        question = group["question"].iloc[0]
+        weights = None
+        if weighed:
+            given = group["weights"].iloc[0]
+            weights = {w["term"]: w["idf"] for w in given} if given is not None and np.ndim(given) else {}
+        text, used = generate(question, all_of, embedder, cfg, weights, np.random.default_rng(seed))
+        made = {"query_id": group["query_id"].iloc[0], **final(text, used, sum(bool(s.flags) for s in all_of), embedder, guard)}
+        return pd.DataFrame([made], columns=names)
+
+    out = rows.groupBy("query_id").applyInPandas(one, schema)
+    if questions is not None:
+        empty = F.array().cast("array<string>")
+        lost = questions.select("query_id").join(out.select("query_id"), "query_id", "left_anti")
+        out = out.unionByName(lost.select("query_id", F.lit(ABSTAIN).alias("answer"), F.lit(True).alias("abstained"), *[empty.alias(c) for c in ("labels", "cited", "invalid", "unsupported", "flags")], F.lit(None).cast("double").alias("grounded")))
+    return out

@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators.embedding import Hashing, embedded
 
 #: Tokens a rendered source costs besides its text (fixed value).
 LABEL_TOKENS = 12
 
 
 def hashed_embedding(text: Column, dim: int = 1024, bigrams: bool = True) -> Column:
-    """Unit vectors of hashed stems and neighbouring pairs; blank or null texts have a zero vector. The hash is not in SQL, so Arrow batches do it."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[int, float]] = {}
-
-        def place(feature: str) -> tuple[int, float]:
-            if feature not in known:
-                if len(known) >= 500_000:
-                    known.clear()
-                digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-                known[feature] = int.from_bytes(digest, "little") % dim, 1.0 if digest[7] >= 128 else -1.0
-            return known[feature]
-
-        def vector(terms: np.ndarray | None) -> np.ndarray:
-            words = [] if terms is None else list(terms)
-            if bigrams:
-                words += [f"{words[i]}_{words[i + 1]}" for i in range(len(words) - 1)]
-            if not words:
-                return np.zeros(dim, np.float32)
-            at, sign = zip(*map(place, words))
-            sums = np.bincount(at, sign, dim)
-            damped = np.copysign(np.log1p(np.abs(sums)), sums)
-            return (damped / (np.linalg.norm(damped) or 1.0)).astype(np.float32)
-
-        for terms in batches:
-            yield terms.map(vector)
-
-    return embed(F.coalesce(T.terms(text), F.array().cast("array<string>")))
+    """Unit vectors of hashed stems and neighbouring pairs; blank or null texts have a zero vector."""
+    return embedded(text, Hashing(dim, bigrams))
 
 
 def mmr(candidates: DataFrame, key: str = "vec_id", k: int = 5, trade: float = 0.7) -> DataFrame:

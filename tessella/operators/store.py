@@ -31,3 +31,13 @@ def cache_lookup(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """texts (text) with key and hit: whether cache (key) holds it."""
     keyed = texts.withColumn("key", F.sha2(F.concat(F.lit(model + "\0"), F.col("text")), 256))
     return keyed.join(cache.select("key", F.lit(True).alias("found")).distinct(), "key", "left").withColumn("hit", F.coalesce("found", F.lit(False))).drop("found")
+
+
+def counts(chunks: DataFrame) -> DataFrame:
+    """(collection, doc_id) of chunks -> collection, documents, chunks."""
+    return chunks.groupBy("collection").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
+
+
+def unchanged(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of new (doc_id, hash) whose hash is stored for their doc_id."""
+    return new.join(stored.select("doc_id", "hash"), ["doc_id", "hash"], "left_semi")

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella import config
+from tessella.functions import spans
 from tessella.functions import text as T
-from tessella.operators import chunking, evaluation, rerank, retrieval, store
+from tessella.operators import answers, chunking, evaluation, rerank, retrieval, store
+from tessella.operators.embedding import Hashing, normalized
+from tessella.operators.storage import new_folder
+from tessella.sources import documents as files
 from tessella.sources import pages as html_pages
+from tessella.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +36,17 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_indexes: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> retrieval.Index:
+    """The documents' BM25 index, written once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = retrieval.Index.build(_t(spark, d, "documents"), new_folder(spark, "index"))
+    return _indexes[key]
+
+
 # Pieces of SQL.
 def _fold(x: str) -> str:
     return f"lower(replace(translate({x}, '–—’‘“”', '--''''\"\"'), '€', ' eur '))"
@@ -56,12 +73,12 @@ def norm_sql(x: str) -> str:
     return _NORM.format(f=_fold(x))
 
 
-def _questions(spark: SparkSession, d: str, words: int = 8) -> DataFrame:
-    """The first words of each benchmark passage, as a question."""
-    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("question"))
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark passage as a question."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
-QUESTIONS = "(SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS question FROM benchmark)"
+QUESTIONS = "(SELECT item_id AS query_id, text AS question FROM benchmark)"
 BM25 = f"""
 WITH q AS (SELECT DISTINCT query_id, term FROM {terms_sql(QUESTIONS, 'query_id', 'question')}),
 p AS (SELECT doc_id, term, count(*) AS tf FROM {terms_sql('documents', 'doc_id', 'text')} GROUP BY ALL),
@@ -75,7 +92,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 @query(BM25 + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
 def bm25_batch_queries(spark, d):
-    return retrieval.bm25(_t(spark, d, "documents"), _questions(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _index(spark, d).search(_questions(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{_TOKEN}')))::BIGINT AS n_tokens FROM documents GROUP BY lang")
@@ -100,9 +117,7 @@ def normalized_text(spark, d):
 
 @query(f"SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM {terms_sql('documents', 'doc_id', 'text')} GROUP BY 1), (SELECT count(*) AS n FROM documents)")
 def doc_freq_idf(spark, d):
-    docs = _t(spark, d, "documents")
-    df = retrieval.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return _index(spark, d).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"SELECT d.doc_id, coalesce(n, 0)::BIGINT AS dl FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM {terms_sql('documents', 'doc_id', 'text')} GROUP BY 1) USING (doc_id)")
@@ -117,14 +132,14 @@ def chunks_fixed(spark, d):
     return chunking.fixed_windows(_t(spark, d, "documents")).select("doc_id", "chunk_no", "first_token", "n_tokens", F.md5(F.col("chunk_words").cast("binary")).alias("words_md5"))
 
 
-_Q_VEC = "(SELECT vec_id AS query_id, embedding AS q_vec FROM embeddings WHERE label = 0 AND vec_id < 100)"
+_Q_VEC = "(SELECT vec_id AS query_id, embedding AS q_vec FROM embeddings WHERE vec_id % 50 = 0)"
 DENSE = f"""WITH s AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], q_vec::DOUBLE[]) AS score FROM embeddings, {_Q_VEC}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)"""
 
 
 def _q_vec(spark, d):
-    """A stated, fixed set of questions: the vectors of one label among the first hundred ids."""
-    return _t(spark, d, "embeddings").where("label = 0 AND vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    """The stated set of questions: every vector whose id is divisible by 50."""
+    return _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
 
 
 @query(DENSE + " SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -149,7 +164,7 @@ def neighbor_distance(spark, d):
 fused AS (SELECT query_id, doc_id, sum(weight / (60 + rank)) AS score, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank FROM fused""")
 def rrf_weighted(spark, d):
-    lexical = retrieval.bm25(_t(spark, d, "documents"), _questions(spark, d), k=30)
+    lexical = _index(spark, d).search(_questions(spark, d), k=30)
     first = lexical.select("query_id", F.lit(0).alias("list_no"), F.lit(1.0).alias("weight"), "rank", "doc_id")
     second = lexical.select("query_id", F.lit(1).alias("list_no"), F.lit(0.5).alias("weight"), F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("rank"), "doc_id")
     return retrieval.rank_fusion(first.unionByName(second)).select("query_id", "doc_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -157,7 +172,7 @@ def rrf_weighted(spark, d):
 
 @query(BM25 + ", p2 AS (SELECT *, rank % 2 AS odd FROM ranked WHERE rank <= 10) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY odd DESC, CASE WHEN odd = 1 THEN rank ELSE -rank END) AS place FROM p2")
 def sandwich_order(spark, d):
-    ranked = retrieval.bm25(_t(spark, d, "documents"), _questions(spark, d))
+    ranked = _index(spark, d).search(_questions(spark, d))
     return retrieval.sandwich(ranked).select("query_id", "doc_id", F.col("place").cast("long").alias("place"))
 
 
@@ -242,20 +257,19 @@ def token_f1(spark, d):
 
 @query("SELECT b.item_id, d.doc_id, (instr(d.text, b.text) - 1)::BIGINT AS start, length(b.text)::BIGINT AS length FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def evidence_locate(spark, d):
-    """The gold passages (one small, fixed table) found word for word in documents."""
-    found = _t(spark, d, "documents").join(F.broadcast(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))), F.expr("contains(text, b)"))
-    return found.select("item_id", "doc_id", (F.instr(F.col("text"), F.col("b")) - 1).cast("long").alias("start"), F.length("b").cast("long").alias("length"))
+    """The gold passages found word for word in documents."""
+    return evaluation.found_in(_t(spark, d, "benchmark"), _t(spark, d, "documents"))
 
 
 EVIDENCE = "(SELECT b.item_id AS query_id, d.doc_id AS ev FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-@query(BM25 + f""", e AS {EVIDENCE}, f AS (SELECT e.query_id, ev, min(rank) AS rank FROM e LEFT JOIN ranked r ON r.query_id = e.query_id AND r.doc_id = e.ev AND rank <= 10 GROUP BY 1, 2),
-m AS (SELECT query_id, count(*) AS n, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS found, min(rank) AS best, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM f GROUP BY 1)
-SELECT query_id, (found > 0)::INT::DOUBLE AS hit, round(found / n, 6) AS recall, round(coalesce(1.0 / best, 0)::DOUBLE, 6) AS mrr, round(least(1.0, dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(5, n)) t(i))), 6) AS ndcg FROM m""".replace(" f AS (SELECT e.", " firsts AS (SELECT e.").replace("FROM f GROUP BY 1)", "FROM firsts GROUP BY 1)"))
+@query(BM25 + f""", e AS {EVIDENCE}, firsts AS (SELECT e.query_id, ev, min(rank) AS rank FROM e LEFT JOIN ranked r ON r.query_id = e.query_id AND r.doc_id = e.ev AND rank <= 10 GROUP BY 1, 2),
+m AS (SELECT query_id, count(*) AS n, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS found, min(rank) AS best, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM firsts GROUP BY 1)
+SELECT query_id, (found > 0)::INT::DOUBLE AS hit, round(found / n, 6) AS recall, round(coalesce(1.0 / best, 0)::DOUBLE, 6) AS mrr, round(least(1.0, dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(5, n)) t(i))), 6) AS ndcg FROM m""")
 def retrieval_metrics(spark, d):
     found = evidence_locate(spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("ev"))
-    hits = retrieval.bm25(_t(spark, d, "documents"), _questions(spark, d)).select("query_id", F.col("doc_id").alias("ev"), "rank")
+    hits = _index(spark, d).search(_questions(spark, d)).select("query_id", F.col("doc_id").alias("ev"), "rank")
     m = evaluation.retrieval_metrics(found, hits)
     return m.select("query_id", "hit", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
@@ -269,8 +283,7 @@ def holm_adjust(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(value) AS n FROM events GROUP BY 1")
 def latency_percentiles(spark, d):
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return _t(spark, d, "events").groupBy("event_type").agg(q.alias("q"), F.count("value").alias("n")).select("event_type", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"), "n")
+    return evaluation.latencies(_t(spark, d, "events"), "event_type", "value").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
 @query("WITH l AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)) SELECT round(value, 6) AS value FROM l WHERE i = (SELECT round_even(0.95 * (count(*) - 1), 0)::BIGINT FROM l)")
@@ -290,12 +303,12 @@ def _paired(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return evaluation.bootstrap_ci(_t(spark, d, "labels"), "toxic", "quality", "doc_id", resamples=500)
+    return evaluation.bootstrap_ci(_t(spark, d, "labels"), "toxic", "quality", "doc_id")
 
 
 @query()
 def permutation_p(spark, d):
-    return evaluation.permutation_p(_paired(spark, d).withColumn("pair", F.lit("click-view")), "pair", "diff", "user_id", permutations=1000)
+    return evaluation.permutation_p(_paired(spark, d).withColumn("pair", F.lit("click-view")), "pair", "diff", "user_id")
 
 
 @query("SELECT quality, count(*) AS n, round(avg(toxic), 6) AS toxic_share FROM labels GROUP BY quality")
@@ -303,44 +316,54 @@ def metrics_by_category(spark, d):
     return _t(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("toxic"), 6).alias("toxic_share"))
 
 
-@query("WITH c AS (SELECT doc_id, quality = toxic AS same, (doc_id * 7919 % 100) / 100.0 AS s FROM labels), t AS (SELECT 0.30 + 0.02 * i AS threshold FROM range(0, 16) r(i)) SELECT round(threshold, 2)::DOUBLE AS threshold, round(avg(CASE WHEN (s >= threshold) = same THEN 1.0 ELSE 0.0 END), 6) AS overall FROM c, t GROUP BY 1")
+_SCORED = f"""pairs AS (SELECT *, CASE WHEN n = 0 AND m = 0 THEN 1.0::DOUBLE WHEN n = 0 OR m = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * common / (n + m) END AS f1 FROM (SELECT pair_id, gold, answer, len(p) AS n, len(g) AS m, coalesce((SELECT sum(least(a, b)) FROM (SELECT w, count(*) AS a FROM (SELECT unnest(p) AS w) GROUP BY 1) x JOIN (SELECT w, count(*) AS b FROM (SELECT unnest(g) AS w) GROUP BY 1) y USING (w)), 0) AS common
+FROM (SELECT pair_id, gold, answer, list_filter(string_split({norm_sql('answer')}, ' '), lambda x: x <> '') AS p, list_filter(string_split({norm_sql('gold')}, ' '), lambda x: x <> '') AS g FROM (SELECT conv_id * 1000 + turn AS pair_id, text AS gold, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations) WHERE answer IS NOT NULL)))"""
+
+
+@query(f"""WITH {_SCORED}, c AS (SELECT pair_id % 2 = 0 AS answerable, f1 >= 0.2 AS correct, f1 AS s FROM pairs), t AS (SELECT round(0.30 + 0.02 * i, 2)::DOUBLE AS threshold FROM range(0, 16) r(i)),
+o AS (SELECT threshold, CASE WHEN answerable THEN (s >= threshold AND correct)::INT ELSE (s < threshold)::INT END AS ok, answerable FROM c, t),
+r AS (SELECT threshold, avg(ok) AS overall, (coalesce(avg(ok) FILTER (answerable), 0) + coalesce(avg(ok) FILTER (NOT answerable), 0)) / 2 AS balanced FROM o GROUP BY 1)
+SELECT threshold, round(overall, 6) AS overall, round(balanced, 6) AS balanced, row_number() OVER (ORDER BY round(overall, 9) DESC, round(balanced, 9) DESC, threshold) = 1 AS best FROM r""")
 def calibrate_threshold(spark, d):
-    scored = _t(spark, d, "labels").select((F.col("quality") == F.col("toxic")).alias("same"), ((F.col("doc_id") * 7919 % 100) / 100.0).alias("s"))
-    sweep = F.array(*[F.struct(F.lit(round(0.30 + 0.02 * i, 2)).alias("threshold")) for i in range(16)])
-    swept = scored.select("same", "s", F.explode(sweep).alias("t")).select("same", "s", "t.threshold")
-    return swept.groupBy("threshold").agg(F.round(F.avg(((F.col("s") >= F.col("threshold")) == F.col("same")).cast("double")), 6).alias("overall"))
+    """Turns of conversations as answers to the one before; every second is taken to be answerable, and right from an F1 of 0.2 on."""
+    scored = evaluation.token_f1(_pairs(spark, d), "pair_id", "answer", "gold").select((F.col("pair_id") % 2 == 0).alias("answerable"), (F.col("f1") >= 0.2).alias("correct"), F.col("f1").alias("score"))
+    return evaluation.calibrated(scored).select("threshold", F.round("overall", 6).alias("overall"), F.round("balanced", 6).alias("balanced"), "best")
 
 
-PRICES = (("en", 0.15, 0.6), ("fr", 2.5, 10.0), ("de", 0.02, 0.0))
+PRICES = {"en": (0.15, 0.6), "fr": (2.5, 10.0), "de": (0.02, 0.0)}
 
 
 @query("WITH p(lang, p_in, p_out) AS (VALUES ('en', 0.15::DOUBLE, 0.6::DOUBLE), ('fr', 2.5, 10.0), ('de', 0.02, 0.0)) SELECT d.lang, round(sum((n_chars * coalesce(p_in, 0) + n_chars * coalesce(p_out, 0)) / 1e6), 6) AS cost FROM documents d LEFT JOIN p ON p.lang = d.lang GROUP BY 1")
 def usage_cost(spark, d):
-    prices = spark.createDataFrame(PRICES, "lang string, p_in double, p_out double")
-    n = F.col("n_chars")
-    cost = (n * F.coalesce("p_in", F.lit(0.0)) + n * F.coalesce("p_out", F.lit(0.0))) / 1e6
-    return _t(spark, d, "documents").join(F.broadcast(prices), "lang", "left").groupBy("lang").agg(F.round(F.sum(cost), 6).alias("cost"))
+    """Languages stand for models."""
+    cost = T.cost_usd(PRICES, F.col("lang"), F.col("n_chars"), F.col("n_chars"))
+    return _t(spark, d, "documents").groupBy("lang").agg(F.round(F.sum(cost), 6).alias("cost"))
 
 
-@query("WITH s AS (SELECT count(*) AS n FROM labels) SELECT 'quality' AS metric, round(avg(quality), 6) AS value, avg(quality) >= 0.5 AS passed FROM labels UNION ALL SELECT 'toxic_max', round(avg(toxic), 6), avg(toxic) <= 0.2 FROM labels")
+@query("SELECT 'quality' AS metric, round(avg(quality), 6) AS value, 0.5::DOUBLE AS threshold, avg(quality) >= 0.5 AS passed FROM labels UNION ALL SELECT 'toxic_max', round(avg(toxic), 6), 0.2::DOUBLE, avg(toxic) <= 0.2 FROM labels UNION ALL SELECT 'mrr', NULL, 0.88::DOUBLE, FALSE")
 def quality_gate(spark, d):
-    means = _t(spark, d, "labels").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    rows = F.array(F.struct(F.lit("quality").alias("metric"), F.round("q", 6).alias("value"), (F.col("q") >= 0.5).alias("passed")), F.struct(F.lit("toxic_max").alias("metric"), F.round("t", 6).alias("value"), (F.col("t") <= 0.2).alias("passed")))
-    return means.select(F.explode(rows).alias("r")).select("r.*")
+    long = _t(spark, d, "labels").select(F.explode(F.create_map(F.lit("quality"), F.col("quality"), F.lit("toxic"), F.col("toxic"))).alias("metric", "v"))
+    gate = evaluation.gate(long.groupBy("metric").agg(F.avg("v").alias("mean")), {"quality": 0.5, "toxic_max": 0.2, "mrr": 0.88})
+    return gate.select("metric", F.round("value", 6).alias("value"), "threshold", "passed")
 
 
-_RUNS = "(SELECT doc_id AS item_id, run, (doc_id * 31 + run * 17) % 10 < 8 AS correct FROM labels, range(0, 5) r(run))"
+_RUNS = "(SELECT run % 2 / 2.0::DOUBLE AS temperature, run, doc_id AS item_id, (doc_id * 31 + run * 17) % 10 < 8 AS correct, 'answer ' || (doc_id + run) % 3 AS answer, list_filter(['x', 'y'], lambda c: (doc_id + run) % 4 <> CASE c WHEN 'x' THEN 0 ELSE 1 END) AS cited FROM labels, range(0, 6) r(run))"
 
 
-@query(f"WITH r AS {_RUNS}, i AS (SELECT item_id, count(DISTINCT correct) > 1 AS flipped FROM r GROUP BY 1), a AS (SELECT run, avg(correct::INT) AS acc FROM r GROUP BY 1) SELECT round((SELECT avg(flipped::INT) FROM i), 6) AS flip_rate, round(avg(acc), 6) AS mean_accuracy, round(stddev_pop(acc), 6) AS sd FROM a")
+@query(f"""WITH r AS {_RUNS}, i AS (SELECT temperature, item_id, count(DISTINCT correct) > 1 AS flipped FROM r GROUP BY 1, 2), a AS (SELECT temperature, run, avg(correct::INT) AS acc FROM r GROUP BY 1, 2),
+p AS (SELECT x.temperature, x.item_id, avg((x.answer = y.answer)::INT) AS agree, avg(CASE WHEN x.answer = y.answer THEN 1.0 ELSE 0.5 END) AS f1, avg(CASE WHEN len(list_distinct(x.cited || y.cited)) = 0 THEN 1.0 ELSE len(list_intersect(x.cited, y.cited)) / len(list_distinct(x.cited || y.cited)) END) AS jac FROM r x JOIN r y USING (temperature, item_id) WHERE x.run < y.run GROUP BY 1, 2)
+SELECT temperature, round(any_value(m), 6) AS accuracy_mean, round(any_value(s), 6) AS accuracy_sd, round(any_value(f), 6) AS flip_rate, round(avg(agree), 6) AS agreement, round(avg(f1), 6) AS f1, round(avg(jac), 6) AS jaccard FROM p
+JOIN (SELECT temperature, avg(acc) AS m, stddev_pop(acc) AS s FROM a GROUP BY 1) USING (temperature) JOIN (SELECT temperature, avg(flipped::INT) AS f FROM i GROUP BY 1) USING (temperature) GROUP BY 1""")
 def variability(spark, d):
-    runs = _t(spark, d, "labels").select(F.col("doc_id").alias("item_id"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run")).withColumn("correct", (F.col("item_id") * 31 + F.col("run") * 17) % 10 < 8)
-    flips = runs.groupBy("item_id").agg((F.count_distinct("correct") > 1).cast("int").alias("f")).agg(F.round(F.avg("f"), 6).alias("flip_rate"))
-    acc = runs.groupBy("run").agg(F.avg(F.col("correct").cast("int")).alias("acc")).agg(F.round(F.avg("acc"), 6).alias("mean_accuracy"), F.round(F.stddev_pop("acc"), 6).alias("sd"))
-    return flips.crossJoin(F.broadcast(acc))
+    """Six runs of each labelled document at two temperatures, made up by a rule."""
+    runs = _t(spark, d, "labels").select(F.col("doc_id").alias("item_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("run"))
+    at = F.col("item_id") + F.col("run")
+    runs = runs.select((F.col("run") % 2 / 2.0).alias("temperature"), "run", "item_id", ((F.col("item_id") * 31 + F.col("run") * 17) % 10 < 8).alias("correct"), F.concat(F.lit("answer "), (at % 3).cast("string")).alias("answer"),
+                       F.array_compact(F.array(F.when(at % 4 != 0, "x"), F.when(at % 4 != 1, "y"))).alias("cited"))
+    return evaluation.varied(runs).select("temperature", *[F.round(c, 6).alias(c) for c in ("accuracy_mean", "accuracy_sd", "flip_rate", "agreement", "f1", "jaccard")])
 
 
-@query(r"SELECT page_id, CASE WHEN s = '' THEN 'document' ELSE s END AS slug FROM (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '\.[^./\\]*$', ''), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM pages)")
+@query(r"SELECT page_id, CASE WHEN s = '' THEN 'document' ELSE s END AS slug FROM (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(url, '\.[A-Za-z0-9]+$', ''), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM pages)")
 def page_slugs(spark, d):
     return _t(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
@@ -365,7 +388,7 @@ def mmr_rerank(spark, d):
 @query(BM25 + "SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 10 AND doc_id % 4 <> 0")
 def superseded_filter(spark, d):
     """Every fourth document is made up to be superseded."""
-    ranked = retrieval.bm25(_t(spark, d, "documents"), _questions(spark, d)).withColumn("status", F.when(F.col("doc_id") % 4 == 0, "superseded"))
+    ranked = _index(spark, d).search(_questions(spark, d)).withColumn("status", F.when(F.col("doc_id") % 4 == 0, "superseded"))
     return rerank.current_only(ranked).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -377,10 +400,164 @@ folded AS (WITH RECURSIVE r AS (SELECT query_id, costs, 1 AS i, 1500 - costs[1]
 SELECT query_id, doc_id, rank, cost, CAST(label AS BIGINT) AS label FROM u JOIN folded USING (query_id, i) WHERE taken""")
 def context_pack(spark, d):
     docs = _t(spark, d, "documents")
-    ranked = retrieval.bm25(docs, _questions(spark, d)).select("query_id", "doc_id", "rank")
+    ranked = _index(spark, d).search(_questions(spark, d)).select("query_id", "doc_id", "rank")
     return rerank.packed_context(ranked.join(docs.select("doc_id", "text"), "doc_id"), 1500)
 
 
+@query("SELECT doc_id, round(list_sum(list_transform(list_zip(embedding, embedding), lambda x: 1)), 0)::BIGINT AS n FROM (SELECT vec_id AS doc_id, embedding FROM embeddings)")
+def unit_vectors(spark, d):
+    v = normalized(F.col("embedding"))
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(F.size("embedding") * retrieval.dot(v, v), 0).cast("long").alias("n"))
+
+
+@query(rf"""SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({_fold('text')}, '{T.WORD}'), lambda w: regexp_matches(w, '[0-9]')), lambda w: regexp_replace(regexp_replace(w, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g')))), ' ')) AS numbers_md5 FROM documents""")
+def numbers_in_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(T.numbers(F.col("text"))), " ").cast("binary")).alias("numbers_md5"))
+
+
+@query(r"""SELECT page_id, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title FROM (SELECT page_id, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '[-_]+', ' ', 'g')), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS t FROM pages)""")
+def page_titles(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.title_of(F.col("url")).alias("title"))
+
+
+@query("SELECT item_id, doc_id, instr(substr(d.text, instr(d.text, b.text) + 1), b.text) > 0 AS twice FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def evidence_twice(spark, d):
+    """Whether the document holds the passage again."""
+    found = evidence_locate(spark, d).select("item_id", "doc_id")
+    both = found.join(_t(spark, d, "documents").select("doc_id", "text"), "doc_id").join(_t(spark, d, "benchmark").select("item_id", F.col("text").alias("b")), "item_id")
+    return both.select("item_id", "doc_id", T.occurs_twice(F.col("text"), F.col("b")).alias("twice"))
+
+
+@query("SELECT b.item_id AS query_id, d.doc_id, (instr(d.text, b.text) - 1)::INT AS start, (instr(d.text, b.text) - 1 + length(b.text))::INT AS stop, CASE WHEN instr(substr(d.text, instr(d.text, b.text) + 1), b.text) > 0 THEN 'more than once' END AS problem FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def evidence_spans(spark, d):
+    """Places of gold evidence in its documents, with problems."""
+    return evaluation.located(_evidence(spark, d), _t(spark, d, "documents")).select("query_id", "doc_id", "start", "stop", "problem")
+
+
+def _evidence(spark, d):
+    found = evidence_locate(spark, d).select(F.col("item_id").alias("query_id"), "doc_id")
+    return found.join(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id").withColumn("ev", F.col("doc_id"))
+
+
+#: Windows of 900 characters, 600 apart, as chunks of known places.
+_WINDOWS = "(SELECT doc_id, i AS rank, i * 600 AS start, least(length(text), i * 600 + 900) AS stop FROM documents, range(0, 1000) r(i) WHERE i * 600 < greatest(length(text), 1))"
+_EV = "(SELECT b.item_id AS query_id, d.doc_id, d.doc_id AS ev, instr(d.text, b.text) - 1 AS s, instr(d.text, b.text) - 1 + length(b.text) AS e FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _windows(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    last = F.floor((F.greatest("n", F.lit(1)) - 1) / 600).cast("int")
+    return docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), last)).alias("rank")).select("doc_id", "rank", (F.col("rank") * 600).alias("start"), F.least(F.col("n"), F.col("rank") * 600 + 900).alias("stop"))
+
+
+@query(f"SELECT query_id, ev, rank FROM {_EV} v JOIN {_WINDOWS} w USING (doc_id) WHERE least(w.stop, v.e) - greatest(w.start, v.s) >= 0.5 * greatest(1, v.e - v.s)")
+def span_coverage(spark, d):
+    """Which windows of a document hold at least half of the evidence."""
+    evidence = evidence_spans(spark, d).withColumn("ev", F.col("doc_id"))
+    chunks = evidence.select("query_id", "doc_id").join(_windows(spark, d), "doc_id")
+    return evaluation.covered(evidence, chunks).select("query_id", "ev", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH v AS {_EV}, c AS (SELECT query_id, v.doc_id, rank, w.start, w.stop FROM v JOIN {_WINDOWS} w USING (doc_id) WHERE rank % 2 = 0), m AS (SELECT c.query_id, c.doc_id, c.rank, v.ev FROM c JOIN v USING (query_id, doc_id) WHERE least(c.stop, v.e) - greatest(c.start, v.s) >= 0.5 * greatest(1, v.e - v.s))
+SELECT n.query_id, round(coalesce(useful, 0) / cited, 6) AS citation_precision, round(coalesce(found, 0) / n, 6) AS citation_recall FROM (SELECT query_id, count(*) AS n FROM v GROUP BY 1) n JOIN (SELECT query_id, count(*) AS cited FROM c GROUP BY 1) k USING (query_id) LEFT JOIN (SELECT query_id, count(DISTINCT (doc_id, rank)) AS useful, count(DISTINCT ev) AS found FROM m GROUP BY 1) f USING (query_id) WHERE n.query_id % 5 <> 0""")
+def citation_scores(spark, d):
+    """Every second window of a document with evidence is taken to be cited; every fifth question abstains."""
+    evidence = evidence_spans(spark, d).withColumn("ev", F.col("doc_id"))
+    cited = evidence.select("query_id", "doc_id").join(_windows(spark, d), "doc_id").where("rank % 2 = 0").withColumn("rank", F.struct("doc_id", "rank"))
+    answered = evidence.select("query_id", (F.col("query_id") % 5 == 0).alias("abstained")).distinct()
+    return evaluation.citation_metrics(evidence, cited, answered).select("query_id", *[F.round(c, 6).alias(c) for c in ("citation_precision", "citation_recall")])
+
+
+@query(f"""WITH {_SCORED}, n AS (SELECT pair_id, pair_id % 3 <> 0 AS can, pair_id % 7 = 0 AS away, f1, {norm_sql('answer')} AS a, {norm_sql("substr(gold, 1, 12)")} AS g, {norm_sql("substr(answer, 1, 9)")} AS h FROM pairs),
+h AS (SELECT *, (g <> '' AND contains(' ' || a || ' ', ' ' || g || ' ')) OR (h <> '' AND contains(' ' || a || ' ', ' ' || h || ' ')) AS holds FROM n)
+SELECT pair_id AS query_id, CASE WHEN NOT can THEN away::INT::DOUBLE END AS abstention_correct, CASE WHEN can THEN (holds AND NOT away)::INT::DOUBLE END AS accuracy, CASE WHEN can THEN (NOT away AND (a = g OR a = h))::INT::DOUBLE END AS exact_match, CASE WHEN can THEN away::INT::DOUBLE END AS false_abstention, CASE WHEN can THEN (holds AND NOT away)::INT ELSE away::INT END::DOUBLE AS overall_correct FROM h""")
+def answer_scores(spark, d):
+    """Turns of conversations as answers; the starts of the turn before and of the answer itself are accepted."""
+    rows = _pairs(spark, d).select(F.col("pair_id").alias("query_id"), (F.col("pair_id") % 3 != 0).alias("answerable"), F.array(F.substring("gold", 1, 12), F.substring("answer", 1, 9)).alias("answers"), "answer", (F.col("pair_id") % 7 == 0).alias("abstained"))
+    return evaluation.answer_metrics(rows).drop("f1")
+
+
+_HYBRID = BM25 + f""", qv AS (SELECT item_id AS query_id, embedding AS q_vec FROM benchmark JOIN embeddings ON vec_id = item_id), ds AS (SELECT query_id, vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], q_vec::DOUBLE[]) AS score FROM embeddings, qv),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ds),
+lists AS (SELECT query_id, 0 AS list_no, rank, doc_id FROM dr WHERE rank <= 30 UNION ALL SELECT query_id, 1000, rank, doc_id FROM ranked WHERE rank <= 30),
+fused AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY 1, 2),
+kept AS (SELECT query_id, f.doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS pos FROM fused f JOIN documents USING (doc_id) WHERE f.doc_id % 4 <> 0 AND len({_FLAGS}) = 0)
+SELECT * FROM (SELECT query_id, doc_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM kept) WHERE rank <= 5"""
+
+
+def _chunks(spark, d):
+    """Documents as chunks; every fourth is made up to be superseded."""
+    status = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("status"), F.lit("superseded"))).otherwise(F.create_map().cast("map<string,string>"))
+    return _t(spark, d, "documents").select("doc_id", "text", status.alias("metadata"))
+
+
+def _asked(spark, d):
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    return retrieval.variants(_questions(spark, d)).join(vectors, "query_id", "left")
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+@query(_HYBRID)
+def retrieved_hybrid(spark, d):
+    """The retriever with both legs, fusion, filter of superseded sources and guard; a passage's vector is the one of its number."""
+    found = retrieval.retrieved(_asked(spark, d), _chunks(spark, d), config.Retrieval(), _index(spark, d), _vectors(spark, d), key="doc_id")
+    return found.select("query_id", "doc_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(BM25 + f", kept AS (SELECT query_id, r.doc_id, score, rank AS pos FROM ranked r JOIN documents USING (doc_id) WHERE rank <= 30 AND r.doc_id % 4 <> 0 AND len({_FLAGS}) = 0) SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM kept) WHERE rank <= 5")
+def retrieved_lexical(spark, d):
+    """One leg only: its scores are kept as they are."""
+    found = retrieval.retrieved(_asked(spark, d), _chunks(spark, d), config.Retrieval(mode="lexical"), _index(spark, d), key="doc_id")
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def extractive_answers(spark, d):
+    """Answers to all questions from retrieved documents, grounded and flagged."""
+    sources = retrieval.retrieved(_asked(spark, d), _chunks(spark, d), config.Retrieval(mode="lexical"), _index(spark, d), key="doc_id").join(_questions(spark, d), "query_id")
+    return answers.answered(sources, Hashing(), key="doc_id", idf=_index(spark, d).idf(), questions=_questions(spark, d))
+
+
+@query()
+def sentence_spans(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(spans.sentence_spans(F.col("text"))).alias("sentence_no", "s")).select("doc_id", "sentence_no", "s.*")
+
+
+@query()
+def page_documents(spark, d):
+    return files.page_documents(_t(spark, d, "pages"))
+
+
+def _chunked(strategy):
+    def run(spark, d):
+        cfg = config.Chunking(strategy=strategy)
+        return chunking.chunked(files.page_documents(_t(spark, d, "pages")).unionByName(chunking.as_documents(_t(spark, d, "documents"))), cfg, Hashing(256))
+
+    run.__name__ = f"chunks_{strategy}" + "_spans" * (strategy == "fixed")
+    return query()(run)
+
+
+for _strategy in chunking.STRATEGIES:
+    _chunked(_strategy)
+
+
+@query("SELECT source AS collection, count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM documents GROUP BY 1")
+def collection_counts(spark, d):
+    chunks = _t(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id")
+    return store.counts(chunks)
+
+
+@query("SELECT doc_id, md5(text) AS hash FROM documents")
+def stream_ingest(spark, d):
+    """All documents through the streaming ingest into an empty collection."""
+    docs = spark.readStream.schema(_t(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
+    hashed = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))
+    return stream.into(hashed, new_folder(spark, "stream"), "doc_id", "hash")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

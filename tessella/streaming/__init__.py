@@ -1,0 +1 @@
+"""Structured Streaming: incremental ingestion and the rolling request log."""

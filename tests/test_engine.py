@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import chunking, evaluation, retrieval, store
-from tessella.sources.pages import to_markdown
 
 
 def values(spark, column, *texts):
@@ -76,8 +75,4 @@ def test_metrics_and_statistics(spark):
     diffs = spark.createDataFrame([("g", i, 1.0) for i in range(12)], "g string, i int, d double")
     assert evaluation.permutation_p(diffs, "g", "d", "i", 500).first().p < 0.01
     ci = evaluation.bootstrap_ci(diffs, "g", "d", "i", 50).first()
-    assert (ci.mean, ci.low, ci.high) == (1.0, 1.0, 1.0)
-
-
-def test_html():
-    assert to_markdown("<nav>x</nav><h1>A</h1><p>b <b>c</b></p><ul><li>d</li></ul><script>e</script>") == "# A\n\nb c\n\n- d"
+    assert (ci["mean"], ci.low, ci.high) == (1.0, 1.0, 1.0)
