@@ -1,14 +1,17 @@
 """Operator 10: document fingerprints as threshold-scaled sketches.
 
 A sketch keeps every distinct hash of a text's shingles (``shingle`` words; a shorter text is one shingle) that lies below a
-fixed fraction of the hash range. Sketches of parts merge to the sketch of the whole by union, and the overlap of two
-sketches over the smaller one estimates containment, however unequal the documents. A fingerprint is written as the hash
-of the whole text, the number of its shingles kept and their hashes, so texts with no hash under the threshold are still told apart.
+fraction of the hash range: 1/8, or, for texts too short to fill such a sketch, 1/4, 1/2 or all of it, so that about
+``LEAST`` hashes or more are expected, or all there are. A sketch says its fraction, and can be cut down to a lower one; two
+sketches are compared, and merged by union, at the lower of theirs. The overlap over the smaller one estimates containment,
+however unequal the documents. A fingerprint is written as the hash of the whole text, the sketch's fraction, the number of its
+hashes and the hashes, so texts with no hash under the threshold are still told apart.
 
 Defined results: null text is empty; an empty or white-space text has no shingles; likeness is 1 for equal fingerprints,
-else the estimated containment of the smaller in the larger, 0 if either keeps none. In the order of
+else the estimated containment of the smaller in the larger, 0 if either keeps none at the common fraction. In the order of
 documents, doc_id descends, a null doc_id comes last, and rows of equal doc_id are ordered by a hash of the text; the next of
-the last is the first; a lone document is its own next. Extra columns are ignored. Built-in SQL functions only.
+the last is the first; a lone document is its own next. Texts may be of any length. Extra columns are ignored. Built-in SQL
+functions only.
 """
 
 from __future__ import annotations
@@ -18,38 +21,53 @@ from pyspark.sql import functions as F
 
 from .common import GAP, only, partitions, written
 
-SHINGLE, FRACTION = 5, 1 / 8
+SHINGLE, LEAST = 5, 64
+#: A sketch of level k keeps hashes of the lowest 1 / 2^k of the signed 64-bit range; 3 is the highest level.
+UNDER = [(1 << 63) - 1, 0, -(1 << 62), -(3 << 61)]
 NO_ID = -(1 << 63)
 
 
-def sketch(text: Column, shingle: int = SHINGLE, fraction: float = FRACTION) -> Column:
-    """Sorted distinct shingle hashes in the lowest ``fraction`` of the signed 64-bit range."""
+def _below(hashes: Column, level: Column) -> Column:
+    under = F.element_at(F.array(*[F.lit(u).cast("long") for u in UNDER]), level + 1)
+    return F.element_at(F.transform(F.array(under), lambda u: F.filter(hashes, lambda h: (h < u) | (level == 0))), 1)
+
+
+def sketch(text: Column, shingle: int = SHINGLE) -> Column:
+    """struct<level, hashes>: sorted distinct shingle hashes of the level that the number of shingles asks for."""
     words = F.filter(F.split(text, GAP, -1), lambda w: w != "")
-    under = int(-(1 << 63) + fraction * (1 << 64))
 
-    def hashes(w: Column) -> Column:
-        last = F.size(w) - shingle + 1
-        each = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(shingle)]))
-        return F.filter(each, lambda h: h < under)
+    def made(w: Column) -> Column:
+        n = F.greatest(F.size(w) - shingle + 1, F.lit(1))
+        level = F.when(n < 2 * LEAST, 0).when(n < 4 * LEAST, 1).when(n < 8 * LEAST, 2).otherwise(3)
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(shingle)]))
+        kept = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(_below(each, level))))
+        return F.struct(level.alias("level"), kept.alias("hashes"))
 
     # the words are bound once, as the argument of a one-element transform
-    kept = F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(hashes(w))))
-    return F.array_sort(F.array_distinct(kept))
+    return F.element_at(F.transform(F.array(words), made), 1)
 
 
 def merged(a: Column, b: Column) -> Column:
     """The sketch of two sets of shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    level = F.greatest(a["level"], b["level"])
+    return F.struct(level.alias("level"), F.array_sort(F.array_union(_below(a["hashes"], level), _below(b["hashes"], level))).alias("hashes"))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller shingle set that lies in the larger; 0 if either sketch is empty."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+    """Estimated share of the smaller shingle set that lies in the larger; 0 if either sketch is empty at the common level."""
+    level = F.greatest(a["level"], b["level"])
+
+    def share(x: Column) -> Column:
+        least = F.least(F.size(x["a"]), F.size(x["b"]))
+        return F.when(least > 0, F.size(F.array_intersect(x["a"], x["b"])) / least).otherwise(F.lit(0.0))
+
+    both = F.struct(_below(a["hashes"], level).alias("a"), _below(b["hashes"], level).alias("b"))
+    return F.element_at(F.transform(F.array(both), share), 1)
 
 
 def written_as(text_hash: Column, kept: Column) -> Column:
-    return F.concat_ws(":", F.lpad(F.hex(text_hash), 16, "0"), F.size(kept).cast("string"), F.array_join(F.transform(kept, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    hashes = kept["hashes"]
+    return F.concat_ws(":", F.lpad(F.hex(text_hash), 16, "0"), F.element_at(F.array(*[F.lit(f"1/{1 << k}") for k in range(len(UNDER))]), kept["level"] + 1), F.size(hashes).cast("string"), F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,13 +95,13 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, gives
 
 
-def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row of docs."""
     texts, gives = in_order(docs)
     # only did is a join key, so that the texts stay where their one exchange has put them
     same = lambda *c: (F.col(c[0]) == F.col(c[1])) & (F.col(c[2]) - F.col(c[3]) == 0)
     owned = texts.join(gives, same("did", "g_did", "k", "g_k"))
-    kept = lambda c: sketch(F.col(c), shingle, fraction)
+    kept = lambda c: sketch(F.col(c), shingle)
     given = owned.select(F.col("t_did").alias("o_did"), F.col("t_k").alias("o_k"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"), F.col("hash").alias("next_hash"), kept("text").alias("next_sketch"))
     both = texts.join(given, same("did", "o_did", "k", "o_k")).withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did")))
     n = F.length("text")
