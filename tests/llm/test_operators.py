@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import ann, components, fingerprints, mixing, packing, pii, simhash, token_store, tokens, toxicity
+from tessella.llm import components, fingerprints, mixing, packing, pii, simhash, token_store, tokens, toxicity
 
 KEY = "a key for tests"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hash string, did string"
@@ -177,13 +177,6 @@ def test_fingerprints(spark, corpus, empty):
     assert all(len(f) == 1 for f in by_text.values()) and fingerprints.fingerprinted(empty).count() == 0
 
 
-def test_sketch_estimates_containment(spark):
-    words = [f"w{i}" for i in range(4000)]
-    row = spark.createDataFrame([(" ".join(words[:400]), " ".join(words))], "a string, b string")
-    got = row.select(fingerprints.containment(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("c")).first().c
-    assert got == 1.0
-
-
 def test_toxicity_finds_sentences(spark, empty):
     rng = random.Random(3)
     calm = ["house", "river", "green", "walk", "paper", "light"]
@@ -207,19 +200,3 @@ def test_toxicity_finds_sentences(spark, empty):
     assert got[9000].predicted == got[9001].predicted == 0
     assert toxicity.judged(empty, marks).count() == 0
     assert toxicity.judged(docs, marks.limit(0)).agg(F.max("score")).first()[0] == 0
-
-
-def test_neighbours(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1200, 16)).astype(np.float32)
-    x[100:400] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (50, x[50].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(df, lambda i: i % 50 == 0, dim=16, crowd=100).collect()
-    want = {(r.query_id, r.vec_id): r.score for r in ann.exact(df, lambda i: i % 50 == 0, dim=16).collect()}
-    found = {(r.query_id, r.vec_id): r.score for r in got}
-    assert len(found.keys() & want.keys()) >= 0.9 * len(want) and all(want[k] == found[k] for k in found.keys() & want.keys())
-    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 150] == [100, 101, 102, 103, 104]
-    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
-    assert ann.search(few, lambda i: i == 0, dim=16, tables=1, probes=1).count() == 3
-    assert ann.search(df.limit(0), lambda i: i % 50 == 0).count() == 0
