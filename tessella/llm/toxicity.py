@@ -9,7 +9,8 @@ offending sentences.
 Words and beginnings (``STARTS`` letters, written with a star) are admitted in rounds by likelihood-ratio tests at a level of
 ``level`` over all of them. A round admits those with at least half the strongest evidence and sets the documents that
 hold them aside, so that words which only keep company with telling ones are not admitted for them. Telling are those
-whose documents are toxic at ``rate`` or more. A sentence that several documents share counts once.
+whose documents are toxic at ``rate`` or more. A sentence of ``LONG`` words or more that several
+documents share counts once.
 
 The model is fitted on the driver from at most ``sample`` labelled rows (those of the least hash of doc_id; of a doc_id's
 several texts the least) and at most ``words`` words; the strength of the prior is chosen on a fifth of these rows, left
@@ -39,6 +40,8 @@ SENTENCE_END = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings that are looked at beside whole words.
 STARTS = (3, 4, 5, 6, 7)
+#: Words of a sentence that only copies share.
+LONG = 8
 #: Where the bias starts, and what the prior draws it to.
 BIAS = -4.0
 
@@ -190,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int =
         drop(picked)
         return Model(leak=n1 / max(1, n0 + n1))
     said = picked.select("doc", "toxic", F.explode(F.split(F.lower("text"), SENTENCE_END.pattern)).alias("sentence")).where("sentence != ''")
-    # a sentence counts for the document of least hash that has it
-    once = said.groupBy(F.xxhash64("sentence").alias("h")).agg(F.min(F.struct(F.xxhash64("doc").alias("k"), "doc", "toxic", "sentence")).alias("s")).select("s.*")
+    # a long sentence counts for the document of least hash that has it: others with it are copies; short ones can be alike by chance
+    long = F.regexp_count("sentence", F.lit(r"\p{L}+")) >= LONG
+    once = said.groupBy(F.when(long, F.xxhash64("sentence")).otherwise(F.xxhash64("sentence", "doc")).alias("h")).agg(F.min(F.struct(F.xxhash64("doc").alias("k"), "doc", "toxic", "sentence")).alias("s")).select("s.*")
     words_of = F.array_distinct(F.flatten(F.transform(F.collect_list("sentence"), lambda t: F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)))))
     sets = written(once.groupBy("doc", "toxic").agg(words_of.alias("words")), "toxicity-sets")
     names = _telling(sets, words, min_docs, level, rate)
