@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella import config
+from tessella import config, experiments
 from tessella.functions import spans
 from tessella.functions import text as T
 from tessella.operators import answers, chunking, evaluation, rerank, retrieval, store
-from tessella.operators.embedding import Hashing, normalized
+from tessella.operators.embedding import Hashing, embed_missing, normalized
 from tessella.operators.storage import new_folder
 from tessella.sources import documents as files
 from tessella.sources import pages as html_pages
@@ -526,6 +526,53 @@ def sentence_spans(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(spans.sentence_spans(F.col("text"))).alias("sentence_no", "s")).select("doc_id", "sentence_no", "s.*")
 
 
+@query(r"SELECT doc_id, md5(regexp_replace(text, '\s+', '', 'g')) AS said_md5 FROM documents")
+def sentence_texts(spark, d):
+    """The sentences of a text, one after the other, are all of it but white space."""
+    said = F.array_join(spans.sentences(F.col("text")), "")
+    return _t(spark, d, "documents").select("doc_id", F.md5(F.regexp_replace(said, r"\s+", "").cast("binary")).alias("said_md5"))
+
+
+@query(rf"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM documents)")
+def token_places(spark, d):
+    """What stands at the places of a text's tokens."""
+    at = F.transform("s", lambda s: F.substring(F.col("text"), s["start"] + 1, s["stop"] - s["start"]))
+    rows = _t(spark, d, "documents").select("doc_id", "text", spans.token_spans(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(at, " ").cast("binary")).alias("tokens_md5"))
+
+
+def _gold(spark, d):
+    """Gold questions made of passages: every third lacks answers, every fifth can't be answered, every seventh names a document there isn't."""
+    i = F.col("item_id")
+    found = evidence_locate(spark, d).groupBy("item_id").agg(F.min("doc_id").alias("doc"))
+    rows = _t(spark, d, "benchmark").join(found, "item_id", "left")
+    none = F.array().cast("array<string>")
+    evidence = F.when(F.col("doc").isNull(), F.array().cast("array<struct<doc:string,text:string>>")).otherwise(F.array(F.struct(F.when(i % 7 == 0, "none").otherwise(F.col("doc").cast("string")).alias("doc"), F.col("text"))))
+    return rows.select(i.alias("query_id"), F.col("text").alias("question"), F.when(i % 3 == 0, none).otherwise(F.array(F.lit("x"))).alias("answers"), evidence.alias("evidence"), F.concat(F.lit("c"), (i % 4).cast("string")).alias("category"),
+                       (i % 5 != 0).alias("answerable"), F.when(i % 2 == 0, "dev").otherwise("test").alias("split"), F.lit(None).cast("string").alias("injected_claim"), F.lit(False).alias("evidence_any"))
+
+
+@query("SELECT CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, 'c' || item_id % 4 AS category, count(*) AS questions FROM benchmark WHERE item_id % 2 = 1 GROUP BY ALL")
+def gold_counts(spark, d):
+    return experiments.counts(experiments.of_split(_gold(spark, d), "test"))
+
+
+@query("""WITH g AS (SELECT b.item_id, b.text, (SELECT min(doc_id) FROM documents d WHERE contains(d.text, b.text)) AS doc FROM benchmark b), p AS (SELECT item_id, text, doc, (SELECT text FROM documents d WHERE d.doc_id = doc) AS body FROM g)
+SELECT item_id AS query_id, 'error' AS level, 'answerable without evidence' AS problem FROM g WHERE item_id % 5 <> 0 AND doc IS NULL UNION ALL SELECT item_id, 'error', 'answerable without accepted answers' FROM g WHERE item_id % 5 <> 0 AND item_id % 3 = 0
+UNION ALL SELECT item_id, 'warning', 'unanswerable with evidence' FROM g WHERE item_id % 5 = 0 AND doc IS NOT NULL UNION ALL SELECT item_id, 'error', 'evidence in none: unknown document' FROM g WHERE item_id % 7 = 0 AND doc IS NOT NULL
+UNION ALL SELECT item_id, 'warning', 'evidence in ' || doc || ': more than once' FROM p WHERE item_id % 7 <> 0 AND doc IS NOT NULL AND instr(substr(body, instr(body, text) + 1), text) > 0""")
+def gold_problems(spark, d):
+    return experiments.validated(_gold(spark, d), _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
+@query("SELECT DISTINCT sha256('hashing' || chr(0) || text) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')")
+def embeddings_to_add(spark, d):
+    """What an embedding cache that knows the English texts lacks."""
+    docs = _t(spark, d, "documents")
+    cache = docs.where("lang = 'en'").select(F.sha2(F.concat(F.lit("hashing\0"), F.col("text")), 256).alias("key"))
+    return embed_missing(docs.select("text"), cache, Hashing(64)).select("key")
+
+
 @query()
 def page_documents(spark, d):
     return files.page_documents(_t(spark, d, "pages"))
@@ -536,14 +583,25 @@ def _chunked(strategy):
         cfg = config.Chunking(strategy=strategy)
         return chunking.chunked(files.page_documents(_t(spark, d, "pages")).unionByName(chunking.as_documents(_t(spark, d, "documents"))), cfg, Hashing(256))
 
-    run.__name__ = f"chunks_{strategy}" + "_spans" * (strategy == "fixed")
+    run.__name__ = f"chunks_{strategy}"
     return query()(run)
 
 
-for _strategy in chunking.STRATEGIES:
+for _strategy in ("recursive", "structure", "semantic"):
     _chunked(_strategy)
 
 
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS tokens FROM documents WHERE NOT contains(text, '#')),
+s AS (SELECT doc_id, tokens, unnest(range(0, 1 + greatest(0, CAST(ceil((len(tokens) - 200) / 170.0) AS BIGINT)))) AS i FROM t WHERE len(tokens) > 0), w AS (SELECT doc_id, i, list_slice(tokens, i * 170 + 1, i * 170 + 200) AS part FROM s)
+SELECT doc_id::VARCHAR || '#' || lpad(i::VARCHAR, 4, '0') AS chunk_id, md5(array_to_string(part, ' ')) AS tokens_md5, 'fixed' AS strategy FROM w WHERE len(part) >= 3""")
+def chunks_fixed_spans(spark, d):
+    """Chunks of token windows as substrings of their documents, with ids and metadata; of documents without a #, as a window that begins with one is a heading line and dropped."""
+    docs = _t(spark, d, "documents").where(~F.contains("text", F.lit("#")))
+    chunks = chunking.chunked(chunking.as_documents(docs), config.Chunking(strategy="fixed"))
+    inside = chunks.join(docs.select(F.col("doc_id").cast("string").alias("d"), F.col("text").alias("body")), F.col("doc_id") == F.col("d")).where(F.substring(F.col("body"), F.col("start") + 1, F.col("stop") - F.col("start")) == F.col("text"))
+    return inside.select("chunk_id", F.md5(F.array_join(T.tokens(F.col("text")), " ").cast("binary")).alias("tokens_md5"), F.col("metadata")["strategy"].alias("strategy"))
+
+
 @query("SELECT source AS collection, count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM documents GROUP BY 1")
 def collection_counts(spark, d):
     chunks = _t(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id")
