@@ -299,8 +299,10 @@ def found_in(passages: DataFrame, docs: DataFrame, key: str = "item_id", text: s
     rows = asked.where("g > 0").select(key, "b", F.array_min(runs(F.col("w"), F.col("g"))).alias("h"))
     said = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
     split = said.select("d", F.split("t", r"(?U)\s+").alias("w"))
-    hashed = split.select("d", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("w"), F.lit(g)) for g in range(1, words + 1)])))).alias("h"))
-    met = hashed.join(rows, "h").select("d", key, "b").join(said, "d")
+    sizes = [r.g for r in asked.where("g > 0").select("g").distinct().collect()]  # at most ``words`` of them
+    every = F.flatten(F.array(*[runs(F.col("w"), F.lit(g)) for g in sizes])) if sizes else F.array().cast("array<bigint>")
+    hashed = split.select("d", F.explode(every).alias("h"))
+    met = hashed.join(rows, "h").select("d", key, "b").distinct().join(said, "d")
     short = asked.where("g = 0").select(key, "b").join(said, F.expr("contains(t, b)"))
     at = F.instr(F.col("t"), F.col("b"))
     both = met.select(key, "d", "b", "t").unionByName(short.select(key, "d", "b", "t")).where(at > 0)
