@@ -195,10 +195,34 @@ def guard_drop(spark, d):
     return retrieval.guarded(_attacked(spark, d)).select("doc_id")
 
 
-@query(r"""SELECT id, array_to_string(list_distinct_ordered, ',') AS labels FROM (SELECT 1 AS id, ['S1', 'S2'] AS list_distinct_ordered UNION ALL SELECT 2, ['S3'] UNION ALL SELECT 3, ['S1', 'S2'] UNION ALL SELECT 4, [])""")
+_CITED = "(SELECT conv_id * 1000 + turn AS pair_id, text || ' [S' || turn || ', s' || (turn + 1) || '; ' || turn || '] .' AS said FROM conversations)"
+_CITE = r"(?i)\[\s*(S\d+(?:\s*[,;]\s*S?\d+)*)\s*\]"
+
+
+def _cited(spark, d):
+    """Turns with citations put after them."""
+    t = F.col("turn")
+    said = F.concat(F.col("text"), F.lit(" [S"), t.cast("string"), F.lit(", s"), (t + 1).cast("string"), F.lit("; "), t.cast("string"), F.lit("] ."))
+    return _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + t).alias("pair_id"), said.alias("said"))
+
+
+@query(f"SELECT pair_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(said, '{_CITE}', 1), '\\d+'), lambda n: 'S' || n))), ',') AS labels FROM {_CITED}")
 def citation_parse(spark, d):
-    rows = spark.createDataFrame([(1, "a [S1] b [S2, S1]."), (2, "x [s3]"), (3, "[S1;2] z"), (4, "none [4]")], "id int, text string")
-    return rows.select("id", F.array_join(T.citations(F.col("text")), ",").alias("labels"))
+    return _cited(spark, d).select("pair_id", F.array_join(F.array_sort(T.citations(F.col("said"))), ",").alias("labels"))
+
+
+@query(f"SELECT pair_id, md5(regexp_replace(regexp_replace(regexp_replace(said, '{_CITE}', '', 'g'), '\\s+([.,;:!?])', '\\1', 'g'), '^\\s+|\\s+$', '', 'g')) AS said_md5 FROM {_CITED}")
+def citations_removed(spark, d):
+    return _cited(spark, d).select("pair_id", F.md5(T.without_citations(F.col("said")).cast("binary")).alias("said_md5"))
+
+
+_ABSTAINING = "(SELECT doc_id, text FROM documents UNION ALL SELECT -1, 'I don’t know that.' UNION ALL SELECT -2, '   ' UNION ALL SELECT -3, 'There is NO INFORMATION ABOUT it')"
+
+
+@query(f"SELECT doc_id FROM {_ABSTAINING} WHERE trim({_fold('text')}) = '' OR " + " OR ".join("contains(substr(" + _fold("text") + ", 1, 200), '" + p.replace("'", "''") + "')" for p in T.ABSTENTIONS))
+def abstentions(spark, d):
+    more = spark.createDataFrame([(-1, "I don’t know that."), (-2, "   "), (-3, "There is NO INFORMATION ABOUT it")], "doc_id long, text string")
+    return _t(spark, d, "documents").select("doc_id", "text").unionByName(more).where(T.is_abstention(F.col("text"))).select("doc_id")
 
 
 @query("SELECT doc_id, sha256(source || chr(0) || text) AS hash FROM documents")
@@ -616,6 +640,41 @@ def stream_ingest(spark, d):
     return stream.into(hashed, new_folder(spark, "stream"), "doc_id", "hash")
 
 
+_NUMBERS = "list_distinct(list_transform(list_filter(regexp_extract_all({f}, '{w}'), lambda w: regexp_matches(w, '[0-9]')), lambda w: regexp_replace(regexp_replace(w, '(\\d),(\\d)', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1\\2', 'g')))"
+
+
+def _numbers_sql(x: str) -> str:
+    return _NUMBERS.replace("{f}", _fold(x)).replace("{w}", T.WORD)
+
+
+@query(f"SELECT pair_id, len(list_filter({_numbers_sql('answer')}, lambda x: NOT list_contains({_numbers_sql('gold')}, x)))::BIGINT AS n FROM {_TURNS} WHERE answer IS NOT NULL")
+def unsupported_numbers(spark, d):
+    """Numbers of an answer that its source lacks."""
+    return _pairs(spark, d).select("pair_id", F.size(F.array_except(T.numbers(F.col("answer")), T.numbers(F.col("gold")))).cast("long").alias("n"))
+
+
+def _records(spark, d):
+    """Event types as experiments, users as items, the mean value as metric."""
+    return _t(spark, d, "events").groupBy(F.col("event_type").alias("experiment"), F.col("user_id").alias("item_id")).agg(F.avg("value").alias("value")).withColumn("metric", F.lit("value"))
+
+
+@query("SELECT event_type AS experiment, 'value' AS metric, count(*) AS n, round(avg(v), 6) AS mean FROM (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY 1, 2) WHERE v IS NOT NULL GROUP BY 1")
+def experiment_summary(spark, d):
+    """The limits are drawn, so they have no SQL."""
+    return evaluation.summarised(_records(spark, d)).select("experiment", "metric", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("WITH r AS (SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY 1, 2) SELECT a.event_type AS experiment, round(avg(a.v - b.v), 6) AS diff FROM r a JOIN r b ON a.user_id = b.user_id AND b.event_type = 'view' WHERE a.event_type <> 'view' AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1")
+def experiment_comparison(spark, d):
+    """Paired differences with the views; limits and p are drawn, so they have no SQL."""
+    return evaluation.compared(_records(spark, d), ["value"], "view", permutations=2000).select("experiment", F.round("diff", 6).alias("diff"))
+
+
+@query()
+def dense_approximate(spark, d):
+    return retrieval.dense_approximate(_t(spark, d, "embeddings"), _q_vec(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -96,6 +96,19 @@ def test_dense_search(spark, block):
     assert len(got) == 15 and retrieval.dense(vectors, asked.limit(0)).count() == 0
 
 
+def test_approximate_search_finds_most(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    x = np.concatenate([c + 0.3 * rng.normal(size=(30, 16)) for c in centres])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [0.0] * 16), (9001, None)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = spark.createDataFrame([(i, unit[i].tolist()) for i in range(0, 600, 30)], "query_id long, q_vec array<double>")
+    units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    exact = {(r.query_id, r.vec_id): r.score for r in retrieval.dense(units, asked, k=5).collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in retrieval.dense_approximate(vectors, asked, k=5).collect()}
+    assert len(exact.keys() & got.keys()) >= 0.9 * len(exact) and all(math.isclose(exact[p], got[p], abs_tol=1e-9) for p in exact.keys() & got.keys())
+
+
 def test_single_lists_and_fusion(spark):
     rows = [(1, 0, 1.0, 1, "a", 9.0), (1, 0, 1.0, 2, "b", 8.0), (2, 0, 1.0, 1, "a", 3.0), (2, 5, 1.0, 1, "c", 2.0), (2, 5, 1.0, 2, "a", 1.0)]
     lists = spark.createDataFrame(rows, "query_id int, list_no int, weight double, rank int, doc_id string, score double")
