@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, written
-from .tokens import batches_of, encoder, vocabulary
+from .tokens import batches_of, encoder, releasing, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -161,7 +161,7 @@ def encoded(docs: DataFrame, vocab: str | None = None, end_id: int = 0) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys(ids, n)), pa.array(rng.integers(0, 1 << 62, len(n))), pa.array(np.full(len(n), wide, np.int32)), flat.cast(pa.binary())], names=["doc_id", "key", "salt", "wide", "ids"])
 
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(rows, "doc_id long, key long, salt long, wide int, ids binary")
+    return texts.mapInArrow(lambda batches: releasing(rows(batches)), "doc_id long, key long, salt long, wide int, ids binary")
 
 
 def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id: int = 0, shard_ids: int = 500_000) -> DataFrame:
@@ -195,4 +195,4 @@ def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id:
             yield rows()
 
     dealt = written(encoded(docs, vocab, end_id), "packing-ids").repartitionByRange(partitions(docs.sparkSession), "key", "salt")
-    return dealt.sortWithinPartitions("key", "salt").select("doc_id", "wide", "ids").mapInArrow(shards, SCHEMA)
+    return dealt.sortWithinPartitions("key", "salt").select("doc_id", "wide", "ids").mapInArrow(lambda batches: releasing(shards(batches)), SCHEMA)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, only, own_settings, partitions
-from .tokens import batches_of, encoder, vocabulary
+from .tokens import batches_of, encoder, releasing, vocabulary
 
 END_ID = 2
 SCHEMA = "shard int, group_no long, n_ids long, doc_ids array<bigint>, n_tokens array<bigint>, chunk_index array<struct<first:long,n:int,at:long,sizes:array<int>>>, payload binary"
@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     texts = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = texts.repartitionByRange(max(partitions(spark), 2), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     with own_settings(spark):
-        ordered.mapInArrow(groups, SCHEMA).write.option("compression", "none").parquet(path)
+        ordered.mapInArrow(lambda batches: releasing(groups(batches)), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

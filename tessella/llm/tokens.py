@@ -10,6 +10,7 @@ Texts with other white space, runs of it, white space at an edge, or the string
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -23,7 +24,7 @@ JOINED, CALL = 64, 128
 #: Stands, after a space put in, before what follows a letter directly.
 GLUE = "\x01"
 #: Bytes of text that one call of ``encode_flat`` gets from ``batches_of``.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 5_000_000
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -36,7 +37,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class WordEncoder:
     """most: distinct words kept in memory for later batches; beyond it only those of the last batch."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,6 +163,15 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = B
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches a task makes; after the last one the worker, which other tasks go on with, gives back what encoders have kept."""
+    yield from batches
+    for e in _loaded.values():
+        e.known = {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str) -> WordEncoder:
     """One per worker process."""
     if path not in _loaded:

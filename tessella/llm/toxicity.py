@@ -55,22 +55,22 @@ class Model:
     words: dict[str, float] = field(default_factory=dict)
     bias: float = BIAS
     leak: float = 0.0
-    memo: dict[str, list[str]] = field(default_factory=dict, repr=False)
+    memo: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         self.starts = sorted({len(w) - 1 for w in self.words if w.endswith("*")})
 
-    def features(self, word: str) -> list[str]:
+    def features(self, word: str) -> tuple[str, ...]:
         """Those of the model's words and beginnings that a lower-case word has; words met before are remembered."""
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) >= 300_000:
+            if len(self.memo) >= 100_000:
                 self.memo.clear()
             found = self.memo[word] = self._features(word)
         return found
 
-    def _features(self, word: str) -> list[str]:
-        return [f for f in (word, *(word[:k] + "*" for k in self.starts if len(word) > k)) if f in self.words]
+    def _features(self, word: str) -> tuple[str, ...]:
+        return tuple(f for f in (word, *(word[:k] + "*" for k in self.starts if len(word) > k)) if f in self.words)
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and score of the sentences with known words."""
