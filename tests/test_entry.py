@@ -14,7 +14,7 @@ def test_names_match():
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no tables here")
-@pytest.mark.parametrize("name", ["bm25_batch_queries", "chunks_fixed", "dense_topk_batch", "normalized_text", "token_f1", "injection_scan", "superseded_filter", "context_pack"])
+@pytest.mark.parametrize("name", ["bm25_batch_queries", "chunks_fixed", "dense_topk_batch", "normalized_text", "token_f1", "injection_scan", "superseded_filter", "context_pack", "retrieved_hybrid", "retrieved_lexical", "answer_scores", "citation_scores", "span_coverage", "gold_problems", "sentence_texts", "token_places", "chunks_fixed_spans", "variability", "calibrate_threshold", "quality_gate", "citation_parse", "stream_ingest", "experiment_comparison"])
 def test_against_sql(spark, name):
     import duckdb
 
@@ -24,5 +24,5 @@ def test_against_sql(spark, name):
     got, want = entry.queries()[name](spark, DATA).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    key = lambda d: sorted(map(tuple, d[cols].astype(str).to_numpy().tolist()))
+    key = lambda d: sorted(map(tuple, d[cols].astype(str).replace({"<NA>": "None", "nan": "None"}).to_numpy().tolist()))
     assert key(got) == key(want)
