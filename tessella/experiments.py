@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.config import Experiment, Pipeline, experiments, label
+from tessella.config import Experiment, experiments, label
 from tessella.engine import Engine
 from tessella.operators import evaluation
 
@@ -248,7 +248,3 @@ def gate(spec: Spec, thresholds: Mapping[str, float], spark: SparkSession, root:
     alone = Spec(spec.name, spec.baseline, split=spec.split, seed=spec.seed, n_boot=500, n_perm=1000, primary_metrics=spec.primary_metrics)
     done = run(alone, spark, root, documents, gold, embedder, say=lambda _: None)
     return evaluation.gate(done.summary.where("experiment = 'baseline'"), thresholds)
-
-
-def default_config() -> Pipeline:
-    return Pipeline()

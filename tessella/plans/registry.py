@@ -16,6 +16,7 @@ from tessella.operators.storage import new_folder
 from tessella.sources import documents as files
 from tessella.sources import pages as html_pages
 from tessella.streaming import ingest as stream
+from tessella.streaming import log as stream_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -675,6 +676,14 @@ def dense_approximate(spark, d):
     return retrieval.dense_approximate(_t(spark, d, "embeddings"), _q_vec(spark, d))
 
 
+@query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 day', ts))::BIGINT AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """The log as a stream, in windows of a day."""
+    events = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    out = stream_log.kept(stream_log.windowed(events, "ts", "event_type", "value", "1 day"), new_folder(spark, "windows"))
+    return out.select("event_type", F.unix_micros("start").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

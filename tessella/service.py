@@ -22,7 +22,6 @@ from urllib.parse import unquote
 
 from tessella.config import Settings
 from tessella.engine import Engine, Mismatch
-from tessella.operators import chunking
 from tessella.sources import documents as sources
 
 log = logging.getLogger("tessella")
@@ -232,7 +231,3 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8000, settings: S
         do_GET = do_POST = do_DELETE = _any
 
     ThreadingHTTPServer((host, port), Handler).serve_forever()
-
-
-#: A chunk as the service's callers get it.
-CHUNK = chunking.CHUNK
