@@ -26,23 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, written
-from .tokens import batches_of, encoder, releasing, vocabulary
+from .tokens import BATCH_BYTES, WORDS, batches_of, encoder, releasing, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each document, the least hash of its runs of three ids; ids: of all documents, n: how many each has (1 or more)."""
-    x = ids.astype(np.uint64)
-    x[:-2] = (x[:-2] * _ODD + x[1:-1]) * _ODD + x[2:]
-    x = (x ^ (x >> np.uint64(29))) * _ODD
-    x ^= x >> np.uint64(32)
-    ends = np.cumsum(n)
-    # a document's last two ids begin no run of its own
-    x[ends - 1] = ~np.uint64(0)
-    x[(ends - 2)[n > 1]] = ~np.uint64(0)
-    return np.minimum.reduceat(x, ends - n).view(np.int64)
+def keys(ids: np.ndarray, n: np.ndarray, block: int = 200_000) -> np.ndarray:
+    """Of each document, the least hash of its runs of three ids; ids: of all documents, n: how many each has (1 or more). ``block`` ids or a document at a time."""
+    ends, out, first = np.cumsum(n), np.zeros(len(n), np.uint64), 0
+    while first < len(n):
+        begin = int(ends[first] - n[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + block, side="right")))
+        x = ids[begin : ends[last - 1]].astype(np.uint64)
+        x[:-2] = (x[:-2] * _ODD + x[1:-1]) * _ODD + x[2:]
+        x = (x ^ (x >> np.uint64(29))) * _ODD
+        x ^= x >> np.uint64(32)
+        mine, at = n[first:last], ends[first:last] - begin
+        # a document's last two ids begin no run of its own
+        x[at - 1] = ~np.uint64(0)
+        x[(at - 2)[mine > 1]] = ~np.uint64(0)
+        out[first:last] = np.minimum.reduceat(x, at - mine)
+        first = last
+    return out.view(np.int64)
 
 
 class Bm25:
@@ -147,25 +153,25 @@ def pack_shard(docs: list[np.ndarray], window: int = 1024) -> Iterator[tuple[int
             s, n, at = s + take, n - take, at + take
 
 
-def encoded(docs: DataFrame, vocab: str | None = None, end_id: int = 0) -> DataFrame:
-    """doc_id, key, salt (any even spread over a key's rows) and ids (little-endian, the end id last; two bytes each where wide is 0) of each row."""
+def encoded(docs: DataFrame, vocab: str | None = None, end_id: int = 0, frugal: bool = False) -> DataFrame:
+    """doc_id, key, salt (any even spread over a key's rows) and ids (little-endian, the end id last; two bytes each where wide is 0) of each row. frugal: workers handle less at a time and keep no words, at a third more time."""
     vocab = vocab or vocabulary()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(TaskContext.get().partitionId())
-        for b in batches_of(batches):
-            ids, n = encoder(vocab).encode_ended(b.column(1), end_id)
+        for b in batches_of(batches, most=2_000_000 if frugal else BATCH_BYTES):
+            ids, n = encoder(vocab, 50_000 if frugal else WORDS).encode_ended(b.column(1), end_id)
             wide = int(ids.max()) >> 16 > 0
             at = pa.array(np.concatenate([[0], (4 if wide else 2) * np.cumsum(n)]).astype(np.int64))
             flat = pa.Array.from_buffers(pa.large_binary(), len(n), [None, at.buffers()[1], pa.py_buffer(ids.astype("<u4" if wide else "<u2").tobytes())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys(ids, n)), pa.array(rng.integers(0, 1 << 62, len(n))), pa.array(np.full(len(n), wide, np.int32)), flat.cast(pa.binary())], names=["doc_id", "key", "salt", "wide", "ids"])
 
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(lambda batches: releasing(rows(batches)), "doc_id long, key long, salt long, wide int, ids binary")
+    return texts.mapInArrow(lambda batches: releasing(rows(batches), not frugal), "doc_id long, key long, salt long, wide int, ids binary")
 
 
-def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id: int = 0, shard_ids: int = 500_000) -> DataFrame:
-    """A row per piece (SCHEMA). shard_ids: ids of an index shard, but for its last document. sequence_id: partition and number within."""
+def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id: int = 0, shard_ids: int = 500_000, frugal: bool = False) -> DataFrame:
+    """A row per piece (SCHEMA). frugal: as for ``encoded``. shard_ids: ids of an index shard, but for its last document. sequence_id: partition and number within."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
@@ -194,5 +200,5 @@ def pack(docs: DataFrame, window: int = 1024, vocab: str | None = None, end_id:
         if docs:
             yield rows()
 
-    dealt = written(encoded(docs, vocab, end_id), "packing-ids").repartitionByRange(partitions(docs.sparkSession), "key", "salt")
-    return dealt.sortWithinPartitions("key", "salt").select("doc_id", "wide", "ids").mapInArrow(lambda batches: releasing(shards(batches)), SCHEMA)
+    dealt = written(encoded(docs, vocab, end_id, frugal), "packing-ids").repartitionByRange(partitions(docs.sparkSession), "key", "salt")
+    return dealt.sortWithinPartitions("key", "salt").select("doc_id", "wide", "ids").mapInArrow(lambda batches: releasing(shards(batches), not frugal), SCHEMA)

@@ -10,6 +10,7 @@ Texts with other white space, runs of it, white space at an edge, or the string
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -24,7 +25,9 @@ JOINED, CALL = 64, 128
 #: Stands, after a space put in, before what follows a letter directly.
 GLUE = "\x01"
 #: Bytes of text that one call of ``encode_flat`` gets from ``batches_of``.
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 6_000_000
+#: Words that an encoder remembers.
+WORDS = 400_000
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -37,7 +40,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class WordEncoder:
     """most: distinct words kept in memory for later batches; beyond it only those of the last batch."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -163,17 +166,29 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = B
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def releasing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches a task makes; after the last one the worker, which other tasks go on with, gives back what encoders have kept."""
-    yield from batches
-    for e in _loaded.values():
-        e.known = {}
+def give_back() -> None:
+    """Hands freed memory back to the system, where the C library can."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def releasing(batches: Iterator[pa.RecordBatch], keep: bool = True) -> Iterator[pa.RecordBatch]:
+    """The batches a task makes. A worker goes on with other tasks: it gives back what those before have left, and in the end, unless keep, its encoders' words."""
+    give_back()
+    yield from batches
+    if not keep:
+        for e in _loaded.values():
+            e.known = {}
+        give_back()
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = WORDS) -> WordEncoder:
     """One per worker process."""
     if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
+        _loaded[path] = WordEncoder(path, most)
+    _loaded[path].most = most
     return _loaded[path]

@@ -42,3 +42,4 @@ def test_keys_meet_copies():
     docs = [ended([5, 6, 7, 8]), ended([9, 5, 6]), ended([5, 6, 7, 8]), ended([]), ended([3])]
     got = packing.keys(np.concatenate(docs), np.array([len(d) for d in docs]))
     assert got[0] == got[2] != got[1]
+    assert all((packing.keys(np.concatenate(docs), np.array([len(d) for d in docs]), block) == got).all() for block in (1, 3, 7))
