@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Every step is joins and aggregations over link rows; a component is never gathered in one task or on the driver. The
-steps' tables are checkpointed in the shared folder, and the loop ends when a step changes nothing.
+steps' tables are written in the shared folder, each dropped when the next is there, and the loop ends when a step changes nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import drop, written
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -18,17 +18,18 @@ def _signature(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) of one orderable type -> (node, root): root is the least node that can be reached. Self links and repeats are allowed; only linked nodes are returned."""
-    shared_dir(links.sparkSession)
-    links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct().checkpoint()
+    links = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "components")
     before = _signature(links)
     while before[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct().checkpoint()
+        large = written(large.distinct(), "components-large")
+        drop(links)
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         small = large.join(least, F.col("u") == F.col("n")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        links = small.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u != v").distinct().checkpoint()
+        links = written(small.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(), "components")
+        drop(large)
         after = _signature(links)
         if after == before:
             break
