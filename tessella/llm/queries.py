@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprints, mixing, packing, pii, secrets, simhash, substrings, token_store, toxicity
+from . import ann, fingerprints, main_text, mixing, packing, pii, runs, secrets, simhash, substrings, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_multiprobe_neighbours, op2_toxicity, op3_suffix_dedup, op4_source_mix, op5_secret_scan, op6_simhash, op7_pseudonyms, op8_token_output, op9_lexical_packing, op10_fingerprints)
+    found = (
+        op1_multiprobe_neighbours, op2_toxicity, op3_suffix_dedup, op4_source_mix, op5_secret_scan, op6_simhash, op7_pseudonyms, op8_token_output, op9_lexical_packing, op10_fingerprints,
+        op11_periodic_runs, op13_main_text,
+    )
     return {f.__name__: f for f in found}
 
 
