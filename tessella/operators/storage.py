@@ -25,6 +25,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder there that goes when the application ends."""
+    path = new_folder(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
