@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprints, main_text, mixing, packing, pii, runs, secrets, simhash, substrings, token_store, toxicity
+from . import ann, fingerprints, main_text, mixing, packing, pii, prefix_trie, runs, secrets, simhash, substrings, token_store, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_multiprobe_neighbours, op2_toxicity, op3_suffix_dedup, op4_source_mix, op5_secret_scan, op6_simhash, op7_pseudonyms, op8_token_output, op9_lexical_packing, op10_fingerprints,
-        op11_periodic_runs, op13_main_text,
+        op11_periodic_runs, op12_prefix_trie, op13_main_text,
     )
     return {f.__name__: f for f in found}
 

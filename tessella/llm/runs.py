@@ -19,6 +19,7 @@ null (and ``planted`` leaves its text alone); a word is a run of characters othe
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,7 @@ def _one_batch(texts: Sequence[str], least: int, times: int) -> tuple[list[list[
     split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(x) for x in split], np.int64)
     doc = np.repeat(np.arange(len(split)), sizes)
-    hashes = np.fromiter((hash(x) for words in split for x in words), np.int64, int(sizes.sum()))
+    hashes = np.fromiter(map(hash, chain.from_iterable(split)), np.int64, int(sizes.sum()))
     kept = np.flatnonzero(_recurring(hashes, doc, w)) if len(hashes) else np.zeros(0, np.int64)
     runs: list[list[tuple[int, int, int]]] = [[] for _ in split]
     if len(kept):
