@@ -148,14 +148,14 @@ class Engine:
         cfg = self.config.retrieval
         if cfg.rerank == "mmr":
             vectors = self.table("vectors").select("chunk_id", "embedding")
-            return lambda head: rerank.mmr(head.join(vectors, "chunk_id"), "chunk_id", k, cfg.mmr_lambda)
+            return lambda head: rerank.mmr(head.join(vectors, "chunk_id", "left"), "chunk_id", k, cfg.mmr_lambda)
         if cfg.rerank == "maxsim":
             words = self.spark.createDataFrame([(w, [float(x) for x in v]) for w, v in zip(self.embedder.table, self.embedder.word_vectors(list(self.embedder.table)))], "term string, vec array<float>")
             return lambda head: retrieval.maxsim(head.withColumn("said", chunking.embed_text(F.col("header"), F.col("text"))), words, "chunk_id", "said", cfg.rrf_k)
         return (lambda head: retrieval.scored_by(head, self.scorer, "chunk_id")) if cfg.rerank != "none" else None
 
-    def retrieve(self, questions: DataFrame, k: int | None = None, cut: bool = True) -> DataFrame:
-        """query_id, question, chunk_id, score, rank and the chunk's columns for questions (query_id, question)."""
+    def retrieve(self, questions: DataFrame, k: int | None = None, cut: bool = True, dropped: bool = False) -> DataFrame:
+        """query_id, question, chunk_id, score, rank and the chunk's columns for questions (query_id, question). dropped: also, without a rank, what the guard drops."""
         self._check()
         cfg = self.config.retrieval
         asked = questions.select("query_id", "question")
@@ -170,12 +170,12 @@ class Engine:
             q_vec = plain.withColumn("q_vec", embedded(F.col("question"), self.embedder))
             inner = reranker
             reranker = lambda head: inner(head.join(q_vec, "query_id"))
-        found = retrieval.retrieved(asked, self.table("chunks"), cfg, self.index(), vectors, self.config.guard.injection, "chunk_id", k, reranker, cut)
+        found = retrieval.retrieved(asked, self.table("chunks"), cfg, self.index(), vectors, self.config.guard.injection, "chunk_id", k, reranker, cut, dropped)
         return found.join(plain, "query_id")
 
     def ask_all(self, questions: DataFrame, k: int | None = None, seed: int | None = None) -> DataFrame:
         """Answers (``answers.ANSWER``) to all questions (query_id, question)."""
-        return answers.answered(self.retrieve(questions, k), self.embedder, self.config.generation, self.config.guard, "chunk_id", self.index().idf(), self.generate, seed, questions)
+        return answers.answered(self.retrieve(questions, k, dropped=True), self.embedder, self.config.generation, self.config.guard, "chunk_id", self.index(), self.generate, seed, questions)
 
     def ask(self, question: str, k: int | None = None) -> dict[str, Any]:
         """One answer with its sources and timings. ValueError for a question of no or over 2000 characters, or k outside 1 .. 50."""
@@ -183,12 +183,13 @@ class Engine:
             raise ValueError("a question has 1 to 2000 characters, k is 1 to 50")
         timer = Timer()
         asked = self.spark.createDataFrame([(0, question)], "query_id long, question string")
-        found = timer.stage("retrieve", lambda: self.retrieve(asked, k).orderBy("rank").collect())
+        rows = timer.stage("retrieve", lambda: self.retrieve(asked, k, dropped=True).orderBy("rank").collect())
+        found, flagged = [r for r in rows if r["rank"] is not None], next((r.n_flagged for r in rows if "n_flagged" in r), 0)
         group = [answers.Source(r.chunk_id, r.text, r.doc_title, tuple(r.path or ()), r.page, tuple(r["flags"] if "flags" in r else ())) for r in found]
-        terms = asked.select(F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
-        idf = {r.term: r.idf for r in self.index().idf().join(terms, "term").collect()}
+        terms = asked.select("query_id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
+        idf = {r.term: r.idf for r in self.index().weights(terms).collect()}
         text, used = timer.stage("generate", lambda: self.generate(question, group, self.embedder, self.config.generation, idf, None))
-        made = timer.stage("verify", lambda: answers.final(text, used, sum(bool(s.flags) for s in group), self.embedder, self.config.guard))
+        made = timer.stage("verify", lambda: answers.final(text, used, flagged, self.embedder, self.config.guard))
         preview = [{"chunk_id": r.chunk_id, "location": s.location, "score": round(r.score, 5)} for r, s in zip(found, group)]
         return {"question": question, **made, "sources": preview, "timings_ms": timer.all(), "config_id": self.config.fingerprint()}
 

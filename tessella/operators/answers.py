@@ -19,6 +19,7 @@ from tessella.config import Generation, Guard
 from tessella.functions import analysis, spans
 from tessella.operators.embedding import Embedder, embed
 from tessella.operators.rerank import LABEL_TOKENS
+from tessella.operators.retrieval import Index
 
 # Fixed values.
 ABSTAIN = "I don't know based on the provided documents."
@@ -100,7 +101,9 @@ def candidates(used: Sequence[Source]) -> list[Candidate]:
 
 
 def scores(question: str, found: Sequence[Candidate], embedder: Embedder, idf: Mapping[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (likeness, weighted share of the question's terms, place of the source) and sentence vectors."""
+    """Scores (likeness, weighted share of the question's terms, place of the source) and sentence vectors.
+
+    idf: weights of the question's terms; one that it lacks is as rare as can be: it weighs as the heaviest there."""
     vectors = embed(embedder, [c.about for c in found]).astype(np.float64)
     likeness = vectors @ embed(embedder, [question])[0].astype(np.float64)
     asked = sorted(set(analysis.terms(question)))
@@ -108,7 +111,8 @@ def scores(question: str, found: Sequence[Candidate], embedder: Embedder, idf: M
     if idf is None:
         df = Counter(t for h in have for t in h)
         idf = {t: math.log(1.0 + (len(found) + 1) / (df[t] + 0.5)) for t in asked}
-    weight = np.array([idf.get(t, 0.0) for t in asked])
+    rarest = max(idf.values(), default=1.0)
+    weight = np.array([idf.get(t, rarest) for t in asked])
     holds = np.array([[t in h for t in asked] for h in have], float).reshape(len(found), len(asked))
     covered = holds @ weight / (weight.sum() or 1.0)
     return 0.5 * np.maximum(likeness, 0) + 0.4 * covered + 0.1 / np.array([c.label for c in found]), vectors
@@ -213,36 +217,37 @@ def final(answer: str | None, used: Sequence[Source], n_flagged: int, embedder:
     return {"answer": text, "abstained": abstained, "labels": labels, "cited": keys, "invalid": invalid, "grounded": score, "unsupported": [c.sentence for c in checks if not c.supported], "flags": flags}
 
 
-def answered(sources: DataFrame, embedder: Embedder, cfg: Generation | None = None, guard: Guard | None = None, key: str = "chunk_id", idf: DataFrame | None = None, generate=extractive, seed: int | None = None, questions: DataFrame | None = None) -> DataFrame:
-    """(query_id, question, rank, key, text and, if there, doc_title, path, page, flags) -> ANSWER rows.
+def answered(sources: DataFrame, embedder: Embedder, cfg: Generation | None = None, guard: Guard | None = None, key: str = "chunk_id", index: Index | None = None, generate=extractive, seed: int | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """(query_id, question, rank, key, text and, if there, doc_title, path, page, flags, n_flagged) -> ANSWER rows.
 
-    idf: term, idf of the corpus (else rarity among the candidate sentences counts). questions (query_id, question): those
-    without any source abstain too. Null texts are empty.
+    index: of the corpus, for its weights of terms (else rarity among the candidate sentences counts). Rows without a rank are no sources, but
+    tell n_flagged. questions (query_id, question): those without any row abstain too. Null texts are empty.
     """
     cfg, guard = cfg or Generation(), guard or Guard()
     q = sources.schema["query_id"].dataType.simpleString()
     schema = ANSWER.format(q=q)
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    rows = sources.select("query_id", "question", "rank", F.col(key).cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in ("doc_title", "path", "page", "flags") if c in sources.columns])
-    weighed = idf is not None
+    rows = sources.select("query_id", "question", "rank", F.col(key).cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in ("doc_title", "path", "page", "flags", "n_flagged") if c in sources.columns])
+    weighed = index is not None
     if weighed:
         from tessella.functions import text as T
 
         asked = rows.select("query_id", "question").distinct().select("query_id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term"))
-        weights = asked.join(idf.select("term", "idf"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("weights"))
+        weights = index.weights(asked).groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("weights"))
         rows = rows.join(weights, "query_id", "left")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank", kind="stable")
+        flagged = int(group["n_flagged"].iloc[0]) if "n_flagged" in group else None
+        everything, group = group, group[group["rank"].notna()].sort_values("rank", kind="stable")
         value = lambda r, c, other: other if getattr(r, c, None) is None or (np.ndim(getattr(r, c)) == 0 and pd.isna(getattr(r, c))) else getattr(r, c)
         all_of = [Source(r.key, r.text, value(r, "doc_title", ""), tuple(value(r, "path", ())), None if value(r, "page", None) is None else int(r.page), tuple(value(r, "flags", ()))) for r in group.itertuples()]
-        question = group["question"].iloc[0]
+        question = everything["question"].iloc[0]
         weights = None
         if weighed:
-            given = group["weights"].iloc[0]
+            given = everything["weights"].iloc[0]
             weights = {w["term"]: w["idf"] for w in given} if given is not None and np.ndim(given) else {}
         text, used = generate(question, all_of, embedder, cfg, weights, np.random.default_rng(seed))
-        made = {"query_id": group["query_id"].iloc[0], **final(text, used, sum(bool(s.flags) for s in all_of), embedder, guard)}
+        made = {"query_id": everything["query_id"].iloc[0], **final(text, used, sum(bool(s.flags) for s in all_of) if flagged is None else flagged, embedder, guard)}
         return pd.DataFrame([made], columns=names)
 
     out = rows.groupBy("query_id").applyInPandas(one, schema)

@@ -20,17 +20,18 @@ def hashed_embedding(text: Column, dim: int = 1024, bigrams: bool = True) -> Col
 
 
 def mmr(candidates: DataFrame, key: str = "vec_id", k: int = 5, trade: float = 0.7) -> DataFrame:
-    """(query_id, key, rank, q_vec, embedding) -> query_id, key, score, rank: relevance traded against likeness to what is chosen.
+    """(query_id, key, rank, q_vec, embedding, score) -> query_id, key, score, rank: relevance traded against likeness to what is chosen.
 
-    The first k are chosen one by one, ties to the better incoming rank; the others follow by relevance. A question's candidates are
+    A lone candidate keeps its score, where there is one; a missing vector counts as zeros. The first k are chosen one by one, ties to the better incoming rank; the others follow by relevance. A question's candidates are
     a short list by construction (the fetch size), so they fit one task.
     """
     kind = candidates.schema[key].dataType.simpleString()
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank", kind="stable").reset_index(drop=True)
-        vectors = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-        relevance = vectors @ np.asarray(group["q_vec"].iloc[0], np.float64)
+        asked = np.asarray(group["q_vec"].iloc[0], np.float64)
+        vectors = np.stack([np.zeros(len(asked)) if v is None else np.asarray(v, np.float64) for v in group["embedding"]])
+        relevance = vectors @ asked
         likeness, free = np.zeros(len(group)), np.ones(len(group), bool)
         order, scores = [], []
         if len(group) > 1:
@@ -44,10 +45,13 @@ def mmr(candidates: DataFrame, key: str = "vec_id", k: int = 5, trade: float = 0
                 likeness = new if turn == 0 else np.maximum(likeness, new)
         left = [int(i) for i in np.argsort(-relevance, kind="stable") if free[i]]
         order, scores = order + left, scores + [float(relevance[i]) for i in left]
+        if len(group) == 1 and pd.notna(group["score"].iloc[0]):
+            scores = [float(group["score"].iloc[0])]
         return pd.DataFrame({"query_id": group["query_id"], key: group[key].to_numpy()[order], "score": scores, "rank": np.arange(1, len(order) + 1)})
 
     query = candidates.schema["query_id"].dataType.simpleString()
-    return candidates.select("query_id", key, "rank", "q_vec", "embedding").groupBy("query_id").applyInPandas(choose, f"query_id {query}, {key} {kind}, score double, rank long")
+    own = F.col("score") if "score" in candidates.columns else F.lit(None).cast("double").alias("score")
+    return candidates.select("query_id", key, "rank", "q_vec", "embedding", own).groupBy("query_id").applyInPandas(choose, f"query_id {query}, {key} {kind}, score double, rank long")
 
 
 def current_only(ranked: DataFrame, status: str = "status") -> DataFrame:

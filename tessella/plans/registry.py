@@ -160,6 +160,29 @@ def neighbor_distance(spark, d):
     return _t(spark, d, "embeddings").withColumn("prev", prev).where("prev IS NOT NULL").select("vec_id", F.round(1 - retrieval.dot(F.col("embedding"), F.col("prev")), 6).alias("distance"))
 
 
+_UNSEEN = "(SELECT item_id AS query_id, text || ' zorblax' AS question FROM benchmark)"
+WEIGHED = f"""w AS (SELECT query_id, q2.term, coalesce(df, 0) AS df, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT query_id, term FROM {terms_sql(_UNSEEN, 'query_id', 'question')}) q2 LEFT JOIN f USING (term), s)"""
+
+
+def _unseen(spark, d):
+    """The questions' terms, with one that no document has."""
+    return _questions(spark, d).select("query_id", F.explode(F.array_distinct(T.terms(F.concat("question", F.lit(" zorblax"))))).alias("term"))
+
+
+@query(BM25 + f", {WEIGHED} SELECT query_id, term, df, round(idf, 6) AS idf FROM w")
+def question_term_weights(spark, d):
+    return _index(spark, d).weights(_unseen(spark, d)).select("query_id", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(BM25 + f""", {WEIGHED}, h AS (SELECT query_id, doc_id, sum(idf) AS met FROM ranked JOIN w USING (query_id) JOIN p USING (doc_id, term) WHERE rank <= 10 GROUP BY ALL)
+SELECT query_id, doc_id, round(coalesce(met, 0) / whole, 6) AS share FROM ranked LEFT JOIN h USING (query_id, doc_id) JOIN (SELECT query_id, sum(idf) AS whole FROM w GROUP BY 1) USING (query_id) WHERE rank <= 10""")
+def question_term_shares(spark, d):
+    """How much of a question's weight each of its ten best documents covers; a term that no document has weighs most."""
+    index = _index(spark, d)
+    found = index.search(_questions(spark, d)).select("query_id", "doc_id")
+    return retrieval.weighted_share(index, _unseen(spark, d), found).select("query_id", "doc_id", F.round("share", 6).alias("share"))
+
+
 @query(BM25 + """, lists AS (SELECT query_id, 0 AS list_no, 1.0 AS weight, rank, doc_id FROM ranked WHERE rank <= 30
   UNION ALL SELECT query_id, 1, 0.5, row_number() OVER (PARTITION BY query_id ORDER BY doc_id), doc_id FROM ranked WHERE rank <= 30),
 fused AS (SELECT query_id, doc_id, sum(weight / (60 + rank)) AS score, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY 1, 2)
@@ -542,8 +565,8 @@ def retrieved_lexical(spark, d):
 @query()
 def extractive_answers(spark, d):
     """Answers to all questions from retrieved documents, grounded and flagged."""
-    sources = retrieval.retrieved(_asked(spark, d), _chunks(spark, d), config.Retrieval(mode="lexical"), _index(spark, d), key="doc_id").join(_questions(spark, d), "query_id")
-    return answers.answered(sources, Hashing(), key="doc_id", idf=_index(spark, d).idf(), questions=_questions(spark, d))
+    sources = retrieval.retrieved(_asked(spark, d), _chunks(spark, d), config.Retrieval(mode="lexical"), _index(spark, d), key="doc_id", dropped=True).join(_questions(spark, d), "query_id")
+    return answers.answered(sources, Hashing(), key="doc_id", index=_index(spark, d), questions=_questions(spark, d))
 
 
 @query()
