@@ -52,6 +52,7 @@ class Chunking(Section):
 @dataclass(frozen=True)
 class Retrieval(Section):
     mode: str = _choice("hybrid", "dense", "lexical", "hybrid")
+    approximate: bool = False
     k: int = _within(5, 1, 50)
     fetch_k: int = _within(30, 1, 500)
     rrf_k: int = _within(60, 1)

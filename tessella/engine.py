@@ -18,6 +18,7 @@ from tessella.config import Pipeline
 from tessella.functions import text as T
 from tessella.operators import answers, chunking, rerank, retrieval, store
 from tessella.operators.embedding import Embedder, Hashing, embed, embedded
+from tessella.operators.vectors import VectorIndex
 from tessella.sources import documents as sources
 from tessella.streaming import ingest as versions
 
@@ -58,6 +59,7 @@ class Engine:
         if kind.rerank == "maxsim" and not hasattr(self.embedder, "table"):
             raise ValueError("reranking by maxsim needs an embedder with word vectors")
         self._index: tuple[str, retrieval.Index] | None = None
+        self._vectors: tuple[str, VectorIndex] | None = None
 
     # the collection
     def _at(self) -> str | None:
@@ -144,6 +146,18 @@ class Engine:
             self._index = (at, retrieval.Index(self.spark.read.parquet(f"{made}/postings"), bags.select("chunk_id", "dl"), retrieval.Index.of(bags, "chunk_id").stats, "chunk_id"))
         return self._index[1]
 
+    def vector_index(self) -> VectorIndex:
+        """The collection's index of vectors, made anew after a change."""
+        at = self._held()
+        if self._vectors is None or self._vectors[0] != at:
+            path = f"{at}/vector-index"
+            made = versions.current(self.spark, path)
+            if made is None:
+                index = VectorIndex.build(self.table("vectors"), f"{path}/v0", "chunk_id")
+                versions.name(self.spark, path, "v0")
+            self._vectors = (at, index if made is None else VectorIndex.open(self.spark, made))
+        return self._vectors[1]
+
     def _reranker(self, k: int):
         cfg = self.config.retrieval
         if cfg.rerank == "mmr":
@@ -163,7 +177,7 @@ class Engine:
             rows = [(r.query_id, r.question, self.expand(r.question)) for r in asked.toLocalIterator()]  # a model is asked for each
             asked = self.spark.createDataFrame(rows, f"query_id {asked.schema['query_id'].dataType.simpleString()}, question string, said string")
         asked = retrieval.variants(asked, cfg.query_expansion, most=cfg.num_query_variants).withColumn("q_vec", embedded(F.col("question"), self.embedder))
-        vectors = self.table("vectors").select("chunk_id", "embedding")
+        vectors = self.vector_index() if cfg.approximate and cfg.mode != "lexical" else self.table("vectors").select("chunk_id", "embedding")
         plain = questions.select("query_id", "question")
         reranker = self._reranker(k or cfg.k)
         if reranker is not None:

@@ -13,6 +13,7 @@ from tessella.functions import text as T
 from tessella.operators import answers, chunking, evaluation, rerank, retrieval, store
 from tessella.operators.embedding import Hashing, embed_missing, normalized
 from tessella.operators.storage import new_folder
+from tessella.operators.vectors import VectorIndex
 from tessella.sources import documents as files
 from tessella.sources import pages as html_pages
 from tessella.streaming import ingest as stream
@@ -694,9 +695,21 @@ def experiment_comparison(spark, d):
     return evaluation.compared(_records(spark, d), ["value"], "view", permutations=2000).select("experiment", F.round("diff", 6).alias("diff"))
 
 
+_vector_indexes: dict[tuple[str, str], VectorIndex] = {}
+
+
+def _vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The vectors' index, made once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _vector_indexes:
+        _vector_indexes[key] = VectorIndex.build(_t(spark, d, "embeddings"), new_folder(spark, "vectors"))
+    return _vector_indexes[key]
+
+
 @query()
 def dense_approximate(spark, d):
-    return retrieval.dense_approximate(_t(spark, d, "embeddings"), _q_vec(spark, d))
+    """The ten best found by the stored index of coarse cells and residual codes."""
+    return _vector_index(spark, d).search(_q_vec(spark, d)).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL '1 day', ts))::BIGINT AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
