@@ -1,26 +1,29 @@
 """The engine as one object: documents in, answers out, over a collection of Parquet tables in a folder that all executors share.
 
-A collection is ``<root>/<name>``: versions with the tables documents, chunks and vectors, and a file that names the version
-that holds. A version is written whole before it is named, so a lost run leaves the one before.
+A collection is ``<root>/<name>``: the tables documents, chunks and vectors, changed by commits that write what changes; beside them a BM25 index in
+segments, brought up to date from the commits since it was last asked, and, if it is wanted, an index of the vectors.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.config import Pipeline
 from tessella.functions import text as T
 from tessella.operators import answers, chunking, rerank, retrieval, store
+from tessella.operators.commits import Change, Tables
 from tessella.operators.embedding import Embedder, Hashing, embed, embedded
+from tessella.operators.segments import Segments
+from tessella.operators.storage import temporary, written
 from tessella.operators.vectors import VectorIndex
 from tessella.sources import documents as sources
-from tessella.streaming import ingest as versions
 
 DOCUMENTS = sources.DOCUMENT + ", hash string"
 
@@ -58,57 +61,52 @@ class Engine:
             raise ValueError(f"reranking by {kind.rerank!r} needs a model")
         if kind.rerank == "maxsim" and not hasattr(self.embedder, "table"):
             raise ValueError("reranking by maxsim needs an embedder with word vectors")
-        self._index: tuple[str, retrieval.Index] | None = None
-        self._vectors: tuple[str, VectorIndex] | None = None
+        self._vectors: tuple[int, VectorIndex] | None = None
+        self.tables = Tables(spark, self.folder, {"documents": DOCUMENTS, "chunks": chunking.CHUNK, "vectors": "chunk_id string, doc_id string, embedding array<float>"})
 
     # the collection
-    def _at(self) -> str | None:
-        return versions.current(self.spark, self.folder)
-
-    def _held(self) -> str:
-        at = self._at()
-        if at is None:
+    def _held(self) -> int:
+        """The last commit's number."""
+        head = self.tables.log.head()
+        if head < 0:
             raise KeyError(f"no collection {self.collection!r}")
-        return at
+        return head
 
     def table(self, name: str) -> DataFrame:
         """documents, chunks or vectors; KeyError without a collection."""
-        return self.spark.read.parquet(f"{self._held()}/{name}")
+        self._held()
+        return self.tables.read(name)
 
     def _check(self) -> None:
-        made = self.spark.read.parquet(f"{self._held()}/about").first()
-        if (made.embedder, made.dim) != (self.embedder.name, self.embedder.dim):
-            raise Mismatch(f"collection {self.collection!r} has vectors of {made.embedder} ({made.dim}), not of {self.embedder.name} ({self.embedder.dim})")
-
-    def _write(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> None:
-        at = self._at()
-        version = f"v{int(at.rsplit('/v', 1)[1]) + 1 if at else 0}"
-        for name, df in (("documents", documents), ("chunks", chunks), ("vectors", vectors)):
-            df.write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
-        self.spark.createDataFrame([(self.embedder.name, self.embedder.dim)], "embedder string, dim int").write.mode("overwrite").parquet(f"{self.folder}/{version}/about")
-        versions.name(self.spark, self.folder, version)
-        self._index = None
+        self._held()
+        made = self.tables.note()
+        if (made["embedder"], made["dim"]) != (self.embedder.name, self.embedder.dim):
+            raise Mismatch(f"collection {self.collection!r} has vectors of {made['embedder']} ({made['dim']}), not of {self.embedder.name} ({self.embedder.dim})")
 
     def ingest(self, documents: DataFrame, force: bool = False) -> dict[str, int]:
-        """DOCUMENT rows into the collection. Unchanged documents are skipped; of the others all chunks are replaced at once."""
-        hashed = documents.withColumn("hash", store.content_hash(F.col("title"), F.col("text"))).dropDuplicates(["doc_id"])
-        if self._at() is None:
-            old = {n: self.spark.createDataFrame([], s) for n, s in (("documents", DOCUMENTS), ("chunks", chunking.CHUNK), ("vectors", "chunk_id string, doc_id string, embedding array<float>"))}
-        else:
-            self._check()
-            old = {n: self.table(n) for n in ("documents", "chunks", "vectors")}
-        actions = store.classify(hashed.select("doc_id", "hash"), old["documents"].select("doc_id", "hash"), force).cache()
-        report = {"added": 0, "updated": 0, "skipped": 0, **{r.action: r["count"] for r in actions.groupBy("action").count().collect()}}
-        if report["added"] + report["updated"]:
-            new = hashed.join(actions.where("action != 'skipped'").select("doc_id"), "doc_id", "left_semi")
-            chunks = chunking.chunked(new, self.config.chunking, self.embedder)
-            ids = new.select("doc_id")
-            said = chunking.embed_text(F.col("header"), F.col("text"))
-            vectors = chunks.select("chunk_id", "doc_id", embedded(said, self.embedder).alias("embedding"))
-            merged = [store.delete(old[n], ids).unionByName(df) for n, df in (("documents", new.select(*[c.split()[0] for c in DOCUMENTS.split(", ")])), ("chunks", chunks), ("vectors", vectors))]
-            self._write(*merged)
-            report["chunks"] = self.table("chunks").join(ids, "doc_id", "left_semi").count()
-        actions.unpersist()
+        """DOCUMENT rows into the collection. Unchanged documents are skipped; of the others all chunks are replaced at once. Of rows alike in doc_id the one of the largest hash of its content counts."""
+        hashed = documents.withColumn("hash", store.content_hash(F.col("title"), F.col("text")))
+        once = Window.partitionBy("doc_id").orderBy(F.desc("hash"))
+        hashed = hashed.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+        report = {"added": 0, "updated": 0, "skipped": 0}
+
+        def change(t: Tables, head: int) -> Change | None:
+            if head >= 0:
+                self._check()
+            actions = written(store.classify(hashed.select("doc_id", "hash"), t.read("documents").select("doc_id", "hash"), force), temporary(self.spark, "actions"))
+            report.update({"added": 0, "updated": 0, "skipped": 0, **{r.action: r["count"] for r in actions.groupBy("action").count().collect()}})
+            if not report["added"] + report["updated"]:
+                return None
+            ids = actions.where("action != 'skipped'").select("doc_id")
+            new = hashed.join(ids, "doc_id", "left_semi")
+            # texts are cut once, and their vectors made from what was written
+            chunks = written(chunking.chunked(new, self.config.chunking, self.embedder), temporary(self.spark, "chunks"))
+            vectors = chunks.select("chunk_id", "doc_id", embedded(chunking.embed_text(F.col("header"), F.col("text")), self.embedder).alias("embedding"))
+            report["chunks"] = chunks.count()
+            return Change({"documents": new, "chunks": chunks, "vectors": vectors}, actions.where("action = 'updated'").select("doc_id") if head >= 0 else None, {"embedder": self.embedder.name, "dim": self.embedder.dim})
+
+        self.tables.commit(change)
+        self.tables.compacted(64)
         return report
 
     def ingest_path(self, path: str, force: bool = False) -> dict[str, int]:
@@ -124,38 +122,45 @@ class Engine:
         if self.table("documents").where(F.col("doc_id") == doc_id).isEmpty():
             return False
         gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
-        self._write(*[store.delete(self.table(n), gone) for n in ("documents", "chunks", "vectors")])
+        self.tables.commit(lambda t, head: Change({}, gone, t.note()))
         return True
 
+    def drop(self) -> bool:
+        """Deletes the collection with its indexes; whether there was one."""
+        there = self.tables.drop()
+        self._vectors = None
+        return there
+
     def counts(self) -> dict[str, int]:
         return {n: self.table(n).count() for n in ("documents", "chunks")}
 
     # questions
-    def index(self) -> retrieval.Index:
-        """The collection's BM25 index, written anew after a change."""
-        at = self._held()
-        if self._index is None or self._index[0] != at:
-            texts = self.table("chunks").select("chunk_id", chunking.embed_text(F.col("header"), F.col("text")).alias("said"))
-            path = f"{at}/index"
-            made = versions.current(self.spark, path)
-            if made is None:
-                retrieval.Index.build(texts, f"{path}/v0", "chunk_id", "said")
-                versions.name(self.spark, path, "v0")
-                made = f"{path}/v0"
-            bags = self.spark.read.parquet(f"{made}/bags")
-            self._index = (at, retrieval.Index(self.spark.read.parquet(f"{made}/postings"), bags.select("chunk_id", "dl"), retrieval.Index.of(bags, "chunk_id").stats, "chunk_id"))
-        return self._index[1]
+    def index(self) -> Segments:
+        """The collection's BM25 index, with all commits since it was last asked: their chunks are one more segment."""
+        index = Segments(self.spark, f"{self.folder}/index", "chunk_id", "string")
+        for _ in range(5):
+            head, done = self._held(), index.tables.note().get("head", -1)
+            if done >= head:
+                break
+            # after a compaction the commits between are no longer apart
+            apart = done >= 0 and not any(e.get("whole") for n, e in self.tables.log.entries().items() if n > done)
+            chunks = self.tables.read("chunks", since=done if apart else -1, at=head)
+            gone = None
+            if apart:
+                changed = self.tables.gone(done, head)
+                if changed is not None:
+                    gone = self.tables.read("chunks", at=done).join(changed.select(F.col("_gone").alias("doc_id")).distinct(), "doc_id", "left_semi").select("chunk_id")
+            elif done >= 0:
+                gone = index.tables.read("bags").select("chunk_id")
+            index.apply(chunks.select("chunk_id", chunking.embed_text(F.col("header"), F.col("text")).alias("said")), gone, "said", {"head": head}, ("head", done))
+            index.merged()
+        return index
 
     def vector_index(self) -> VectorIndex:
         """The collection's index of vectors, made anew after a change."""
         at = self._held()
         if self._vectors is None or self._vectors[0] != at:
-            path = f"{at}/vector-index"
-            made = versions.current(self.spark, path)
-            if made is None:
-                index = VectorIndex.build(self.table("vectors"), f"{path}/v0", "chunk_id")
-                versions.name(self.spark, path, "v0")
-            self._vectors = (at, index if made is None else VectorIndex.open(self.spark, made))
+            self._vectors = (at, VectorIndex.build(self.table("vectors"), f"{self.folder}/vector-index/{at}-{uuid.uuid4().hex}", "chunk_id"))
         return self._vectors[1]
 
     def _reranker(self, k: int):

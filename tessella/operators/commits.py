@@ -100,11 +100,16 @@ class Tables:
         since = max((n for n, e in entries.items() if e.get("whole")), default=0)
         return {n: e for n, e in entries.items() if n >= since}
 
+    def note(self) -> dict:
+        """That of the last commit."""
+        entries = self.log.entries()
+        return dict(entries[max(entries)].get("note", {})) if entries else {}
+
     def read(self, name: str, since: int = -1, at: int | None = None) -> DataFrame:
         """Rows that count. since: only rows of later commits; at: as of a commit, if no compaction has come after it."""
         entries = {n: e for n, e in self.live().items() if at is None or n <= at}
         columns = self.schemas[name].names
-        parts = [self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{e['rows'][name]}").withColumn(SEQ, F.lit(e.get("at", {}).get(name, n))) for n, e in entries.items() if name in e["rows"] and n > since]
+        parts = [self.spark.read.schema(self.schemas[name]).parquet(f"{self.folder}/{e['rows'][name]}").select(columns).withColumn(SEQ, F.lit(n)) for n, e in entries.items() if name in e["rows"] and n > since]
         if not parts:
             return self.spark.createDataFrame([], self.schemas[name])
         rows = parts[0]
@@ -169,7 +174,7 @@ class Tables:
 
         def put(t: Tables, head: int) -> None:
             mark = f"{head + 1:012d}-{uuid.uuid4().hex[:12]}"
-            t.log.put(head + 1, {"whole": True, "rows": {name: t._put_rows(name, t.read(name, at=head), mark) for name in t.schemas}, "note": {}})
+            t.log.put(head + 1, {"whole": True, "rows": {name: t._put_rows(name, t.read(name, at=head), mark) for name in t.schemas}, "note": t.note()})
 
         for _ in range(5):
             try:
@@ -179,6 +184,13 @@ class Tables:
                 continue
         return False
 
+    def drop(self) -> bool:
+        """Deletes everything; whether there was anything."""
+        there = self.log.head() >= 0
+        self.log._fs.delete(self.log._path(self.folder), True)
+        self.log._known.clear()
+        return there
+
     def vacuum(self, keep: Sequence[int] = ()) -> int:
         """Deletes data folders that no entry needs any more; those of ``keep`` stay. Not while readers of old states or writers are at work. -> how many."""
         fs, path = self.log._fs, self.log._path

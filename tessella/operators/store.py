@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def content_hash(title: Column, text: Column) -> Column:
-    return F.sha2(F.concat(title, F.lit("\0"), text), 256)
+    """Null titles and texts are empty ones."""
+    return F.sha2(F.concat(F.coalesce(title, F.lit("")), F.lit("\0"), F.coalesce(text, F.lit(""))), 256)
 
 
 def classify(new: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:

@@ -11,7 +11,9 @@ from tessella import config, experiments
 from tessella.functions import spans
 from tessella.functions import text as T
 from tessella.operators import answers, chunking, evaluation, rerank, retrieval, store
+from tessella.operators.commits import Tables
 from tessella.operators.embedding import Hashing, embed_missing, normalized
+from tessella.operators.segments import Segments
 from tessella.operators.storage import new_folder
 from tessella.operators.vectors import VectorIndex
 from tessella.sources import documents as files
@@ -97,6 +99,31 @@ def bm25_batch_queries(spark, d):
     return _index(spark, d).search(_questions(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(BM25 + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_segments(spark, d):
+    """The same ranks from an index in segments: some documents come first with another's text and are replaced, some are deleted and come again."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    index = Segments(spark, new_folder(spark, "segments"))
+    index.upsert(docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text")))
+    index.apply(docs.where("doc_id % 9 = 0"), docs.where("doc_id % 11 = 0").select("doc_id"))
+    index.upsert(docs.where("doc_id % 11 = 0"))
+    return index.search(_questions(spark, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, md5(text) AS hash, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0")
+def table_commits(spark, d):
+    """Documents in a table changed by commits: first ones, deletions, then newer versions (some of deleted documents), and a compaction."""
+    docs = _t(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))
+    held = Tables(spark, new_folder(spark, "tables"), {"rows": "doc_id bigint, hash string, version bigint"})
+    version = lambda v: F.lit(v).cast("long").alias("version")
+    held.upsert({"rows": docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("hash")).alias("hash"), version(1))}, docs.select("doc_id"))
+    held.delete(docs.where("doc_id % 7 = 0").select("doc_id"))
+    newer = docs.where("doc_id % 5 = 0")
+    held.upsert({"rows": newer.select("doc_id", "hash", version(2))}, newer.select("doc_id"))
+    held.compacted(2)
+    return held.read("rows")
+
+
 @query(f"SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{_TOKEN}')))::BIGINT AS n_tokens FROM documents GROUP BY lang")
 def token_stats(spark, d):
     return _t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(T.count_tokens(F.col("text"))).cast("long").alias("n_tokens"))

@@ -1,64 +1,50 @@
-"""Incremental ingestion as a stream: each batch's documents replace those stored, unchanged ones are skipped.
+"""Incremental ingestion as a stream: each batch's documents replace those stored, unchanged and outdated ones are skipped.
 
-A collection is a folder of versions, each a whole table; ``current`` names the one that holds. A version is written before it
-is named, so a lost run leaves the one before.
+The collection's tables are the state: a document's row holds its last version's order, for as long as the document is held, so a version that comes late, again or
+out of order, in this run or after a restart, is told from a new one. A batch is one commit, which writes what changes and names the batch, so a batch that a restart gives
+again is not taken twice; other writers' commits between are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import store
+from tessella.operators.commits import Change, Tables
 
 
-def _name_path(spark: SparkSession, folder: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+def tables(spark, folder: str, schema: str, key: str = "doc_id") -> Tables:
+    return Tables(spark, folder, {"rows": schema}, key)
 
 
-def current(spark: SparkSession, folder: str) -> str | None:
-    """The folder of the version that holds."""
-    path, fs = _name_path(spark, folder)
-    if not fs.exists(path):
-        return None
-    stream = fs.open(path)
-    try:
-        return f"{folder}/{stream.readUTF()}"
-    finally:
-        stream.close()
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def name(spark: SparkSession, folder: str, version: str) -> None:
-    path, fs = _name_path(spark, folder)
-    stream = fs.create(path, True)
-    try:
-        stream.writeUTF(version)
-    finally:
-        stream.close()
+def upsert_batch(batch: DataFrame, held: Tables, number: int, key: str = "doc_id", hash_column: str = "hash", order: str | None = None) -> int:
+    """A batch's last versions into the collection; -> the commit that holds.
 
+    Of a document's several rows the one of the largest order counts, among equals (or without an order) that of the largest hash. A row whose hash is stored is
+    skipped, and so is one of a lower order than the stored row's. Null orders are the lowest. Rows of null keys are left out."""
+    by = ([F.desc_nulls_last(order)] if order else []) + [F.desc_nulls_last(hash_column)]
+    new = batch.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_n = 1").drop("_n")
 
-def upsert_batch(batch: DataFrame, folder: str, version: str, key: str = "doc_id", hash_column: str = "hash") -> None:
-    """Rows of a batch into the collection: of a document's several rows the one of the largest hash; those whose hash is stored are skipped."""
-    spark = batch.sparkSession
-    last = Window.partitionBy(key).orderBy(F.desc(hash_column))
-    new = batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
-    held = current(spark, folder)
-    if held is None:
-        out = new
-    else:
-        old = spark.read.parquet(held)
-        changed = new.join(old.select(key, hash_column), [key, hash_column], "left_anti")
-        out = store.upsert(old, changed.select(*old.columns), key)
-    out.write.mode("overwrite").parquet(f"{folder}/{version}")
-    name(spark, folder, version)
+    def change(t: Tables, head: int) -> Change | None:
+        if t.note().get("batch", -1) >= number:
+            return None
+        stored = t.read("rows").select(F.col(key).alias("_key"), F.col(hash_column).alias("_hash"), (F.col(order) if order else F.lit(None)).alias("_order"))
+        later = F.col("_order").isNull() | (F.col(order) >= F.col("_order")) if order else F.lit(True)
+        met = new.join(stored, F.col(key) == F.col("_key"), "left").where(F.col("_key").isNull() | (~F.col(hash_column).eqNullSafe(F.col("_hash")) & later))
+        return Change({"rows": met.select(new.columns)}, met.where("_key IS NOT NULL").select(key) if head >= 0 else None, {"batch": number})
 
+    return held.commit(change)
 
-def into(stream: DataFrame, folder: str, key: str = "doc_id", hash_column: str = "hash") -> DataFrame:
+
+def into(stream: DataFrame, folder: str, key: str = "doc_id", hash_column: str = "hash", order: str | None = None) -> DataFrame:
     """Takes all that the stream has now into the collection in ``folder`` and returns it; a later call goes on from there."""
-    spark = stream.sparkSession
-    run = stream.writeStream.foreachBatch(lambda batch, n: upsert_batch(batch, folder, f"v{n}", key, hash_column)).option("checkpointLocation", f"{folder}/_progress").trigger(availableNow=True).start()
+    held = tables(stream.sparkSession, f"{folder}/tables", ddl(stream), key)
+    put = lambda batch, n: upsert_batch(batch, tables(batch.sparkSession, held.folder, ddl(stream), key), n, key, hash_column, order)
+    run = stream.writeStream.foreachBatch(lambda batch, n: put(batch, n) and None).option("checkpointLocation", f"{folder}/_progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    held = current(spark, folder)
-    return spark.read.parquet(held) if held else spark.createDataFrame([], stream.schema)
+    held.compacted(64)
+    return held.read("rows")

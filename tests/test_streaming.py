@@ -17,6 +17,28 @@ def test_ingestion_goes_on_and_skips(spark, tmp_path):
     assert take() == {1: "one", 2: "two anew", 3: "three"}
 
 
+def test_late_repeated_and_unordered_versions(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "collection")
+    schema = "doc_id long, hash string, text string, at timestamp"
+    day = lambda d: datetime.datetime(2026, 1, d)
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    take = lambda: {r.doc_id: (r.text, r.at and r.at.day) for r in ingest.into(spark.readStream.schema(schema).parquet(source), folder, order="at").collect()}
+    put([(1, "z", "first", day(5)), (1, "a", "last", day(6)), (2, "b", "two", None), (None, "x", "lost", day(1)), (3, None, "no hash", day(2))])
+    assert take() == {1: ("last", 6), 2: ("two", None), 3: ("no hash", 2)}
+    put([(1, "y", "late", day(3)), (2, "c", "two dated", day(1))])
+    put([(1, "a", "last", day(6)), (3, None, "no hash", day(2))])
+    assert take() == {1: ("last", 6), 2: ("two dated", 1), 3: ("no hash", 2)}
+    # a restart gives the last batch again, and another writer has been at work
+    held = ingest.tables(spark, f"{folder}/tables", schema)
+    other = spark.createDataFrame([(4, "d", "another's", day(9))], schema)
+    held.commit(lambda t, head: ingest.Change({"rows": other}, other.select("doc_id"), t.note()))
+    number, head = held.note()["batch"], held.log.head()
+    assert ingest.upsert_batch(spark.createDataFrame([(1, "w", "again", day(9))], schema), held, number, order="at") == head
+    put([(4, "e", "newer", day(10)), (1, "v", "newest", day(7))])
+    assert take() == {1: ("newest", 7), 2: ("two dated", 1), 3: ("no hash", 2), 4: ("newer", 10)}
+    assert held.log.head() == head + 1
+
+
 def test_windows_of_a_log(spark, tmp_path):
     at = lambda m: datetime.datetime(2026, 1, 1, 0, m)
     rows = [(at(1), "a", 1.0), (at(9), "a", 3.0), (at(12), "a", 5.0), (at(3), "b", None), (None, "b", 9.0)]
