@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators.ordered import overlapping, quantiles
+from tessella.operators.prefix import numbered, running
 
 KS = (1, 3, 5, 10)
 # Stand between accepted answers, and between the parts of one, while all are normalised at once.
@@ -80,10 +83,9 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
 
 def covered(evidence: DataFrame, chunks: DataFrame, least: float = 0.5) -> DataFrame:
     """evidence (query_id, ev, doc_id, start, stop) and chunks (query_id, rank, doc_id, start, stop): query_id, ev, rank of each chunk that holds ``least`` of the span or more; spans without a place are never covered."""
-    e = evidence.select("query_id", "ev", "doc_id", F.col("start").alias("e_start"), F.col("stop").alias("e_stop")).where("e_start >= 0")
-    c = chunks.select("query_id", "rank", "doc_id", F.col("start").alias("c_start"), F.col("stop").alias("c_stop"))
-    shared = F.least("c_stop", "e_stop") - F.greatest("c_start", "e_start")
-    return e.join(c, ["query_id", "doc_id"]).where(shared >= least * F.greatest(F.lit(1), F.col("e_stop") - F.col("e_start"))).select("query_id", "ev", "rank")
+    met = overlapping(evidence.select("query_id", "ev", "doc_id", "start", "stop").where("start >= 0"), chunks.select("query_id", "rank", "doc_id", "start", "stop"), ["query_id", "doc_id"])
+    shared = F.least("l.stop", "r.stop") - F.greatest("l.start", "r.start")
+    return met.where(shared >= least * F.greatest(F.lit(1), F.col("l.stop") - F.col("l.start"))).select("l.query_id", "l.ev", "r.rank")
 
 
 def retrieval_metrics(evidence: DataFrame, hits: DataFrame, k: int | Sequence[int] = 5) -> DataFrame:
@@ -118,10 +120,12 @@ def citation_metrics(evidence: DataFrame, cited: DataFrame, answered: DataFrame,
 
 
 def holm(tests: DataFrame, group: str, p: str = "p", order: str = "test") -> DataFrame:
-    """Step-down adjusted p within each group."""
-    ranked = tests.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(p, order))).withColumn("m", F.count("*").over(Window.partitionBy(group)))
-    raw = F.least(F.lit(1.0), (F.col("m") - F.col("i") + 1) * F.col(p))
-    return ranked.withColumn("adjusted", F.max(raw).over(Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).drop("i", "m")
+    """Step-down adjusted p within each group: ranks and running maxima over ranges, so a group of any number of tests is many tasks' work."""
+    placed = numbered(tests, [group], [p, order], "_i")
+    sizes = tests.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_m"))
+    raw = F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col(p))
+    joined = placed.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_raw", raw)
+    return running(joined, [group], ["_i"], maxima={"adjusted": F.col("_raw")}).select(*tests.columns, "adjusted")
 
 
 _UP = np.uint64(0x9E3779B97F4A7C15)
@@ -176,10 +180,44 @@ def bootstrap_ci(values: DataFrame, group: str, value: str, order: str, resample
     return both.select(F.col("h").alias(group), "mean", limit(0).alias("low"), limit(1).alias("high"))
 
 
+def resampled_ci(values: DataFrame, group: str, value: str, order: str, resamples: int = 2000, alpha: float = 0.05, seed: int = 13, rows: int = 20_000) -> DataFrame:
+    """group, mean, low, high: percentile bootstrap of the mean, with exactly n draws of a group's n values in each resample. Nulls take no part.
+
+    A group's rows are dealt by a hash of ``order`` to parts of about ``rows``; a resample's n draws are first shared between the parts by a multinomial draw over their
+    sizes, then each part draws as many of its own rows. The draws hang on the seed, the group, the part and its rows alone, not on partitions."""
+    kind = values.schema[group].dataType.simpleString()
+    said = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.xxhash64(order).alias("k"), F.col(value).cast("double").alias("v"))
+    sizes = said.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (F.min("v") == F.max("v")).alias("same"))
+    parts = sizes.select(F.col("g").alias("h"), F.ceil(F.col("n") / rows).cast("int").alias("parts"))
+    dealt = said.join(parts, F.col("g").eqNullSafe(F.col("h"))).select("g", "k", "v", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"))
+    held = dealt.groupBy("g", "part").agg(F.count("*").alias("m"))
+
+    def shared(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("part")
+        m = b["m"].to_numpy(np.int64)
+        draws = np.random.default_rng([seed, zlib.crc32(repr(b["g"].iloc[0]).encode())]).multinomial(m.sum(), m / m.sum(), resamples)
+        return pd.DataFrame({"g": b["g"].to_numpy(), "part": b["part"].to_numpy(), "draws": list(draws.T)})
+
+    def drawn_sums(b: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["k", "v"])
+        v, counts = b["v"].to_numpy(float), np.asarray(draws["draws"].iloc[0])
+        rng = np.random.default_rng([seed, zlib.crc32(repr(b["g"].iloc[0]).encode()), int(b["part"].iloc[0]) + 1])
+        sums = np.array([v[rng.integers(0, len(v), c)].sum() if c else 0.0 for c in counts])
+        return pd.DataFrame({"g": [b["g"].iloc[0]], "s": [sums], "w": [counts.astype(np.int64)]})
+
+    plans = held.groupBy("g").applyInPandas(shared, f"g {kind}, part int, draws array<bigint>")
+    sums = dealt.groupBy("g", "part").cogroup(plans.groupBy("g", "part")).applyInPandas(drawn_sums, f"g {kind}, s array<double>, w array<bigint>")
+    turns = sums.select("g", F.posexplode(F.arrays_zip("s", "w")).alias("turn", "x")).groupBy("g", "turn").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"))
+    limits = turns.groupBy(F.col("g").alias("h")).agg(F.percentile(F.col("s") / F.col("w"), F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    both = sizes.join(limits, F.col("g").eqNullSafe(F.col("h")), "left")
+    limit = lambda i: F.when(F.col("same"), F.col("mean")).otherwise(F.col("q")[i])
+    return both.select(F.col("g").alias(group), "mean", limit(0).alias("low"), limit(1).alias("high"))
+
+
 def paired_bootstrap(pairs: DataFrame, group: str, a: str, b: str, order: str, **parameters) -> DataFrame:
     """group, diff, low, high of the mean of a - b over pairs that have both."""
     diffs = pairs.select(group, order, (F.col(a) - F.col(b)).alias("diff"))
-    return bootstrap_ci(diffs, group, "diff", order, **parameters).withColumnRenamed("mean", "diff")
+    return resampled_ci(diffs, group, "diff", order, **parameters).withColumnRenamed("mean", "diff")
 
 
 def permutation_p(pairs: DataFrame, group: str, diff: str, order: str, permutations: int = 10_000, seed: int = 13) -> DataFrame:
@@ -198,7 +236,7 @@ def compared(records: DataFrame, metrics: Sequence[str], baseline: str = "baseli
     base = mine.where(F.col("experiment") == baseline).select("item_id", "metric", F.col("value").alias("b"))
     name = F.concat_ws("\u0001", "experiment", "metric")
     pairs = mine.where(F.col("experiment") != baseline).join(base, ["item_id", "metric"]).select(name.alias("g"), "item_id", (F.col("value") - F.col("b")).alias("diff"))
-    both = bootstrap_ci(pairs, "g", "diff", "item_id", resamples, seed=seed).withColumnRenamed("mean", "diff").join(permutation_p(pairs, "g", "diff", "item_id", permutations, seed), "g")
+    both = resampled_ci(pairs, "g", "diff", "item_id", resamples, seed=seed).withColumnRenamed("mean", "diff").join(permutation_p(pairs, "g", "diff", "item_id", permutations, seed), "g")
     parts = F.split("g", "\u0001")
     named = both.select(parts[0].alias("experiment"), parts[1].alias("metric"), "diff", "low", "high", "p")
     return holm(named, "metric", order="experiment").withColumnRenamed("adjusted", "p_holm")
@@ -210,13 +248,13 @@ def summarised(records: DataFrame, resamples: int = 2000, seed: int = 13) -> Dat
     keyed = records.where("value IS NOT NULL").select(name.alias("g"), "item_id", "value")
     n = keyed.groupBy(F.col("g").alias("h")).agg(F.count("*").alias("n"))
     parts = F.split("g", "\u0001")
-    return bootstrap_ci(keyed, "g", "value", "item_id", resamples, seed=seed).join(n, F.col("g") == F.col("h")).select(parts[0].alias("experiment"), parts[1].alias("metric"), "n", "mean", "low", "high")
+    return resampled_ci(keyed, "g", "value", "item_id", resamples, seed=seed).join(n, F.col("g") == F.col("h")).select(parts[0].alias("experiment"), parts[1].alias("metric"), "n", "mean", "low", "high")
 
 
 def latencies(log: DataFrame, group: str, value: str) -> DataFrame:
     """group, p50, p95 (between ranks by proportion), n."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return log.groupBy(group).agg(q.alias("q"), F.count(value).alias("n")).select(group, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "n")
+    found = quantiles(log, group, value, (0.5, 0.95))
+    return found.select(group, F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "n")
 
 
 def gate(summary: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:

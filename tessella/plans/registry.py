@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import config, experiments
 from tessella.functions import spans
 from tessella.functions import text as T
-from tessella.operators import answers, chunking, evaluation, rerank, retrieval, store
+from tessella.operators import answers, chunking, evaluation, ordered, prefix, rerank, retrieval, store
 from tessella.operators.commits import Tables
 from tessella.operators.embedding import Hashing, embed_missing, normalized
 from tessella.operators.segments import Segments
@@ -367,6 +367,33 @@ def rolling_stats(spark, d):
     return evaluation.rolling_percentile(_t(spark, d, "events"), "value", ["ts", "event_id"], 1000, 0.95).select(F.round("value", 6).alias("value"))
 
 
+@query("""SELECT event_id, round(v[1 + round_even(0.95 * (len(v) - 1), 0)::BIGINT], 6) AS p95 FROM (SELECT event_id, list_sort(list(value) OVER (ORDER BY ts, event_id ROWS 999 PRECEDING)) AS v FROM events)""")
+def rolling_each(spark, d):
+    """For each event the 95th percentile of the last thousand values."""
+    return ordered.sliding_percentile(_t(spark, d, "events"), "event_id", "value", ["ts", "event_id"], 1000, 0.95, "p95").select("event_id", F.round("p95", 6).alias("p95"))
+
+
+_LINES = "(SELECT doc_id, i AS line, sum(length(said) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(said) - 1 AS line_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents))"
+
+
+def _lines(spark, d):
+    """Lines of documents with the places where they start."""
+    said = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said")).select("doc_id", "line", (F.length("said") + 1).cast("long").alias("size"))
+    return prefix.running(said, ["doc_id"], ["line"], {"stop": F.col("size")}).select("doc_id", "line", (F.col("stop") - F.col("size")).alias("line_start"))
+
+
+@query(f"SELECT doc_id, line::BIGINT AS line, line_start::BIGINT AS line_start FROM {_LINES}")
+def line_starts(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("line").cast("long").alias("line"), "line_start")
+
+
+@query("SELECT w.doc_id, w.rank, l.line::BIGINT AS line, l.line_start::BIGINT AS line_start FROM " + "{w} w ASOF JOIN {l} l ON w.doc_id = l.doc_id AND w.start >= l.line_start".replace("{l}", _LINES).replace("{w}", "(SELECT doc_id, i AS rank, i * 600 AS start FROM documents, range(0, 1000) r(i) WHERE i * 600 < greatest(length(text), 1))"))
+def section_of_chunk(spark, d):
+    """The line that each window of a document starts in."""
+    windows = _windows(spark, d).select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("start").cast("long").alias("start"))
+    return ordered.as_of(windows, _lines(spark, d), ["doc_id"], "start", "line_start", ["line", "line_start"]).select("doc_id", "rank", F.col("line").cast("long").alias("line"), "line_start")
+
+
 @query("WITH u AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN value END) AS a, avg(CASE WHEN event_type = 'view' THEN value END) AS b FROM events GROUP BY 1) SELECT user_id, round(a - b, 6) AS diff FROM u WHERE a IS NOT NULL AND b IS NOT NULL")
 def paired_diff(spark, d):
     return _paired(spark, d).select("user_id", F.round("diff", 6).alias("diff"))
