@@ -347,6 +347,30 @@ def found_in(passages: DataFrame, docs: DataFrame, key: str = "item_id", text: s
     return both.select(key, F.col("d").alias(doc_id), (at - 1).cast("long").alias("start"), F.length("b").cast("long").alias("length"))
 
 
+def found_loosely(passages: DataFrame, docs: DataFrame, key: str = "item_id", text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", words: int = 3) -> DataFrame:
+    """key, doc_id, start, length of each passage's first place in each document, any run of white space being as good as another.
+
+    Both are searched with white space folded (``found_in``); a place there is a word's number and a place in the word, which stands in the text itself
+    where the white space before that word ends. Passages without a word are found nowhere. doc_ids are to be different."""
+    folded = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    flat = passages.select(key, folded(F.col(text)).alias("b"))
+    said = docs.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
+    found = found_in(flat, said.select("d", folded(F.col("t")).alias("f")), key, "b", "d", "f", words).join(said, "d").withColumn("f", folded(F.col("t")))
+    lead = F.col("t").rlike(r"(?U)\A\s").cast("int")
+
+    def place(at: Column) -> Column:
+        """In the text, of the character at a place (from 0) of the folded one."""
+        before = F.substr(F.col("f"), F.lit(1), at.cast("int"))
+        number = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        # what is left of the text from that word on
+        rest = F.element_at(F.split(F.col("t"), r"(?U)\s+", (number + lead + 1).cast("int")), -1)
+        return F.length("t") - F.length(rest) + F.length(F.substring_index(before, " ", -1))
+
+    start = place(F.col("start"))
+    stop = place(F.col("start") + F.col("length") - 1) + 1
+    return found.select(key, F.col("d").alias(doc_id), start.cast("long").alias("start"), (stop - start).cast("long").alias("length"))
+
+
 def rolling_percentile(log: DataFrame, value: str, order: list[str], last: int, p: float) -> DataFrame:
     """One row: nearest-rank percentile (half-even index) of the last rows in order."""
     recent = log.orderBy(*[F.desc(c) for c in order]).limit(last)
