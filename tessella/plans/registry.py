@@ -13,6 +13,7 @@ from tessella.functions import text as T
 from tessella.operators import answers, chunking, evaluation, ordered, prefix, rerank, retrieval, store
 from tessella.operators.commits import Tables
 from tessella.operators.embedding import Hashing, embed_missing, normalized
+from tessella.operators.embedding_cache import StoredCache
 from tessella.operators.segments import Segments
 from tessella.operators.storage import new_folder
 from tessella.operators.vectors import VectorIndex
@@ -442,6 +443,25 @@ def calibrate_threshold(spark, d):
     return evaluation.calibrated(scored).select("threshold", F.round("overall", 6).alias("overall"), F.round("balanced", 6).alias("balanced"), "best")
 
 
+@query(f"""WITH u AS (SELECT item_id AS query_id, len(regexp_extract_all(text, '{_TOKEN}'))::BIGINT AS a, len(regexp_extract_all(reverse(text), '{_TOKEN}'))::BIGINT AS b FROM benchmark)
+SELECT query_id, 2::BIGINT AS calls, (2 * a + CASE WHEN trim(reverse((SELECT text FROM benchmark c WHERE c.item_id = query_id))) = '' THEN 0 ELSE b END)::BIGINT AS tokens_in, round((2 * a + b) * 0.02 / 1e6, 10) AS cost FROM u""")
+def query_usage(spark, d):
+    """Tokens that embedding uses for each question: once as it is, once with a passage beside it."""
+    questions = _questions(spark, d)
+    plain = retrieval.usage(retrieval.variants(questions), {"small": (0.02, 0.0)}, "small")
+    beside = retrieval.usage(retrieval.variants(questions.withColumn("said", F.reverse("question")), "hyde"), {"small": (0.02, 0.0)}, "small")
+    return retrieval.summed_usage(plain, beside).select("query_id", "calls", "tokens_in", F.round("cost", 10).alias("cost"))
+
+
+@query("SELECT count(*) FILTER (WHERE known)::BIGINT AS hits, count(*) FILTER (WHERE NOT known)::BIGINT AS misses, count(DISTINCT CASE WHEN NOT known THEN text END) AS new FROM (SELECT text, text IN (SELECT text FROM documents WHERE lang = 'en') AS known FROM documents)")
+def stored_embeddings(spark, d):
+    """A stored cache that has embedded the English texts, asked for all."""
+    docs = _t(spark, d, "documents").select("lang", "text")
+    cache = StoredCache(spark, new_folder(spark, "embeddings"), Hashing(32))
+    cache.fill(docs.where("lang = 'en'"))
+    return cache.counts(docs)
+
+
 PRICES = {"en": (0.15, 0.6), "fr": (2.5, 10.0), "de": (0.02, 0.0)}
 
 

@@ -4,6 +4,8 @@ import numpy as np
 
 from tessella import config
 from tessella.operators import retrieval
+from tessella.operators.embedding import Hashing
+from tessella.operators.embedding_cache import StoredCache
 from tessella.operators.vectors import VectorIndex, units
 
 SF = "/root/testdata/sf0.1"
@@ -79,3 +81,29 @@ def test_the_retriever_takes_the_index(spark, tmp_path):
     got, want = (retrieval.retrieved(asked, chunks.drop("embedding"), cfg, vectors=v, key="chunk_id").collect() for v in (index, chunks.select("chunk_id", "embedding")))
     pairs = lambda found: {(r.query_id, r.chunk_id) for r in found}
     assert len(pairs(got) & pairs(want)) / len(want) >= 0.9
+
+
+def test_a_stored_cache_embeds_once(spark, tmp_path):
+    class Counting(Hashing):
+        def vectors(self, texts):
+            with open(f"{tmp_path}/asked", "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return super().vectors(texts)
+
+    frame = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    cache = StoredCache(spark, f"{tmp_path}/cache", Counting(16))
+    assert tuple(cache.counts(frame("one", "one", "two", None)).first()) == (0, 3, 2)
+    got = {r.id: r.embedding for r in cache.embed(frame("one", "one", "two", None)).collect()}
+    assert got[0] == got[1] != got[2] and got[3] is None
+    other = StoredCache(spark, f"{tmp_path}/cache", Counting(16))
+    assert tuple(other.counts(frame("one", "three", "three")).first()) == (1, 2, 1)
+    head = other.fill(frame("one", "three", "three"))
+    assert other.fill(frame("two", "three", None)) == head
+    assert sorted(open(f"{tmp_path}/asked").read().split()) == ["one", "three", "two"]
+
+
+def test_usage_adds_up(spark):
+    asked = spark.createDataFrame([(1, "a b c", True), (1, "d e", True), (2, "a b", False), (3, None, True)], "query_id long, question string, dense boolean")
+    one = retrieval.usage(asked, {"m": (2.0, 0.0)}, "m")
+    assert {r.query_id: tuple(r)[1:] for r in one.collect()} == {1: (1, 5, 0, 1e-5), 2: (0, 0, 0, 0.0), 3: (1, 0, 0, 0.0)}
+    assert {r.query_id: (r.calls, r.tokens_in) for r in retrieval.summed_usage(one, one).collect()} == {1: (2, 10), 2: (0, 0), 3: (2, 0)}
