@@ -89,7 +89,7 @@ class Change:
 class Tables:
     """Tables of one key in a folder, changed by commits. schemas: DDL of each; every table has the key column."""
 
-    def __init__(self, spark: SparkSession, folder: str, schemas: Mapping[str, str], key: str = "doc_id", buckets: int = 16) -> None:
+    def __init__(self, spark: SparkSession, folder: str, schemas: Mapping[str, str], key: str = "doc_id", buckets: int = 4) -> None:
         self.spark, self.folder, self.key, self.buckets = spark, folder.rstrip("/"), key, buckets
         self.schemas = {name: spark.createDataFrame([], s).schema for name, s in schemas.items()}
         self.log = Log(spark, folder)

@@ -23,7 +23,7 @@ from tessella.operators.retrieval import counted, idf, top
 from tessella.operators.storage import temporary, written
 
 #: Texts of a slot and slots of a block (powers of two), and folders that terms are dealt to.
-WIDTH, SLOTS, FOLDERS = 4, 16, 16
+WIDTH, SLOTS, FOLDERS = 4, 16, 8
 TERMS = "terms array<struct<term:string,tf:bigint>>"
 
 
