@@ -1,17 +1,17 @@
 """Operator 10: document fingerprints as threshold-scaled sketches.
 
-A sketch keeps every distinct hash of a text's shingles (``shingle`` words; a shorter text is one shingle) that lies below a
-fraction of the hash range: 1/8, or, for texts too short to fill such a sketch, 1/4, 1/2 or all of it, so that about
-``LEAST`` hashes or more are expected, or all there are. A sketch says its fraction, and can be cut down to a lower one; two
-sketches are compared, and merged by union, at the lower of theirs. The overlap over the smaller one estimates containment,
-however unequal the documents. A fingerprint is written as the hash of the whole text, the sketch's fraction, the number of its
-hashes and the hashes, so texts with no hash under the threshold are still told apart.
-
-Defined results: null text is empty; an empty or white-space text has no shingles; likeness is 1 for equal fingerprints,
-else the estimated containment of the smaller in the larger, 0 if either keeps none at the common fraction. In the order of
+A sketch keeps every distinct hash of a text's shingles (``shingle`` words; a shorter text is one shingle) that lies below one
+fraction of the hash range, 1 / ``SCALE``, whatever the text. Sketches are merged by union; a sketch of a higher fraction can be
+cut down to a lower one (``cut``). The overlap over the smaller one estimates containment, however unequal the documents. A
+fingerprint is written as the hash of the whole text, the fraction, the number of its hashes and the hashes, so texts with no
+hash under the threshold are still told apart.
+
+Defined results: null text is empty; an empty or white-space text has no shingles; likeness is 1 for equal texts, else the
+estimated containment of the smaller in the larger, 0 if either keeps none (as a text of few shingles may). In the order of
 documents, doc_id descends, a null doc_id comes last, and rows of equal doc_id are ordered by a hash of the text; the next of
-the last is the first; a lone document is its own next. Texts may be of any length. Extra columns are ignored. Built-in SQL
-functions only.
+the last is the first; a lone document is its own next. Rows equal in doc_id and text are worked on once and counted: the next
+of all of them but one is such a row again. Texts may be of any length, doc_ids of any value. Extra columns are ignored.
+Built-in SQL functions only.
 """
 
 from __future__ import annotations
@@ -19,94 +19,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, only, partitions, written
+from .common import GAP, let, only, partitions, written
 
-SHINGLE, LEAST = 5, 64
-#: A sketch of level k keeps hashes of the lowest 1 / 2^k of the signed 64-bit range; 3 is the highest level.
-UNDER = [(1 << 63) - 1, 0, -(1 << 62), -(3 << 61)]
-NO_ID = -(1 << 63)
+SHINGLE, SCALE = 5, 4
+#: Repeated rows are written out in blocks of this many, so that no array grows with their number.
+BLOCK = 1000
+KEY = ["none", "did", "hash"]
 
 
-def _below(hashes: Column, level: Column) -> Column:
-    under = F.element_at(F.array(*[F.lit(u).cast("long") for u in UNDER]), level + 1)
-    return F.element_at(F.transform(F.array(under), lambda u: F.filter(hashes, lambda h: (h < u) | (level == 0))), 1)
+def cut(hashes: Column, scale: int) -> Column:
+    """A sketch's hashes in the lowest 1 / scale of the signed 64-bit range."""
+    return hashes if scale == 1 else F.filter(hashes, lambda h: h < F.lit(-(1 << 63) + (1 << 64) // scale))
 
 
-def sketch(text: Column, shingle: int = SHINGLE) -> Column:
-    """struct<level, hashes>: sorted distinct shingle hashes of the level that the number of shingles asks for."""
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """array<long>: a text's distinct shingle hashes below the threshold, ascending."""
     words = F.filter(F.split(text, GAP, -1), lambda w: w != "")
 
     def made(w: Column) -> Column:
         n = F.greatest(F.size(w) - shingle + 1, F.lit(1))
-        level = F.when(n < 2 * LEAST, 0).when(n < 4 * LEAST, 1).when(n < 8 * LEAST, 2).otherwise(3)
         each = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(shingle)]))
-        kept = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(_below(each, level))))
-        return F.struct(level.alias("level"), kept.alias("hashes"))
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(cut(each, scale))))
 
-    # the words are bound once, as the argument of a one-element transform
-    return F.element_at(F.transform(F.array(words), made), 1)
+    return let(words, made)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of two sets of shingles together."""
-    level = F.greatest(a["level"], b["level"])
-    return F.struct(level.alias("level"), F.array_sort(F.array_union(_below(a["hashes"], level), _below(b["hashes"], level))).alias("hashes"))
+    """The sketch of two texts' shingles together."""
+    return F.array_sort(F.array_union(a, b))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller shingle set that lies in the larger; 0 if either sketch is empty at the common level."""
-    level = F.greatest(a["level"], b["level"])
+    """Estimated share of the smaller shingle set that lies in the larger; 0 if either sketch is empty."""
+    least = F.least(F.size(a), F.size(b))
+    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
-    def share(x: Column) -> Column:
-        least = F.least(F.size(x["a"]), F.size(x["b"]))
-        return F.when(least > 0, F.size(F.array_intersect(x["a"], x["b"])) / least).otherwise(F.lit(0.0))
 
-    both = F.struct(_below(a["hashes"], level).alias("a"), _below(b["hashes"], level).alias("b"))
-    return F.element_at(F.transform(F.array(both), share), 1)
-
-
-def written_as(text_hash: Column, kept: Column) -> Column:
-    hashes = kept["hashes"]
-    return F.concat_ws(":", F.lpad(F.hex(text_hash), 16, "0"), F.element_at(F.array(*[F.lit(f"1/{1 << k}") for k in range(len(UNDER))]), kept["level"] + 1), F.size(hashes).cast("string"), F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+def written_as(text_hash: Column, hashes: Column, scale: int = SCALE) -> Column:
+    return F.concat_ws(":", F.lpad(F.hex(text_hash), 16, "0"), F.lit(f"1/{scale}"), F.size(hashes).cast("string"), F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, gives). texts: did, k (a row's key), text, hash. gives: of each row, g_did, g_k, what the row before it in order (t_did, t_k) takes from it: its first ``need`` code points.
+    """(texts, gives). texts: the different (doc_id, text), as KEY and text. gives: g_ and KEY, of each the one before it in order (t_ and KEY), in how many ``copies`` that is there, and its first ``need`` code points that it takes.
 
     Keys are put in order on their own (ranges, then a lead within each range, then the ranges' edges); texts are
-    dealt out by doc_id once, for both of their uses.
+    dealt out by key once, for both of their uses. The hash in the key spreads rows of one doc_id, and of none.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = only(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), text.alias("text"))
-    hashed = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("did").orderBy("hash")))
-    keys = hashed(rows.select("did", F.xxhash64("text").alias("hash"), F.length("text").alias("n")))
-    n = partitions(docs.sparkSession)
-    ranged = written(keys.select("did", "k", "n").repartitionByRange(n, F.desc("did"), F.asc("k")).withColumn("p", F.spark_partition_id()), "fingerprint-order")
-    order = [F.desc("did"), F.asc("k")]
-    me = F.struct("did", "k", "n")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    keys = rows.groupBy(*KEY, F.length("text").alias("n")).agg(F.count("*").alias("copies"))
+    order = ["none", F.desc("did"), "hash"]
+    ranged = written(keys.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("p", F.spark_partition_id()), "fingerprint-order")
+    me = F.struct(*KEY)
     # of each range: its first in order, and, for the range before it, the one that follows that range's last
-    edges = ranged.groupBy("p").agg(F.min_by(me, F.struct((-F.col("did").cast("decimal(20,0)")).alias("d"), "k")).alias("first"))
+    edges = ranged.groupBy("p").agg(F.min_by(me, F.struct("none", (-F.col("did").cast("decimal(20,0)")).alias("d"), "hash")).alias("first"))
     edges = edges.withColumn("after", F.coalesce(F.lead("first").over(Window.orderBy("p")), F.first("first").over(Window.orderBy("p")))).select(F.col("p").alias("q"), "after")
     led = ranged.withColumn("next", F.lead(me).over(Window.partitionBy("p").orderBy(*order))).join(edges, F.col("p") == F.col("q"))
-    led = led.select("did", "k", "n", F.coalesce("next", "after").alias("next"))
+    led = led.withColumn("next", F.coalesce("next", "after"))
     # to the one that gives: whose edit needs how much of it
-    gives = led.select(F.col("next.did").alias("g_did"), F.col("next.k").alias("g_k"), F.col("did").alias("t_did"), F.col("k").alias("t_k"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    texts = hashed(rows.withColumn("hash", F.xxhash64("text")))
-    return texts, gives
+    gives = led.select(*[F.col(f"next.{c}").alias(f"g_{c}") for c in KEY], *[F.col(c).alias(f"t_{c}") for c in KEY], F.floor(F.col("n") / 2).cast("int").alias("need"), "copies")
+    return rows.groupBy(*KEY).agg(F.first("text").alias("text")), gives
 
 
-def fingerprinted(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each row of docs."""
     texts, gives = in_order(docs)
-    # only did is a join key, so that the texts stay where their one exchange has put them
-    same = lambda *c: (F.col(c[0]) == F.col(c[1])) & (F.col(c[2]) - F.col(c[3]) == 0)
-    owned = texts.join(gives, same("did", "g_did", "k", "g_k"))
-    kept = lambda c: sketch(F.col(c), shingle)
-    given = owned.select(F.col("t_did").alias("o_did"), F.col("t_k").alias("o_k"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"), F.col("hash").alias("next_hash"), kept("text").alias("next_sketch"))
-    both = texts.join(given, same("did", "o_did", "k", "o_k")).withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did")))
+
+    def joined(right: DataFrame, side: str) -> DataFrame:
+        found = texts.join(right, [F.col(c) == F.col(f"{side}{c}") for c in KEY])
+        return found.drop(*[f"{side}{c}" for c in KEY])
+
+    kept = lambda c: sketch(F.col(c), shingle, scale)
+    given = joined(gives, "g_").select("t_none", "t_did", "t_hash", "copies", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"), F.col("hash").alias("next_hash"), kept("text").alias("next_sketch"))
+    # the last of equal rows is followed by another text, the others by themselves
+    both = joined(given, "t_").withColumn("again", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     n = F.length("text")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 2)).cast("int")), F.col("prefix"))
-    full = both.select("doc_id", n.cast("long").alias("n_chars"), "text", "hash", edited.alias("edited"), "next_hash", "next_sketch")
-    full = full.select("doc_id", "n_chars", "hash", F.xxhash64("edited").alias("edited_hash"), F.sha2("edited", 256).alias("edited_sha256"), "next_hash", "next_sketch", kept("text").alias("own"), kept("edited").alias("edit"))
+    half = F.floor(n / 2).cast("int")
+    end = F.when(F.col("again"), F.substring(F.col("text"), F.lit(1), half)).otherwise(F.col("prefix"))
+    full = both.select(
+        F.when(~F.col("none"), F.col("did")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", "hash",
+        F.concat(F.substring(F.col("text"), F.lit(1), n - half), end).alias("edited"), F.when(F.col("again"), F.col("hash")).otherwise(F.col("next_hash")).alias("next_hash"), "next_sketch",
+        F.when(F.col("again"), F.col("copies") - 1).otherwise(F.lit(1)).alias("rows"),
+    )
+    full = full.select("doc_id", "n_chars", "rows", "hash", F.xxhash64("edited").alias("edited_hash"), F.sha2("edited", 256).alias("edited_sha256"), "next_hash", "next_sketch", kept("text").alias("own"), kept("edited").alias("edit"))
     near = lambda h, s: F.when(F.col("hash") == F.col(h), F.lit(1.0)).otherwise(containment(F.col("own"), F.col(s)))
-    return full.select("doc_id", "n_chars", "edited_sha256", written_as(F.col("hash"), F.col("own")).alias("fingerprint"), written_as(F.col("edited_hash"), F.col("edit")).alias("edited_fingerprint"), near("edited_hash", "edit").alias("near_edited"), near("next_hash", "next_sketch").alias("near_next"))
+    marks = [written_as(F.col("hash"), F.col("own"), scale).alias("fingerprint"), written_as(F.col("edited_hash"), F.col("edit"), scale).alias("edited_fingerprint")]
+    out = full.select("rows", "doc_id", "n_chars", "edited_sha256", *marks, near("edited_hash", "edit").alias("near_edited"), near("next_hash", "next_sketch").alias("near_next"))
+    blocks = out.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BLOCK))))
+    return blocks.withColumn("one", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.col("rows") - F.col("block") * BLOCK)))).drop("rows", "block", "one")
