@@ -1,6 +1,6 @@
 """Operator 8: token-ID output in a binary file format with shuffled planes.
 
-Documents go in ascending doc_id order (null last; rows of equal doc_id stay together, by text). A file row is a group of
+Documents go in ascending doc_id order (null last; rows of equal doc_id by a hash of the text). A file row is a group of
 whole documents: their ids are cut into fixed-size blocks, each block is transposed into byte planes (or bit planes), each
 plane is compressed by zstandard, and ``chunk_index`` says for each block where its planes lie in ``payload``. Rows carry
 (shard, group_no), so that concatenating them in that order gives the corpus. The files are Parquet, written and committed
@@ -105,8 +105,10 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     arrow = pa.schema([("shard", pa.int32()), ("group_no", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())),
                        ("chunk_index", pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int32()), ("at", pa.int64()), ("sizes", pa.list_(pa.int32()))]))), ("payload", pa.binary())])
     spark = docs.sparkSession
-    texts = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange(max(partitions(spark), 2), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    texts = only(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
+    # the hash parts the rows of one doc_id, or of none, into several ranges
+    ordered = texts.repartitionByRange(max(partitions(spark), 2), *order).sortWithinPartitions(*order).select("doc_id", "text")
     with own_settings(spark):
         ordered.mapInArrow(lambda batches: releasing(groups(batches)), SCHEMA).write.option("compression", "none").parquet(path)
 

@@ -97,6 +97,23 @@ def test_encoder_and_token_files(spark, corpus, empty):
     assert token_store.token_output(empty).count() == 0
 
 
+def test_token_files_of_repeated_and_very_long_rows(spark):
+    enc = tokens.encoder(tokens.vocabulary()).tokenizer
+    rng = random.Random(9)
+    long = " ".join(rng.choices(["words", "of", "a", "long", "text", "é", "12"], k=60_000))
+    rows = [(None, f"of no id {i}") for i in range(300)] + [(5, "one text")] * 40 + [(5, long), (7, long), (6, None), (-(1 << 63), "least"), (5, "one text more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_store.token_output(docs, group_ids=5_000, block=1_000).orderBy("start").collect()
+    want = [(i, (w := np.array([*enc.encode(t or "", add_special_tokens=False).ids, 2], "<u4")).size, zlib.crc32(w.tobytes())) for i, t in rows]
+    assert sorted([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], key=str) == sorted(want, key=str)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is None, i or 0)) and len({r.shard for r in got if r.doc_id is None}) > 1
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
 def test_packing_places_each_id_once(corpus, empty):
     docs, rows = corpus
     enc = tokens.encoder(tokens.vocabulary()).tokenizer
