@@ -6,9 +6,11 @@ IBANs (mod-97 test), IPv4 addresses (octets to 255), IPv6 addresses and dates (t
 by a keyed Feistel network within its format: strings keep the class of every character (digit, lower, upper, other), card
 numbers and IBANs keep valid check digits, addresses stay addresses, dates stay dates of the same notation within their 400
 years. Being permutations under one key, equal values get equal pseudonyms in all documents, and different values different ones.
+A phone number is its country code and the digits after it, in whatever notation: numbers written without a code have that of
+North America; ten digits without any sign between them are taken for no phone number, as most such numbers are none.
 
-The key is the setting ``tessella.pii.key`` of the session. Where it is unset, one is drawn at random for the session, so that
-pseudonyms are linked within it only. Rounds are SHA-256 digests of key, round and half.
+The key is the setting ``tessella.pii.secret`` of the session. Where it is unset, one is drawn at random for the session, so that
+pseudonyms are linked within it only. Rounds are SHA-256 digests of key, round and half; no plan holds the key.
 
 Defined results: null text stays null; text without findings stays as it is; values that fail their test stay; repeated rows
 are treated alike; texts may be of any length; other columns of docs are kept, whatever their names (``pseudonymised``).
@@ -29,7 +31,7 @@ KINDS = {
     "ipv6": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:.])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "international": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
@@ -39,6 +41,12 @@ ANY = "|".join(KINDS.values())
 #: 400 Gregorian years have 189 x 773 days; dates are permuted within the 400 years they are in, counted from FIRST, for CYCLES of them.
 DAYS, FIRST, CYCLES = (189, 773), "0001-01-01", 24
 ROUNDS = 8
+#: The setting of the key; its name is one that Spark's own redaction covers.
+SETTING = "tessella.pii.secret"
+#: Country codes of one and two digits (all others have three), and the code of numbers written without one.
+COUNTRY, HOME = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})", "1"
+#: Kinds that are one value in several notations share a key.
+SAME = {"international": "phone"}
 
 
 def _chars(s: Column) -> Column:
@@ -183,9 +191,17 @@ def _date(m: Column, key: Column) -> Column:
 
 
 def _phone(m: Column, key: Column) -> Column:
-    code = F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?)?", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _refilled(rest, feistel(F.regexp_replace(rest, "[^0-9]", ""), key)))
+    """Country code and national digits are one number in every notation; the digits after the code are permuted. A trunk zero in brackets stays."""
+    plus = F.startswith(m, F.lit("+"))
+    # the trunk zero is no digit of the number: a sign that no text of a match holds stands for it
+    shape = F.regexp_replace(m, r"^(\+[0-9]{1,3}[ .-]?)\(0\)", "$1(~)")
+
+    def made(digits: Column) -> Column:
+        code = F.when(plus, F.regexp_extract(digits, COUNTRY, 0)).otherwise(F.lit(HOME))
+        return let(code, lambda c: F.translate(_refilled(shape, F.when(plus, F.concat(c, new(F.substring(digits, F.length(c) + 1, F.length(digits)), c))).otherwise(new(digits, c))), "~", "0"))
+
+    new = lambda rest, c: feistel(rest, F.concat_ws("/", key, c))
+    return let(F.regexp_replace(shape, "[^0-9]", ""), made)
 
 
 def _email(m: Column, key: Column) -> Column:
@@ -195,7 +211,16 @@ def _email(m: Column, key: Column) -> Column:
 
 
 def _ssn(m: Column, key: Column) -> Column:
-    return _refilled(m, feistel(F.regexp_replace(m, "-", ""), key))
+    """Permuted among the numbers that can be given out: areas 001 to 899 but 666, groups from 01, serials from 0001."""
+    part = lambda first, n: F.substring(m, first, n).cast("long")
+    area = part(1, 3) - 1 - (part(1, 3) > 666).cast("long")
+    number = area * (99 * 9999) + (part(5, 2) - 1) * 9999 + part(8, 4) - 1
+
+    def shown(n: Column) -> Column:
+        low, rest = F.floor(n / (99 * 9999)) + 1, F.pmod(n, F.lit(99 * 9999))
+        return F.format_string("%03d-%02d-%04d", (low + (low >= 666).cast("long")).cast("long"), (F.floor(rest / 9999) + 1).cast("long"), (F.pmod(rest, F.lit(9999)) + 1).cast("long"))
+
+    return let(feistel_number(number, 898, 99 * 9999, key), shown)
 
 
 def _ipv6(m: Column, key: Column) -> Column:
@@ -226,12 +251,12 @@ def feistel_hex(s: Column, key: Column) -> Column:
 MAKERS = {"email": _email, "ipv6": _ipv6, "international": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
 
 
-def _replacement(m: Column, key: str) -> Column:
+def _replacement(m: Column, key: Column) -> Column:
     """struct<kind, value, before, after> for a match: the first kind whose whole pattern it is and whose test it passes, else null. before and after: what of the match stays."""
 
     def made(kind: str, pattern: str) -> Column:
         as_kind = lambda v, before, after: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"), before.alias("before"), after.alias("after")))
-        make = lambda x: MAKERS[kind](x, F.lit(f"{key}/{kind}"))
+        make = lambda x: MAKERS[kind](x, F.concat_ws("/", key, F.lit(SAME.get(kind, kind))))
         if kind == "card":
             new = let(_card_run(m), lambda r: F.when(r.isNotNull(), let(make(r["run"]), lambda v: as_kind(v, r["before"], r["after"]))))
         else:
@@ -242,11 +267,11 @@ def _replacement(m: Column, key: str) -> Column:
 
 
 def session_key(spark: SparkSession) -> str:
-    """``tessella.pii.key`` of the session; where it is unset, a random key is drawn and set there."""
-    key = spark.conf.get("tessella.pii.key", None)
+    """The setting ``tessella.pii.secret`` of the session; where it is unset, a random key is drawn and set there."""
+    key = spark.conf.get(SETTING, None)
     if not key:
         key = secrets.token_hex(32)
-        spark.conf.set("tessella.pii.key", key)
+        spark.conf.set(SETTING, key)
     return key
 
 
@@ -259,8 +284,10 @@ def found(texts: DataFrame, key: str) -> DataFrame:
     possible = F.regexp_like("text", F.lit("[0-9][^0-9]{0,4}[0-9]")) | F.contains("text", F.lit("@")) | F.contains("text", F.lit("::"))
     hits = F.when(possible, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     hits = F.when(F.size(hits) > 0, hits)
-    cut = texts.select("*", hits.alias("hits")).select("*", F.when(F.col("hits").isNotNull(), F.split("text", ANY, -1)).alias("pieces"))
-    return cut.select("*", F.transform("hits", lambda m: _replacement(m, key)).alias("new"))
+    # the key comes as a row of a one-row table, as plans, the UI and event logs print literals
+    keys = texts.sparkSession.createDataFrame([(key,)], "pii_key string")
+    cut = texts.crossJoin(F.broadcast(keys)).select("*", hits.alias("hits")).select("*", F.when(F.col("hits").isNotNull(), F.split("text", ANY, -1)).alias("pieces"))
+    return cut.select("*", F.transform("hits", lambda m: _replacement(m, F.col("pii_key"))).alias("new")).drop("pii_key")
 
 
 def _text() -> Column:

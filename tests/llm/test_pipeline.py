@@ -64,7 +64,7 @@ def test_the_run_packs_what_the_stages_leave(spark, corpus, tmp_path):
     labels = [(d, 1, int("idiot" in (t or ""))) for d, t, *_ in rows if d is not None]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(sorted(set(labels)), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.conf.set("tessella.pii.key", "k")
+    spark.conf.set("tessella.pii.secret", "k")
     read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near", "pii", "mixing", "packing"]
     docs, kept = read("documents"), {}

@@ -119,12 +119,26 @@ def ip(m):
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-def phone(kind):
-    def made(m):
-        code = re.match(r"(\+[0-9]{1,3}[ .-]?)?", m)[0]
-        return code + refilled(m[len(code) :], feistel(re.sub(r"\D", "", m[len(code) :]), f"{KEY}/{kind}"))
+ONE, TWO = {"1", "7"}, set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def phone(m):
+    trunk = re.match(r"\+[0-9]{1,3}[ .-]?(\(0\))", m)
+    digits = [i for i, c in enumerate(m) if c.isdigit() and not (trunk and i == trunk.start(1) + 1)]
+    number = "".join(m[i] for i in digits)
+    code = number[: 1 if number[0] in ONE else 2 if number[:2] in TWO else 3] if m[0] == "+" else ""
+    new = code + feistel(number[len(code) :], f"{KEY}/phone/{code or 1}")
+    out = list(m)
+    for i, c in zip(digits, new):
+        out[i] = c
+    return "".join(out)
+
 
-    return made
+def ssn(m):
+    areas = [a for a in range(1, 900) if a != 666]
+    n = (areas.index(int(m[:3])) * 99 + int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1
+    rest, serial = divmod(feistel_number(n, 898, 99 * 9999, f"{KEY}/ssn"), 9999)
+    return f"{areas[rest // 99]:03d}-{rest % 99 + 1:02d}-{serial + 1:04d}"
 
 
 def email(m):
@@ -133,7 +147,7 @@ def email(m):
     return refilled(rest, feistel(re.sub(r"[^A-Za-z0-9]", "", rest), f"{KEY}/email")) + top
 
 
-MAKERS = {"email": email, "ip": ip, "date": date, "ssn": lambda m: refilled(m, feistel(m.replace("-", ""), f"{KEY}/ssn")), "phone": phone("phone"), "international": phone("international"), "card": card, "iban": iban}
+MAKERS = {"email": email, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "international": phone, "card": card, "iban": iban}
 
 
 def plain(text):
@@ -149,7 +163,7 @@ def plain(text):
 def test_replacement_matches_the_plain_version(spark):
     rng = random.Random(3)
     bits = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "378282246310005", "4111 1111 1111 1112", "12/27", "123", "2024-02-29", "2023-02-29", "31/12/1999", "01.01.0001", "1066-10-14", "9700-01-01",
-            "123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 33", "256.1.1.1", "10.0.0.1", "me.u@x1.org", "jané.x@y.co.uk", "(988) 555-2485", "+1 988 555 2485", "+44 20 7946 0958", "988.555.2485",
+            "123-45-6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 33", "256.1.1.1", "10.0.0.1", "me.u@x1.org", "jané.x@y.co.uk", "(988) 555-2485", "+1 988 555 2485", "+44 20 7946 0958", "988.555.2485", "+44 (0)20 7946 0958", "+15551234567", "000-12-3456", "666-12-3456", "123-00-4567", "899-99-9999", "+354 555 1234",
             "words", "é", "v1.2.3", ",", ";", "a@b", "12", "7"]
     texts = [rng.choice([" ", ", ", "\n"]).join(rng.choices(bits, k=rng.randint(0, 8))) for _ in range(150)] + bits + ["", "pay 4111 1111 1111 1111 12 units", "x" * 100_000 + " 10.0.0.1 " + "y z " * 20_000]
     rows = [(i, t, None if t is None else len(t), "h", 1, "n", "r", 2, "s") for i, t in enumerate([*texts, None])]
@@ -162,7 +176,7 @@ def test_replacement_matches_the_plain_version(spark):
             assert r.text == want, texts[r.doc_id][:200]
             assert (r.hits, r.said, r.same) == ("h", 2, "s") and r.n_chars == (None if want is None else len(want))
     changed = {t for t in bits if plain(t) != t}
-    assert changed == set(bits) - {"4111 1111 1111 1112", "12/27", "123", "2023-02-29", "9700-01-01", "GB82 WEST 1234 5698 7654 33", "256.1.1.1", "words", "é", "v1.2.3", ",", ";", "a@b", "12", "7"}
+    assert changed == set(bits) - {"000-12-3456", "666-12-3456", "123-00-4567", "4111 1111 1111 1112", "12/27", "123", "2023-02-29", "9700-01-01", "GB82 WEST 1234 5698 7654 33", "256.1.1.1", "words", "é", "v1.2.3", ",", ";", "a@b", "12", "7"}
     assert pii.pseudonymised(df.limit(0), KEY).count() == 0
 
 
@@ -174,12 +188,32 @@ def test_addresses_keep_their_shape(spark):
 
 
 def test_the_key_is_a_setting(spark):
-    before = spark.conf.get("tessella.pii.key", None)
+    before = spark.conf.get(pii.SETTING, None)
     try:
-        spark.conf.unset("tessella.pii.key")
+        spark.conf.unset(pii.SETTING)
         drawn = pii.session_key(spark)
         assert len(drawn) == 64 and pii.session_key(spark) == drawn
-        spark.conf.set("tessella.pii.key", "mine")
+        spark.conf.set(pii.SETTING, "mine")
         assert pii.session_key(spark) == "mine"
     finally:
-        spark.conf.unset("tessella.pii.key") if before is None else spark.conf.set("tessella.pii.key", before)
+        spark.conf.unset(pii.SETTING) if before is None else spark.conf.set(pii.SETTING, before)
+
+
+def test_a_phone_number_is_one_in_every_notation(spark):
+    same = [
+        ["+1 555-123-4567", "+15551234567", "(555) 123-4567", "555.123.4567", "+1 (555) 123-4567", "555-123-4567"],
+        ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958", "+44.20.7946.0958"],
+    ]
+    rows = [(i, t) for i, ts in enumerate(same) for t in ts]
+    got = pii.report(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    for i, code in enumerate(["1", "44"]):
+        texts = [r.text.replace("(0)", "") for r in got if r.doc_id == i]
+        numbers = {re.sub(r"[^0-9]", "", t)[len(code) if t[0] == "+" else 0 :] for t in texts}
+        assert len(texts) == len(same[i]) and len(numbers) == 1 and not numbers & {"5551234567", "2079460958"}
+        assert all(t.startswith(f"+{code}") for t in texts if t[0] == "+")
+
+
+def test_no_plan_holds_the_key(spark):
+    docs = spark.createDataFrame([(1, "call 555-123-4567")], "doc_id long, text string")
+    for df in (pii.report(docs, "a-very-secret-key"), pii.pseudonymised(docs, "a-very-secret-key")):
+        assert df.collect() and "a-very-secret-key" not in df._jdf.queryExecution().toString()
