@@ -275,6 +275,14 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
+def _key_row(spark: SparkSession, key: str) -> DataFrame:
+    """pii_key: one row, held by the JVM as a local table, so that no Python worker deals it out."""
+    jvm = spark._jvm
+    one = jvm.java.util.ArrayList()
+    one.add(key)
+    return DataFrame(spark._jsparkSession.createDataset(one, jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark).toDF("pii_key")
+
+
 NEW = "array<struct<kind:string,value:string,before:string,after:string>>"
 
 
@@ -285,8 +293,7 @@ def found(texts: DataFrame, key: str) -> DataFrame:
     hits = F.when(possible, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     hits = F.when(F.size(hits) > 0, hits)
     # the key comes as a row of a one-row table, as plans, the UI and event logs print literals
-    keys = texts.sparkSession.createDataFrame([(key,)], "pii_key string")
-    cut = texts.crossJoin(F.broadcast(keys)).select("*", hits.alias("hits")).select("*", F.when(F.col("hits").isNotNull(), F.split("text", ANY, -1)).alias("pieces"))
+    cut = texts.crossJoin(F.broadcast(_key_row(texts.sparkSession, key))).select("*", hits.alias("hits")).select("*", F.when(F.col("hits").isNotNull(), F.split("text", ANY, -1)).alias("pieces"))
     return cut.select("*", F.transform("hits", lambda m: _replacement(m, F.col("pii_key"))).alias("new")).drop("pii_key")
 
 
