@@ -140,6 +140,14 @@ def test_folder(spark, tmp_path):
         documents.load_path(spark, str(tmp_path / "none")).count()
 
 
+def test_ids_are_relative_to_the_folder(spark, tmp_path):
+    root = tmp_path / "my docs"
+    (root / "my docs").mkdir(parents=True)
+    (root / "my docs" / "a.b.md").write_text("x")
+    for path in (str(root), f"{root}/", root.as_uri().replace("%20", " ")):
+        assert [(r.doc_id, r.source) for r in documents.load_path(spark, path).collect()] == [("my-docs-a-b", "my docs/a.b.md")]
+
+
 @pytest.mark.parametrize("strategy", ["fixed", "recursive", "structure", "semantic"])
 def test_chunks_are_substrings(spark, strategy):
     rng = random.Random(1)
