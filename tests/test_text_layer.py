@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +204,19 @@ def test_settings_and_grid(tmp_path):
     assert config.prices({"TESSELLA_PRICES": '{"m": [1, 2]}'})["m"] == (1.0, 2.0) and config.prices({"TESSELLA_PRICES": "{"}) == config.PRICES
     got = config.Settings.read({"TESSELLA_MAX_UPLOAD_MB": "3", "TESSELLA_LLM_KEY": "k", "TESSELLA_LOG_JSON": "true"})
     assert (got.max_upload_mb, got.resolved_generator, got.resolved_embedder, got.log_json) == (3, "llm", "remote", True) and "'k'" not in repr(got)
+
+
+def test_spans_stay_flat(spark):
+    """Thousands of spans a text are Arrow arrays, not an object each; and they are the substrings that Spark takes."""
+    import tracemalloc
+
+    texts = ["é 𝄞 a-b. It's! " * 2_000] * 100
+    tracemalloc.start()
+    got = spans.spans_array([spans.tokens_of(t) for t in texts[:1]])
+    made = spans._span_column(spans.tokens_of)(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.to_pylist()[0] == got.to_pylist()[0] and len(made) == 100 and peak < 200 * sum(map(len, texts[:64]))
+    rows = spark.createDataFrame([(0, "é 𝄞 a-b. It's!"), (1, None), (2, ""), (3, "x")], "i int, x string").select("*", spans.token_spans(F.col("x")).alias("s"))
+    slow = F.transform("s", lambda s: F.substring("x", s["start"] + 1, s["stop"] - s["start"]))
+    assert rows.select("i", spans.pieces(F.col("x"), F.col("s")).alias("p"), slow.alias("q")).where("NOT (p <=> q)").count() == 0
