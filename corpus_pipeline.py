@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import mixing, near, packing, pii, toxicity
-from tessella.llm.common import table, written
+from tessella.llm import mixing, near, packing, pii, simhash, toxicity
+from tessella.llm.common import representatives, table, written
+from tessella.llm.components import united
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +24,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links between texts whose five-word shingle sets are at least 0.8 alike."""
-    return near.one_of_each(docs)
+    """One document of each component of two kinds of links: operator 6's, between SimHash fingerprints at most 2 bits apart, and those
+    between texts whose five-word shingle sets are at least 0.8 alike, most of which lie more bits apart."""
+    linked = [written(found.select("doc_id", "hash", "component_id", "component_hash"), f"pipeline-{name}") for name, found in (("simhash", simhash.linked(docs)), ("alike", near.linked(docs)))]
+    return representatives(docs, written(united(*linked), "pipeline-linked"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

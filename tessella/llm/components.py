@@ -35,3 +35,16 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def united(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two tables of doc_id, hash, component_id, component_hash over the same documents -> the same of the components that the links of both make.
+
+    A document ties its component in one to that in the other; only components, not documents, are followed. Those of null doc_ids only stay as they are."""
+    first = lambda t: F.struct(F.col(f"{t}.component_id").alias("doc_id"), F.col(f"{t}.component_hash").alias("hash"))
+    named = [t.where("doc_id IS NOT NULL").distinct().alias(a) for t, a in ((one, "a"), (other, "b"))]
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.hash"))
+    roots = components(named[0].join(named[1], same).select(first("a").alias("u"), first("b").alias("v")))
+    roots = roots.select(F.col("node.doc_id").alias("n_id"), F.col("node.hash").alias("n_hash"), "root")
+    both = one.join(roots, (F.col("component_id") == F.col("n_id")) & (F.col("component_hash") == F.col("n_hash")), "left")
+    return both.select("doc_id", "hash", F.coalesce("root.doc_id", "component_id").alias("component_id"), F.coalesce("root.hash", "component_hash").alias("component_hash"))

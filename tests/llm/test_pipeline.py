@@ -87,3 +87,25 @@ def test_the_run_packs_what_the_stages_leave(spark, corpus, tmp_path):
     whole = sorted((r.doc_id or -1, r.doc_tokens) for r in pieces if r.start == 0)
     assert whole == [w[:2] for w in want] and sum(r.length for r in pieces) == sum(w[1] for w in want)
     assert {(r.doc_id or -1, r.doc_tokens, r.ids_crc32) for r in pieces if r.length == r.doc_tokens} <= set(want)
+
+
+def test_the_near_stage_links_by_fingerprints_too(spark):
+    """Texts of one fingerprint whose shingle sets are little alike are one; so is what either kind of link joins to them."""
+    rng = random.Random(3)
+    tail = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12))
+    line = "one two three four five six seven " * 400
+    a, b = line + tail(), line + tail()
+    c = f"{b} more"  # nearly all shingles of b, and its fingerprint
+    rows = [(1, a), (2, b), (3, c), (4, tail()), (5, None), (None, a)]
+    docs = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], SCHEMA)
+    assert {r.doc_id for r in near.one_of_each(docs).collect()} == {1, 2, 4, 5, None}
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == {1, 4, 5, None}
+
+
+def test_components_of_both_kinds_are_united(spark):
+    kind = "doc_id long, hash long, component_id long, component_hash long"
+    one = spark.createDataFrame([(1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 3, 3), (4, 4, 4, 4), (None, 9, None, None)], kind)
+    other = spark.createDataFrame([(1, 1, 1, 1), (2, 2, 2, 2), (3, 3, 2, 2), (4, 4, 4, 4), (None, 9, None, None)], kind)
+    from tessella.llm.components import united
+
+    assert {r.doc_id: r.component_id for r in united(one, other).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, None: None}
