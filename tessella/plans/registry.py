@@ -533,7 +533,7 @@ SELECT query_id, doc_id, rank, cost, CAST(label AS BIGINT) AS label FROM u JOIN
 def context_pack(spark, d):
     docs = _t(spark, d, "documents")
     ranked = _index(spark, d).search(_questions(spark, d)).select("query_id", "doc_id", "rank")
-    return rerank.packed_context(ranked.join(docs.select("doc_id", "text"), "doc_id"), 1500)
+    return rerank.packed_context(F.broadcast(ranked).join(docs.select("doc_id", "text"), "doc_id"), 1500)
 
 
 _ZEROED = "(SELECT vec_id AS doc_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: 0.0::DOUBLE) ELSE list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 7)) END AS v FROM embeddings)"
