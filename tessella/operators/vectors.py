@@ -239,9 +239,12 @@ class VectorIndex:
                         pick = np.argpartition(-rough, most - 1, axis=1)[:, :most] if most < len(some) else np.broadcast_to(np.arange(len(some)), rough.shape)
                         held.append(pd.DataFrame({"row": np.repeat(rows, most).astype(np.int32), "key": some["key"].to_numpy()[pick.reshape(-1)], "cell": np.int32(cell), "rough": np.take_along_axis(rough, pick, axis=1).reshape(-1)}))
                         n += len(held[-1])
-                        if n > max(400_000, 2 * keep * len(q)):
+                        if n > 400_000:
                             held = [cut(held)]
                             n = len(held[0])
+                            if n > 200_000:  # ``keep`` grows with the index: what it spares little of is handed on, and cut when all tasks' are together
+                                yield held.pop()
+                                n = 0
             if held:
                 yield cut(held)
 
