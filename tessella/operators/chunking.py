@@ -10,9 +10,10 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.config import Chunking
 from tessella.functions import spans as S
@@ -108,7 +109,8 @@ def semantic(cut: Cutter, sections: Sequence, cfg: Chunking, embedder: Embedder
     if len(said) <= 2:
         return [(said[0][0], said[-1][1])] if said else []
     parts = [cut.text[a:b] for a, b in said]
-    vectors = embed(embedder, [" ".join(parts[max(0, i - 1) : i + 2]) for i in range(len(parts))])
+    windows = getattr(embedder, "windows", None)
+    vectors = windows(parts) if windows else embed(embedder, [" ".join(parts[max(0, i - 1) : i + 2]) for i in range(len(parts))])
     apart = 1.0 - (vectors[:-1] * vectors[1:]).sum(axis=1)
     far = np.concatenate([[True], apart > float(np.percentile(apart, cfg.semantic_percentile))])
     groups: list[list] = []  # start, stop, tokens
@@ -156,16 +158,16 @@ def chunked(documents: DataFrame, cfg: Chunking | None = None, embedder: Embedde
         raise ValueError("the semantic strategy needs an embedder")
     names = ["doc_id", "title", "text", "sections", "metadata"]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in CHUNK.split(", ")]
+    schema = to_arrow_schema(documents.sparkSession.createDataFrame([], CHUNK).schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, len(b), 256):
-                rows = [r for doc in b.iloc[lo : lo + 256].to_dict("records") for r in chunks_of(doc, cfg, embedder)]
-                out = pd.DataFrame(rows, columns=columns)
-                out["page"] = out["page"].astype("Int32")
-                yield out
+            # texts and chunks are Python objects for a few documents at a time
+            for lo in range(0, b.num_rows, 32):
+                rows = [r | {"metadata": list(r["metadata"].items())} for doc in b.slice(lo, 32).to_pylist() for r in chunks_of(doc, cfg, embedder)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return documents.select(*names).mapInPandas(cut, CHUNK)
+    return documents.select(*names).mapInArrow(cut, CHUNK)
 
 
 def as_documents(texts: DataFrame, key: str = "doc_id", text: str = "text", title: Column | None = None, source: Column | None = None) -> DataFrame:
