@@ -13,8 +13,9 @@ Hashes only decide which windows meet; that windows are equal is decided on thei
 2. The runs of windows about the grams left travel, with their bytes, to where all with their gram meet. Of windows that a
    batch repeats only the first does; the others are marked at once.
 3. There windows are ordered by the radix passes, and those not first in their group are marked. A gram of more than
-   ``crowd`` runs is dealt over several places; windows that are first in one of these are ordered once more, over all
-   places, by their whole bytes.
+   ``crowd`` runs is dealt over several places; the runs that are first in one of these meet again by a longer gram, which
+   reaches half as far again to the left, or, where a window does not hold that, to the right. So a run is two at most after
+   each turn, and after seven the gram is the window.
 4. Marks are united by document and applied.
 
 Defined results: null text is empty; texts shorter than the window lose nothing; rows with the same doc_id and text count
@@ -25,10 +26,11 @@ first; texts of any length are handled in overlapping segments; an empty table g
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, partitions, written
@@ -118,10 +120,9 @@ def radix_groups(digit: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np
 class Runs:
     """Runs of windows over equal or different bytes, in order of (did, hash, start): what of them is first, and what comes again."""
 
-    def __init__(self, did: np.ndarray, h: np.ndarray, start: np.ndarray, data: list[bytes], gram: np.ndarray | None = None) -> None:
+    def __init__(self, did: np.ndarray, h: np.ndarray, start: np.ndarray, data: list[bytes], gram: np.ndarray, place: np.ndarray) -> None:
         order = np.lexsort((start, h, did))
-        self.did, self.h, self.start = did[order], h[order], start[order]
-        self.gram = None if gram is None else gram[order]
+        self.did, self.h, self.start, self.gram, self.place = (x[order] for x in (did, h, start, gram, place))
         self.data = [data[i] for i in order.tolist()]
         n = len(order)
         code = np.asarray(pa.array(self.data, pa.large_binary()).dictionary_encode().indices)
@@ -166,16 +167,17 @@ class Runs:
         for row, a, b in self.marks:
             if len(row):
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(row) + 1, 2, dtype=np.int32)), pa.array(np.stack([a, b], axis=1).reshape(-1)))
-                none = [pa.nulls(len(row), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([none[0], pa.array(self.did[row]), pa.array(self.h[row]), none[1], none[2], flat], names=NAMES)
+                none = [pa.nulls(len(row), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([none[0], pa.array(self.did[row]), pa.array(self.h[row]), *none[1:], flat], names=NAMES)
         for row, a, b in self.first if keep else ():
             o = a - self.start[row]
             data = [self.data[i][x : x + y] for i, x, y in zip(row.tolist(), o.tolist(), (b - a).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(self.gram[row]), pa.array(self.did[row]), pa.array(self.h[row]), pa.array(a), pa.array(data, pa.binary()), pa.nulls(len(row), pa.list_(pa.int64()))], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(self.gram[row]), pa.array(self.did[row]), pa.array(self.h[row]), pa.array(a), pa.array(self.place[row]), pa.array(data, pa.binary()), pa.nulls(len(row), pa.list_(pa.int64()))], names=NAMES)
 
 
-CONTEXTS = "gram long, did long, hash long, start long, bytes binary, spans array<bigint>"
-NAMES = ["gram", "did", "hash", "start", "bytes", "spans"]
+#: place: where the gram begins in its text.
+CONTEXTS = "gram long, did long, hash long, start long, place long, bytes binary, spans array<bigint>"
+NAMES = ["gram", "did", "hash", "start", "place", "bytes", "spans"]
 
 
 def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
@@ -263,28 +265,29 @@ def _context_rows(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Itera
         if not keep.any():
             continue
         first, last, piece = p.first[keep], p.last[keep], p.piece[keep]
-        did, h, base = (np.array([r[i] for r in rows], np.int64)[piece] for i in (0, 1, 4))
+        did, h, at = (np.array([r[i] for r in rows], np.int64)[piece] for i in (0, 1, 4))
+        base = at - p.starts[piece]
         data = [p.data[a:b] for a, b in zip(first.tolist(), (last + WINDOW).tolist())]
-        yield from Runs(did, h, first - p.starts[piece] + base, data, p.gram[keep]).rows(True)
+        yield from Runs(did, h, first + base, data, p.gram[keep], p.place[keep] + base).rows(True)
 
 
 def _mark_rows(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[pa.RecordBatch]:
-    """(gram, salt, hot, did, hash, start, bytes) in order of gram and salt -> CONTEXTS: marks, and what is first about hot grams. All rows of a gram and salt are judged together."""
+    """(gram, salt, hot, did, hash, start, place, bytes) in order of gram and salt -> CONTEXTS: marks, and what is first about hot grams. All rows of a gram and salt are judged together."""
 
     def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
         hot = t.column(2).to_numpy().astype(bool)
         for some in (hot, ~hot):
             if some.any():
                 part = t.filter(pa.array(some))
-                gram, did, h, start = (part.column(i).to_numpy() for i in (0, 3, 4, 5))
-                yield from Runs(did, h, start, part.column(6).to_pylist(), gram).rows(bool(some is hot))
+                gram, did, h, start, place = (part.column(i).to_numpy() for i in (0, 3, 4, 5, 6))
+                yield from Runs(did, h, start, part.column(7).to_pylist(), gram, place).rows(bool(some is hot))
 
     held: list[pa.RecordBatch] = []
     size = 0
     for b in batches:
         for lo in range(0, b.num_rows, 2_000):
             held.append(b.slice(lo, 2_000))
-            size += held[-1].column(6).nbytes
+            size += held[-1].column(7).nbytes
             if size >= most:
                 t = pa.Table.from_batches(held)
                 gram, salt = t.column(0).to_numpy(), t.column(1).to_numpy()
@@ -293,22 +296,26 @@ def _mark_rows(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator
                 if cut:
                     yield from judged(t.slice(0, cut))
                     held = t.slice(cut).combine_chunks().to_batches()
-                size = sum(x.column(6).nbytes for x in held) if cut else 0
+                size = sum(x.column(7).nbytes for x in held) if cut else 0
     if held and sum(x.num_rows for x in held):
         yield from judged(pa.Table.from_batches(held))
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(did, hash, start, bytes) -> the bytes of each window, did, hash, where its run begins, and its start."""
-    for b in batches:
-        for lo in range(0, b.num_rows, 2_000):
-            did, h, start, data = (b.slice(lo, 2_000).column(i).to_pylist() for i in range(4))
-            m = np.array([len(x) - WINDOW + 1 for x in data], np.int64)
-            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            w = [x[i : i + WINDOW] for x in data for i in range(len(x) - WINDOW + 1)]
-            run = np.repeat(np.array(start, np.int64), m)
-            cols = [np.repeat(np.array(did, np.int64), m), np.repeat(np.array(h, np.int64), m), run, run + within]
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), *map(pa.array, cols)], names=["w", "did", "hash", "run", "start"])
+def lengthened(runs: DataFrame, known: int) -> tuple[DataFrame, int]:
+    """Runs about grams of ``known`` bytes, by longer ones, and their length. Windows that hold ``more`` bytes before the gram meet by these,
+    the others hold as many after it; equal windows have the gram at the same place, so they stay together."""
+    more = (WINDOW - known + 1) // 2
+    start, size, split = F.col("start"), F.octet_length("bytes").cast("long"), F.col("place") - more + 1
+    stop = start + size - WINDOW + 1
+
+    def part(side: int, a: Column, z: Column, place: Column, at: Column) -> Column:
+        key = F.xxhash64("gram", F.lit(side), F.substr("bytes", (at - start + 1).cast("int"), F.lit(more)))
+        data = F.substr("bytes", (a - start + 1).cast("int"), (z - a + WINDOW - 1).cast("int"))
+        return F.when(a < z, F.struct(key.alias("gram"), "did", "hash", a.alias("start"), place.alias("place"), data.alias("bytes")))
+
+    left = part(0, start, F.least(stop, split), F.col("place") - more, F.col("place") - more)
+    right = part(1, F.greatest(start, split), stop, F.col("place"), F.col("place") + known)
+    return runs.select(F.explode(F.array_compact(F.array(left, right))).alias("r")).select("r.*"), known + more
 
 
 def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
@@ -339,19 +346,24 @@ def repeated_spans(docs: DataFrame, crowd: int = 512, batch: int = BATCH) -> tup
     grams = several.groupBy(F.col("key").alias("g")).agg(F.collect_set("gram").alias("grams"))
     about = long.join(grams, F.col("key") == F.col("g")).select("did", "hash", "bytes", "grams")
     found = written(about.mapInArrow(lambda b: _context_rows(b, batch), CONTEXTS), "dedup-contexts")
-    contexts = found.where("bytes IS NOT NULL").drop("spans")
-    hot = written(contexts.groupBy(F.col("gram").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h", F.ceil(F.col("n") / crowd).alias("parts")), "dedup-hot")
-    dealt = contexts.join(hot, F.col("gram") == F.col("h"), "left").withColumn("hot", F.col("parts").isNotNull().cast("int"))
-    dealt = dealt.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("did", "hash", "start"), F.col("parts"))).otherwise(F.lit(0))).select("gram", "salt", "hot", "did", "hash", "start", "bytes")
-    judged = written(dealt.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(lambda b: _mark_rows(b, batch), CONTEXTS), "dedup-judged")
-    windows = judged.where("bytes IS NOT NULL").select("did", "hash", "start", "bytes").mapInArrow(_window_rows, "w binary, did long, hash long, run long, start long")
-    me = F.struct("did", "hash", "start")
-    first = windows.groupBy(F.col("w").alias("f")).agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first != last").select("f", "first")
-    later = windows.join(first, F.col("w") == F.col("f")).where(me != F.col("first")).groupBy("did", "hash", "run").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    a, b = F.element_at("starts", 1), F.element_at("starts", -1)
-    each = F.flatten(F.transform("starts", lambda s: F.array(s, s + WINDOW)))
-    later = later.select("did", "hash", F.when(b - a + 1 == F.size("starts"), F.array(a, b + WINDOW)).otherwise(each).alias("spans"))
-    every = later.unionByName(judged.where("spans IS NOT NULL").select("did", "hash", "spans")).unionByName(found.where("spans IS NOT NULL").select("did", "hash", "spans"))
+    marks = [found]
+    runs, known = found.where("bytes IS NOT NULL").drop("spans"), GRAM
+    while known < WINDOW:
+        hot = written(runs.groupBy(F.col("gram").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("h", F.ceil(F.col("n") / crowd).alias("parts")), "dedup-hot")
+        dealt = runs.join(hot, F.col("gram") == F.col("h"), "left").withColumn("hot", F.col("parts").isNotNull().cast("int"))
+        dealt = dealt.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("did", "hash", "start"), F.col("parts"))).otherwise(F.lit(0))).select("gram", "salt", "hot", "did", "hash", "start", "place", "bytes")
+        marks.append(written(dealt.repartition(n, "gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(lambda b: _mark_rows(b, batch), CONTEXTS), "dedup-judged"))
+        if hot.isEmpty():
+            break
+        runs, known = lengthened(marks[-1].where("bytes IS NOT NULL").drop("spans"), known)
+    else:
+        # each run is one window now, of those that over ``crowd`` runs came down to
+        runs = written(runs, "dedup-windows")
+        me = F.struct("did", "hash", "start")
+        first = runs.groupBy(F.col("bytes").alias("f")).agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first != last").select("f", "first")
+        later = runs.join(first, F.col("bytes") == F.col("f")).where(me != F.col("first"))
+        marks.append(later.select("did", "hash", F.array("start", F.col("start") + WINDOW).alias("spans")))
+    every = reduce(DataFrame.unionByName, [m.where("spans IS NOT NULL").select("did", "hash", "spans") for m in marks])
     whole = copies.select("key", F.array(F.lit(0).cast("long"), F.col("n").cast("long")).alias("spans"))
     return texts, every.select(F.xxhash64("did", "hash").alias("key"), "spans").unionByName(whole).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 

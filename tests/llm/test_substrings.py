@@ -84,3 +84,36 @@ def test_radix_passes_group_equal_windows():
             want.setdefault(key, []).append(k)
         expected = {k: least[key] for key, ks in want.items() if len(ks) > 1 for k in ks}
         assert dict(zip(some.tolist(), first.tolist())) == expected
+
+
+def test_longer_grams_keep_windows_in_two_runs(spark):
+    """A crowded gram's runs don't become a row for each window: every turn makes two of one at most, and equal windows meet."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("ab", k=n))
+    gram, sides = say(32), [say(68) for _ in range(3)]
+    texts = [(i, rng.choice(sides) + gram + rng.choice(sides)) for i in range(40)]
+    runs = spark.createDataFrame([(7, i, i, 0, 68, bytearray(t.encode()), None) for i, t in texts], substrings.CONTEXTS).drop("spans")
+    before = {(i, k, t[k : k + 100].encode()) for i, t in texts for k in range(69)}
+    known = 32
+    for turn in range(7):
+        most = 2 * runs.count()
+        runs, known = substrings.lengthened(runs, known)
+        runs = spark.createDataFrame(runs.collect(), runs.schema)
+        rows = runs.collect()
+        assert len(rows) <= most
+        windows = [(r.gram, r.did, r.start + k, bytes(r.bytes[k : k + 100])) for r in rows for k in range(len(r.bytes) - 99)]
+        assert len(windows) == len(before) and {w[1:] for w in windows} == before
+        # equal windows with the gram at the same place have one key
+        assert len({(w[0], w[3]) for w in windows}) == len({w[3] for w in windows})
+    assert known == 100 and all(len(r.bytes) == 100 for r in rows)
+
+
+def test_crowded_lines_in_many_texts(spark):
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, ends = say(70), [say(40) for _ in range(12)]
+    rows = [(i, say(90) + rng.choice(ends) + line + rng.choice(ends) + say(90)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute(rows)
+    for r in substrings.report(docs, crowd=20, batch=2_000).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id, rows[r.doc_id][1]]
