@@ -87,7 +87,7 @@ class Change:
 
 
 class Tables:
-    """Tables of one key in a folder, changed by commits. schemas: DDL of each; every table has the key column."""
+    """Tables of one key in a folder, changed by commits. schemas: DDL of each; every table has the key column. buckets: 0 leaves rows in the tasks that they come from."""
 
     def __init__(self, spark: SparkSession, folder: str, schemas: Mapping[str, str], key: str = "doc_id", buckets: int = 4) -> None:
         self.spark, self.folder, self.key, self.buckets = spark, folder.rstrip("/"), key, buckets
@@ -133,8 +133,11 @@ class Tables:
         return out
 
     def _put_rows(self, name: str, df: DataFrame, mark: str) -> str:
-        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         place = f"{name}/{mark}"
+        if not self.buckets:
+            df.select(self.schemas[name].names).write.parquet(f"{self.folder}/{place}")
+            return place
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         dealt = df.select(self.schemas[name].names).withColumn("_bucket", bucket).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.key)
         dealt.write.partitionBy("_bucket").parquet(f"{self.folder}/{place}")
         return place

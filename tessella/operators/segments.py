@@ -4,8 +4,9 @@ A commit adds the new texts' bags of terms and their postings in blocks; of text
 take away, so document frequencies, the number of texts and their mean length are those of an index built anew. Segments are merged from their bags,
 without analysing a text again, once the later ones have grown to the first one's size or are many.
 
-A block is a term's postings in ``SLOTS`` x ``WIDTH`` neighbouring texts in order of length, with the largest tf and the least length of each ``WIDTH`` of
-them, a slot: a bound of what a text there can score by the term, whatever the mean length. A search adds up the bounds of a question's terms by slot, without
+A block is a term's postings in ``SLOTS`` x ``WIDTH`` texts neighbouring in length, with the largest tf and the least length of each ``WIDTH`` of
+them, a slot: a bound of what a text there can score by the term, whatever the mean length. Blocks are made of some thousand bags at a time, where the
+bags lie: postings are not moved, and the bounds of all terms of a block lie in one file. A search adds up the bounds of a question's terms by slot, without
 a posting; scores the texts of the most promising slots, of which the k-th best is a mark that a result must reach; and then takes the postings
 of only those slots whose bounds reach the mark.
 """
@@ -13,7 +14,12 @@ of only those slots whose bounds reach the mark.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,37 +28,31 @@ from tessella.operators.commits import SEQ, Change, Conflict, Tables
 from tessella.operators.retrieval import counted, idf, top
 from tessella.operators.storage import temporary, written
 
-#: Texts of a slot and slots of a block (powers of two), and folders that terms are dealt to.
-WIDTH, SLOTS, FOLDERS = 4, 16, 8
+#: Texts of a slot and slots of a block; postings that a worker makes blocks of at once, about; asked terms up to which a read names them, so that Parquet skips pages.
+WIDTH, SLOTS, BATCH, FEW = 4, 16, 400_000, 10
 TERMS = "terms array<struct<term:string,tf:bigint>>"
 
 
 class Segments:
     def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", kind: str = "bigint") -> None:
         self.spark, self.folder, self.key, self.kind = spark, folder.rstrip("/"), key, kind
-        self.tables = Tables(spark, folder, {"bags": f"{key} {kind}, dl long, {TERMS}"}, key)
-        self._block = f"term string, block long, n long, most_tf array<bigint>, least_dl array<bigint>, postings array<struct<slot:int,key:{kind},tf:bigint,dl:bigint>>, folder int"
+        self.tables = Tables(spark, folder, {"bags": f"{key} {kind}, dl long, {TERMS}"}, key, buckets=0)
+        self._block = f"term string, block long, n long, most_tf array<int>, least_dl array<int>, postings array<struct<slot:tinyint,key:{kind},tf:int,dl:int>>"
 
     # changing
     def _blocks(self, bags: DataFrame) -> str:
         """Writes the postings of bags; -> their place."""
-        at = F.col("at")
-        placed = written(bags.repartitionByRange("dl", self.key).sortWithinPartitions("dl", self.key).withColumn("at", F.monotonically_increasing_id()), temporary(self.spark, "placed"))
-        slot = F.shiftright(at, WIDTH.bit_length() - 1).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-        each = placed.select(F.shiftright(at, (WIDTH * SLOTS).bit_length() - 1).alias("block"), slot.alias("slot"), F.col(self.key).alias("key"), "dl", F.explode("terms").alias("t"))
-        each = each.select("t.term", "block", F.struct("slot", "key", F.col("t.tf").alias("tf"), "dl").alias("p"))
-        by_slot = lambda f, c: F.array(*[f(F.when(F.col("p.slot") == i, F.col(c))) for i in range(SLOTS)])
-        # dealing by ranges of (term, block) splits a term that nearly every text has, and is all that the grouping needs
-        grouped = each.repartitionByRange("term", "block").groupBy("term", "block").agg(F.count("*").alias("n"), by_slot(F.max, "p.tf").alias("most_tf"), by_slot(F.min, "p.dl").alias("least_dl"), F.collect_list("p").alias("postings"))
         place = f"blocks/{uuid.uuid4().hex}"
-        grouped.withColumn("folder", _folder(F.col("term"))).sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{self.folder}/{place}")
+        bags.select(self.key, "dl", "terms").mapInArrow(_block_rows, self._block).write.parquet(f"{self.folder}/{place}")
         return place
 
     def _note(self, t: Tables, head: int, bags: DataFrame, gone: DataFrame | None) -> dict:
         added = bags.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         note = {"n": added.n, "dl": added.dl, "blocks": self._blocks(bags) if added.n else None}
         if gone is not None:
-            left = written(t.read("bags", at=head).join(gone.select(F.col(gone.columns[0]).alias(self.key)).distinct(), self.key, "left_semi"), temporary(self.spark, "left"))
+            # as a written table Spark knows how small the keys are, and need not move the bags
+            keys = written(gone.select(F.col(gone.columns[0]).alias(self.key)).distinct(), temporary(self.spark, "gone"))
+            left = written(t.read("bags", at=head).join(keys, self.key, "left_semi"), temporary(self.spark, "left"))
             lost = left.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
             if lost.n:
                 place = f"minus/{uuid.uuid4().hex}"
@@ -109,13 +109,17 @@ class Segments:
         n = sum(x["n"] for x in notes)
         return n, max(1.0, sum(x["dl"] for x in notes) / n if n else 1.0)
 
-    def blocks(self, folders: list[int] | None = None) -> DataFrame:
-        """All segments' blocks with their commit's number."""
+    def blocks(self, asked: DataFrame | None = None) -> DataFrame:
+        """All segments' blocks with their commit's number; asked: only those of its terms."""
         out = self.spark.createDataFrame([], self._block).withColumn(SEQ, F.lit(-1))
         for n, e in self.tables.live().items():
             if e["note"].get("blocks"):
                 out = out.unionByName(self.spark.read.schema(self._block).parquet(f"{self.folder}/{e['note']['blocks']}").withColumn(SEQ, F.lit(n)))
-        return out if folders is None else out.where(F.col("folder").isin(folders))
+        if asked is None:
+            return out
+        terms = asked.select("term").distinct()
+        few = [r.term for r in terms.limit(FEW + 1).collect()]
+        return out.where(F.col("term").isin(few)) if len(few) <= FEW else out.join(F.broadcast(terms), "term", "left_semi")
 
     def _minus(self) -> DataFrame:
         out = self.spark.createDataFrame([], "term string, n long")
@@ -133,11 +137,11 @@ class Segments:
         return postings.join(last, F.col("key") == F.col("_gone"), "left").where(F.col("_gone_seq").isNull() | (F.col(SEQ) >= F.col("_gone_seq"))).drop("_gone", "_gone_seq")
 
     def _weighed(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Blocks in the folders of the questions' terms; query_id, term, df, idf."""
+        """Blocks of the questions' terms; query_id, term, df, idf."""
         n, _ = self.state()
         asked = written(questions.select("query_id", F.explode(F.array_distinct(T.terms(F.col("question")))).alias("term")), temporary(self.spark, "asked"))
-        blocks = self.blocks([r[0] for r in asked.select(_folder(F.col("term"))).distinct().collect()])
-        df = blocks.select("term", "n").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
+        blocks = self.blocks(asked)
+        df = blocks.select("term", "n").groupBy("term").agg(F.sum("n").alias("df"))
         df = df.join(self._minus(), "term", "left").withColumn("df", F.col("df") - F.coalesce("minus", F.lit(0))).where("df > 0")
         weighed = asked.join(df, "term").select("query_id", "term", "df", idf(F.lit(n), F.col("df")).alias("idf"))
         return blocks, written(weighed, temporary(self.spark, "weighed"))
@@ -157,18 +161,18 @@ class Segments:
         named = F.transform("bounds", lambda x, i: F.struct(x.alias("bound"), i.alias("slot")))
         best = sums.select("query_id", SEQ, "block", F.explode(F.slice(F.sort_array(named, asc=False), 1, 4)).alias("s")).select("query_id", SEQ, "block", "s.*")
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), SEQ, "block", "slot"))).where(F.col("nth") <= 4 * k)
-        first = self._scores(blocks, weighed, best.groupBy("query_id", SEQ, "block").agg(F.collect_set("slot").alias("slots")), k1, b)
+        best = written(best.groupBy("query_id", SEQ, "block").agg(F.collect_set("slot").alias("slots")), temporary(self.spark, "best"))
+        first = self._scores(blocks, weighed, best, k1, b)
         marks = first.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("nth") == k).select("query_id", F.col("score").alias("mark"))
         met = sums.join(written(marks, temporary(self.spark, "marks")), "query_id", "left")
         can = F.filter(F.transform("bounds", lambda x, i: F.when((x > 0) & (x >= F.coalesce("mark", F.lit(0.0)) - 1e-9), i)), lambda i: i.isNotNull())
         return blocks, weighed, met.select("query_id", SEQ, "block", can.alias("slots")).where(F.size("slots") > 0)
 
-    def _postings(self, blocks: DataFrame, weighed: DataFrame, kept: DataFrame) -> DataFrame:
-        """query_id, term, df, idf, commit, key, tf, dl of the postings in the slots kept."""
-        wanted = kept.join(weighed, "query_id")
-        held = blocks.select("term", SEQ, "block", "postings").join(wanted, ["term", SEQ, "block"])
-        some = F.filter("postings", lambda p: F.array_contains("slots", p["slot"]))
-        return held.select("query_id", "term", "df", "idf", SEQ, F.explode(some).alias("p")).select("query_id", "term", "df", "idf", SEQ, "p.key", "p.tf", "p.dl")
+    def _postings(self, blocks: DataFrame, weighed: DataFrame, kept: DataFrame, weight: str = "idf") -> DataFrame:
+        """query_id, idf or df, commit, key, tf, dl of the postings in the slots kept."""
+        held = blocks.select("term", SEQ, "block", "postings").join(weighed.select("query_id", "term", weight), "term").drop("term").join(kept, ["query_id", SEQ, "block"])
+        some = F.filter("postings", lambda p: F.array_contains("slots", p["slot"].cast("int")))
+        return held.select("query_id", weight, SEQ, F.explode(some).alias("p")).select("query_id", weight, SEQ, "p.key", "p.tf", "p.dl")
 
     def _scores(self, blocks: DataFrame, weighed: DataFrame, kept: DataFrame, k1: float, b: float) -> DataFrame:
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / self.state()[1]))
@@ -184,15 +188,64 @@ class Segments:
         often = F.col("df") > frequent * self.state()[0]
         blocks, weighed, kept = self._kept(questions, k, k1, b)
         every = weighed.agg(F.sum("df").alias("every"), F.sum(F.when(often, F.col("df")).otherwise(0)).alias("every_frequent"))
-        return every.crossJoin(self._postings(blocks, weighed, kept).agg(F.count("*").alias("got"), F.count(F.when(often, 1)).alias("got_frequent")))
+        return every.crossJoin(self._postings(blocks, weighed, kept, "df").agg(F.count("*").alias("got"), F.count(F.when(often, 1)).alias("got_frequent")))
 
     def weights(self, asked: DataFrame) -> DataFrame:
         """asked (query_id, term) -> also df, 0 for a term that no text has, and idf."""
-        blocks = self.blocks([r[0] for r in asked.select(_folder(F.col("term"))).distinct().collect()])
-        df = blocks.select("term", "n").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).join(self._minus(), "term", "left")
+        df = self.blocks(asked).select("term", "n").groupBy("term").agg(F.sum("n").alias("df")).join(self._minus(), "term", "left")
         known = asked.join(df, "term", "left").withColumn("df", F.coalesce(F.col("df") - F.coalesce("minus", F.lit(0)), F.lit(0)))
         return known.select("query_id", "term", "df", idf(F.lit(self.state()[0]), F.col("df")).alias("idf"))
 
 
-def _folder(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, dl, terms) -> blocks, in order of term for every ``BATCH`` postings or so. Their numbers are those of the task and a count."""
+    number = TaskContext.get().partitionId() << 40
+
+    def made(rows: pa.RecordBatch) -> pa.RecordBatch:
+        rows = rows.take(pc.sort_indices(rows.column(1)))
+        flat = rows.column(2).flatten()
+        text = np.repeat(np.arange(rows.num_rows), rows.column(2).value_lengths().to_numpy())
+        words = flat.field(0).dictionary_encode()
+        # the terms' numbers in their order
+        by = pc.sort_indices(words.dictionary).to_numpy()
+        nth = np.empty(len(by), np.int64)
+        nth[by] = np.arange(len(by))
+        term = nth[words.indices.to_numpy()]
+        order = np.lexsort((text, term))
+        term, text, tf = term[order], text[order], flat.field(1).to_numpy()[order].astype(np.int32)
+        dl, block, slot = rows.column(1).to_numpy()[text].astype(np.int32), text // (WIDTH * SLOTS), text // WIDTH % SLOTS
+        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
+        heads, row = np.flatnonzero(new), np.cumsum(new) - 1
+        # of a slot the first text is the shortest
+        at = np.flatnonzero(new | np.append(True, slot[1:] != slot[:-1]))
+        most, least = (np.zeros((len(heads), SLOTS), np.int32) for _ in range(2))
+        most[row[at], slot[at]], least[row[at], slot[at]] = np.maximum.reduceat(tf, at), dl[at]
+        dense = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, SLOTS, dtype=np.int32)), pa.array(x.reshape(-1)))
+        postings = pa.StructArray.from_arrays([pa.array(slot.astype(np.int8)), rows.column(0).take(pa.array(text)), pa.array(tf), pa.array(dl)], names=["slot", "key", "tf", "dl"])
+        ends = np.append(heads, len(term))
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings)
+        return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(by[term[heads]])), pa.array(number + block[heads]), pa.array(np.diff(ends)), dense(most), dense(least), lists], names=["term", "block", "n", "most_tf", "least_dl", "postings"])
+
+    for b in _cut(batches):
+        if pc.sum(b.column(2).value_lengths()).as_py():
+            yield made(b)
+            number += -(-b.num_rows // (WIDTH * SLOTS))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a list at the end, in whole blocks' texts and of about ``BATCH`` elements, but the last ones."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        for lo in range(0, b.num_rows, WIDTH * SLOTS):
+            part = b.slice(lo, WIDTH * SLOTS)
+            held.append(part)
+            n += part.num_rows
+            size += pc.sum(part.column(2).value_lengths()).as_py() or 0
+            if size >= BATCH:
+                rows = pa.concat_batches(held)
+                whole = n - n % (WIDTH * SLOTS) or n
+                yield rows.slice(0, whole)
+                held, n = [rows.slice(whole)] if whole < n else [], n - whole
+                size = sum(pc.sum(x.column(2).value_lengths()).as_py() or 0 for x in held)
+    if held:
+        yield pa.concat_batches(held)

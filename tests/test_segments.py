@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessella.operators import retrieval
 from tessella.operators.segments import Segments
 
@@ -70,3 +72,22 @@ def test_empty_index(spark, tmp_path):
     assert index.search(questions).collect() == [] and index.state() == (0, 1.0)
     index.upsert(spark.createDataFrame([], "doc_id long, text string"))
     assert index.search(questions).collect() == [] and index.delete(spark.createDataFrame([(1,)], "doc_id long")) == 1
+
+
+def test_blocks_are_made_where_the_bags_lie(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {i: t or "" for i, t in _texts(rng, range(700)).items()}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
+    bags = {r.doc_id: ({t.term: t.tf for t in r.terms}, r.dl) for r in retrieval.counted(docs, "doc_id", "text").collect()}
+    index = Segments(spark, str(tmp_path))
+    index.upsert(docs)
+    rows = index.blocks().withColumn("file", F.input_file_name()).collect()
+    # a block is in one file, whatever its terms
+    assert len({r.block for r in rows}) == len({(r.block, r.file) for r in rows}) >= 700 // 64
+    assert len({(r.term, r.block) for r in rows}) == len(rows)
+    assert sorted((p.key, r.term, p.tf, p.dl) for r in rows for p in r.postings) == sorted((k, t, tf, dl) for k, (terms, dl) in bags.items() for t, tf in terms.items())
+    for r in rows:
+        assert r.n == len(r.postings)
+        for s in range(16):
+            mine = [p for p in r.postings if p.slot == s]
+            assert (r.most_tf[s], r.least_dl[s]) == ((max(p.tf for p in mine), min(p.dl for p in mine)) if mine else (0, 0))
