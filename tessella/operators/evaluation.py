@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -310,7 +312,8 @@ def located(evidence: DataFrame, documents: DataFrame) -> DataFrame:
         got = [(spans.find_loose(t, p) if t is not None and p is not None else None) or (-1, -1) for t, p in zip(texts, parts)]
         return pd.DataFrame(got, columns=["start", "stop"])
 
-    docs = documents.select(F.col("doc_id").alias("d"), F.col("text").alias("body"))
+    # only named documents are moved
+    docs = documents.select(F.col("doc_id").alias("d"), F.col("text").alias("body")).join(evidence.select(F.col("doc_id").alias("d")).distinct(), "d", "left_semi")
     both = evidence.join(docs, F.col("doc_id") == F.col("d"), "left").withColumn("at", F.instr("body", F.col("text")) - 1)
     # only rows without an exact place go to Python
     both = both.withColumn("loose", loose(F.when(F.col("at") < 0, F.col("body")), F.when(F.col("at") < 0, F.col("text"))))
@@ -320,6 +323,50 @@ def located(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return both.select(*evidence.columns, start.alias("start"), stop.alias("stop"), problem.alias("problem"))
 
 
+#: White space of Unicode.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _run_hashes(texts: list[list[str]], g: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash) of each run of g words."""
+    size = np.array([len(w) for w in texts], np.int64)
+    flat = pa.array([x for w in texts for x in w], pa.string()).dictionary_encode()
+    number = pd.util.hash_array(np.array(flat.dictionary.to_pylist(), object), categorize=False)[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(texts)), size)
+    h = np.full(max(len(number) - g + 1, 0), g, np.uint64)
+    for i in range(g):
+        h = (h ^ number[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    whole = text[: len(h)] == text[g - 1 :] if len(h) else np.zeros(0, bool)
+    return text[: len(h)][whole], h[whole].view(np.int64)
+
+
+def _asked_runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(key, b) -> also g, the number of words in a run, and h, the least hash of a run of the whole words of b."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            inner = [_SPACE.split(t)[1:-1] for t in part.column(1).to_pylist()]
+            g = np.array([min(len(w), words) for w in inner], np.int32)
+            least = np.full(len(inner), np.iinfo(np.int64).max)
+            for n in set(g.tolist()) - {0}:
+                mine = np.flatnonzero(g == n)
+                text, h = _run_hashes([inner[i] for i in mine], n)
+                np.minimum.at(least, mine[text], h)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(g), pa.array(least)], names=[part.schema.names[0], "b", "g", "h"])
+
+
+def _said_runs(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """(d, t) -> d and the hash of each different run of words, of these sizes."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):
+            part = b.slice(lo, 64)
+            said = [_SPACE.split(t) for t in part.column(1).to_pylist()]
+            for g in sizes:
+                text, h = _run_hashes(said, g)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(h)], names=["d", "h"])
+
+
 def found_in(passages: DataFrame, docs: DataFrame, key: str = "item_id", text: str = "text", doc_id: str = "doc_id", doc_text: str = "text", words: int = 3) -> DataFrame:
     """key, doc_id, start, length of each passage's first place in each document that holds it word for word.
 
@@ -327,19 +374,14 @@ def found_in(passages: DataFrame, docs: DataFrame, key: str = "item_id", text: s
     of all, if fewer) a passage asks for the one of least hash; documents whose runs meet it are searched. Passages
     without a word inside are compared with every document.
     """
-    asked = passages.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, F.col(text).alias("b"), F.split(text, r"(?U)\s+").alias("w"))
-    asked = asked.select(key, "b", F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(1)))).alias("w")).withColumn("g", F.least(F.coalesce(F.size("w"), F.lit(0)), F.lit(words)))
-
-    def runs(w: Column, g: Column) -> Column:
-        """Hashes of the runs of g words."""
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - g + 1, F.lit(1))), lambda i: F.xxhash64(g, F.array_join(F.slice(w, i, g), " ")))
-
-    rows = asked.where("g > 0").select(key, "b", F.array_min(runs(F.col("w"), F.col("g"))).alias("h"))
+    asked = passages.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, F.col(text).alias("b"))
+    kind = asked.schema[key].dataType.simpleString()
+    # one pass over the passages; the runs of a document are hashed in blocks of a few texts
+    asked = asked.mapInArrow(lambda batches: _asked_runs(batches, words), f"{key} {kind}, b string, g int, h long")
+    rows = asked.where("g > 0").select(key, "b", "h")
     said = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
-    split = said.select("d", F.split("t", r"(?U)\s+").alias("w"))
     sizes = [r.g for r in asked.where("g > 0").select("g").distinct().collect()]  # at most ``words`` of them
-    every = F.flatten(F.array(*[runs(F.col("w"), F.lit(g)) for g in sizes])) if sizes else F.array().cast("array<bigint>")
-    hashed = split.select("d", F.explode(every).alias("h"))
+    hashed = said.mapInArrow(lambda batches: _said_runs(batches, sizes), f"d {said.schema['d'].dataType.simpleString()}, h long")
     met = hashed.join(rows, "h").select("d", key, "b").distinct().join(said, "d")
     short = asked.where("g = 0").select(key, "b").join(said, F.expr("contains(t, b)"))
     at = F.instr(F.col("t"), F.col("b"))

@@ -166,3 +166,20 @@ def test_passages_are_found(spark, words):
     parts = [t[rng.randint(0, 9) : rng.randint(10, 40)] for t in texts[:50] if t] + ["b", "b x", "zz zz zz zz", "", None, " "]
     got = {(r.item_id, r.doc_id): (r.start, r.length) for r in E.found_in(spark.createDataFrame(list(enumerate(parts)), "item_id int, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), words=words).collect()}
     assert got == {(i, j): (t.find(p), len(p)) for i, p in enumerate(parts) if p for j, t in enumerate(texts) if t and p in t}
+
+
+def test_a_gold_set_is_made_once(spark):
+    from tessella import experiments
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(i):
+        made.add(1)
+        return i
+
+    rows = [(i, ["x"] if i % 2 else [], [("d", "One")] if i % 3 else [], i % 4 > 0) for i in range(20)]
+    gold = spark.createDataFrame(rows, "i int, answers array<string>, evidence array<struct<doc:string,text:string>>, answerable boolean").select(counted("i").alias("query_id"), "answers", "evidence", "answerable", F.lit(False).alias("evidence_any"))
+    got = experiments.validated(gold, spark.createDataFrame([("d", "One. One."), ("e", "One")], "doc_id string, text string")).groupBy("problem").count().collect()
+    assert {r.problem: r["count"] for r in got} == {"evidence in d: more than once": 13, "answerable without evidence": 5, "answerable without accepted answers": 5, "unanswerable with evidence": 3}
+    assert made.value == 20
