@@ -220,3 +220,8 @@ def test_spans_stay_flat(spark):
     rows = spark.createDataFrame([(0, "é 𝄞 a-b. It's!"), (1, None), (2, ""), (3, "x")], "i int, x string").select("*", spans.token_spans(F.col("x")).alias("s"))
     slow = F.transform("s", lambda s: F.substring("x", s["start"] + 1, s["stop"] - s["start"]))
     assert rows.select("i", spans.pieces(F.col("x"), F.col("s")).alias("p"), slow.alias("q")).where("NOT (p <=> q)").count() == 0
+
+
+def test_stems_held_are_few_whatever_is_read():
+    kept = [analysis.stem(f"running{i}s") for i in range(100_000)]
+    assert kept[7] == "running7" and analysis.stem.cache_info().currsize <= 2**15
