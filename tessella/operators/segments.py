@@ -6,7 +6,8 @@ without analysing a text again, once the later ones have grown to the first one'
 
 A block is a term's postings in ``SLOTS`` x ``WIDTH`` texts neighbouring in length, with the largest tf and the least length of each ``WIDTH`` of
 them, a slot: a bound of what a text there can score by the term, whatever the mean length. Blocks are made of some thousand bags at a time, where the
-bags lie: postings are not moved, and the bounds of all terms of a block lie in one file. A search adds up the bounds of a question's terms by slot, without
+bags lie: postings are not moved, and the bounds of all terms of a block lie in one file. Postings name a text by its place in the block; a row
+without a term has the block's keys. A search adds up the bounds of a question's terms by slot, without
 a posting; scores the texts of the most promising slots, of which the k-th best is a mark that a result must reach; and then takes the postings
 of only those slots whose bounds reach the mark.
 """
@@ -37,7 +38,7 @@ class Segments:
     def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id", kind: str = "bigint") -> None:
         self.spark, self.folder, self.key, self.kind = spark, folder.rstrip("/"), key, kind
         self.tables = Tables(spark, folder, {"bags": f"{key} {kind}, dl long, {TERMS}"}, key, buckets=0)
-        self._block = f"term string, block long, n long, most_tf array<int>, least_dl array<int>, postings array<struct<slot:tinyint,key:{kind},tf:int,dl:int>>"
+        self._block = f"term string, block long, n long, most_tf array<int>, least_dl array<int>, at array<tinyint>, tf array<int>, dl array<int>, keys array<{kind}>"
 
     # changing
     def _blocks(self, bags: DataFrame) -> str:
@@ -109,12 +110,20 @@ class Segments:
         n = sum(x["n"] for x in notes)
         return n, max(1.0, sum(x["dl"] for x in notes) / n if n else 1.0)
 
-    def blocks(self, asked: DataFrame | None = None) -> DataFrame:
-        """All segments' blocks with their commit's number; asked: only those of its terms."""
+    def _rows(self) -> DataFrame:
         out = self.spark.createDataFrame([], self._block).withColumn(SEQ, F.lit(-1))
         for n, e in self.tables.live().items():
             if e["note"].get("blocks"):
                 out = out.unionByName(self.spark.read.schema(self._block).parquet(f"{self.folder}/{e['note']['blocks']}").withColumn(SEQ, F.lit(n)))
+        return out
+
+    def texts(self) -> DataFrame:
+        """commit, block and keys of its texts by their places, of all blocks."""
+        return self._rows().where("term IS NULL").select(SEQ, "block", "keys")
+
+    def blocks(self, asked: DataFrame | None = None) -> DataFrame:
+        """All segments' blocks with their commit's number; asked: only those of its terms."""
+        out = self._rows().drop("keys").where("term IS NOT NULL")
         if asked is None:
             return out
         terms = asked.select("term").distinct()
@@ -146,8 +155,8 @@ class Segments:
         weighed = asked.join(df, "term").select("query_id", "term", "df", idf(F.lit(n), F.col("df")).alias("idf"))
         return blocks, written(weighed, temporary(self.spark, "weighed"))
 
-    def _kept(self, questions: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Blocks, weighed terms, and query_id, commit, block and slots of all texts that can be among the k best."""
+    def _kept(self, questions: DataFrame, k: int, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Blocks, weighed terms, query_id, commit, block and slots of all texts that can be among the k best, and query_id with the mark that these reach."""
         avgdl = self.state()[1]
         blocks, weighed = self._weighed(questions)
 
@@ -162,31 +171,39 @@ class Segments:
         best = sums.select("query_id", SEQ, "block", F.explode(F.slice(F.sort_array(named, asc=False), 1, 4)).alias("s")).select("query_id", SEQ, "block", "s.*")
         best = best.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), SEQ, "block", "slot"))).where(F.col("nth") <= 4 * k)
         best = written(best.groupBy("query_id", SEQ, "block").agg(F.collect_set("slot").alias("slots")), temporary(self.spark, "best"))
-        first = self._scores(blocks, weighed, best, k1, b)
+        first = self._named(self._scores(blocks, weighed, best, k1, b))
         marks = first.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("nth") == k).select("query_id", F.col("score").alias("mark"))
-        met = sums.join(written(marks, temporary(self.spark, "marks")), "query_id", "left")
+        marks = written(marks, temporary(self.spark, "marks"))
+        met = sums.join(marks, "query_id", "left")
         can = F.filter(F.transform("bounds", lambda x, i: F.when((x > 0) & (x >= F.coalesce("mark", F.lit(0.0)) - 1e-9), i)), lambda i: i.isNotNull())
-        return blocks, weighed, met.select("query_id", SEQ, "block", can.alias("slots")).where(F.size("slots") > 0)
+        return blocks, weighed, met.select("query_id", SEQ, "block", can.alias("slots")).where(F.size("slots") > 0), marks
 
     def _postings(self, blocks: DataFrame, weighed: DataFrame, kept: DataFrame, weight: str = "idf") -> DataFrame:
-        """query_id, idf or df, commit, key, tf, dl of the postings in the slots kept."""
-        held = blocks.select("term", SEQ, "block", "postings").join(weighed.select("query_id", "term", weight), "term").drop("term").join(kept, ["query_id", SEQ, "block"])
-        some = F.filter("postings", lambda p: F.array_contains("slots", p["slot"].cast("int")))
-        return held.select("query_id", weight, SEQ, F.explode(some).alias("p")).select("query_id", weight, SEQ, "p.key", "p.tf", "p.dl")
+        """query_id, idf or df, commit, block, at, tf, dl of the postings in the slots kept."""
+        held = blocks.select("term", SEQ, "block", "at", "tf", "dl").join(weighed.select("query_id", "term", weight), "term").drop("term").join(kept, ["query_id", SEQ, "block"])
+        some = F.filter(F.arrays_zip("at", "tf", "dl"), lambda p: F.array_contains("slots", F.shiftright(p["at"].cast("int"), WIDTH.bit_length() - 1)))
+        return held.select("query_id", weight, SEQ, "block", F.explode(some).alias("p")).select("query_id", weight, SEQ, "block", "p.*")
 
     def _scores(self, blocks: DataFrame, weighed: DataFrame, kept: DataFrame, k1: float, b: float) -> DataFrame:
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / self.state()[1]))
-        return self._alive(self._postings(blocks, weighed, kept)).groupBy("query_id", "key").agg(F.sum(part).alias("score"))
+        return self._postings(blocks, weighed, kept).groupBy("query_id", SEQ, "block", "at").agg(F.sum(part).alias("score"))
+
+    def _named(self, scores: DataFrame) -> DataFrame:
+        """query_id, key, score of the texts that count."""
+        keyed = scores.join(self.texts(), [SEQ, "block"]).select("query_id", SEQ, F.get("keys", F.col("at").cast("int")).alias("key"), "score")
+        return self._alive(keyed).select("query_id", "key", "score")
 
     def search(self, questions: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """query_id, key, score, rank of the k best texts that share a term with each question (query_id, question): the same as over all postings."""
-        scored = self._scores(*self._kept(questions, k, k1, b), k1, b)
+        *read, marks = self._kept(questions, k, k1, b)
+        reached = self._scores(*read, k1, b).join(marks, "query_id", "left").where(F.col("score") >= F.coalesce("mark", F.lit(0.0)) - 1e-9).drop("mark")
+        scored = self._named(reached)
         return top(scored.withColumnRenamed("key", self.key), k, "query_id", [F.desc(F.round("score", 9)), F.asc(self.key)])
 
     def read_shares(self, questions: DataFrame, k: int = 10, frequent: float = 0.1, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """One row: postings of the asked terms and of the frequent ones among them (in over ``frequent`` of the texts), and how many of each a search takes for its last pass."""
         often = F.col("df") > frequent * self.state()[0]
-        blocks, weighed, kept = self._kept(questions, k, k1, b)
+        blocks, weighed, kept, _ = self._kept(questions, k, k1, b)
         every = weighed.agg(F.sum("df").alias("every"), F.sum(F.when(often, F.col("df")).otherwise(0)).alias("every_frequent"))
         return every.crossJoin(self._postings(blocks, weighed, kept, "df").agg(F.count("*").alias("got"), F.count(F.when(often, 1)).alias("got_frequent")))
 
@@ -199,10 +216,15 @@ class Segments:
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, dl, terms) -> blocks, in order of term for every ``BATCH`` postings or so. Their numbers are those of the task and a count."""
-    number = TaskContext.get().partitionId() << 40
+    number, names = TaskContext.get().partitionId() << 40, ["term", "block", "n", "most_tf", "least_dl", "at", "tf", "dl", "keys"]
+
+    def named(rows: pa.RecordBatch) -> pa.RecordBatch:
+        ends = np.append(np.arange(0, rows.num_rows, WIDTH * SLOTS), rows.num_rows).astype(np.int32)
+        n = len(ends) - 1
+        none = [pa.nulls(n, t) for t in (pa.string(), *[pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int8(), pa.int32(), pa.int32())])]
+        return pa.RecordBatch.from_arrays([none[0], pa.array(number + np.arange(n)), pa.array(np.diff(ends).astype(np.int64)), *none[1:], pa.ListArray.from_arrays(pa.array(ends), rows.column(0))], names=names)
 
     def made(rows: pa.RecordBatch) -> pa.RecordBatch:
-        rows = rows.take(pc.sort_indices(rows.column(1)))
         flat = rows.column(2).flatten()
         text = np.repeat(np.arange(rows.num_rows), rows.column(2).value_lengths().to_numpy())
         words = flat.field(0).dictionary_encode()
@@ -221,13 +243,15 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most, least = (np.zeros((len(heads), SLOTS), np.int32) for _ in range(2))
         most[row[at], slot[at]], least[row[at], slot[at]] = np.maximum.reduceat(tf, at), dl[at]
         dense = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, SLOTS, dtype=np.int32)), pa.array(x.reshape(-1)))
-        postings = pa.StructArray.from_arrays([pa.array(slot.astype(np.int8)), rows.column(0).take(pa.array(text)), pa.array(tf), pa.array(dl)], names=["slot", "key", "tf", "dl"])
         ends = np.append(heads, len(term))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings)
-        return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(by[term[heads]])), pa.array(number + block[heads]), pa.array(np.diff(ends)), dense(most), dense(least), lists], names=["term", "block", "n", "most_tf", "least_dl", "postings"])
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in ((text % (WIDTH * SLOTS)).astype(np.int8), tf, dl)]
+        none = pa.nulls(len(heads), pa.list_(rows.schema.types[0]))
+        return pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(by[term[heads]])), pa.array(number + block[heads]), pa.array(np.diff(ends)), dense(most), dense(least), *lists, none], names=names)
 
     for b in _cut(batches):
         if pc.sum(b.column(2).value_lengths()).as_py():
+            b = b.take(pc.sort_indices(b.column(1)))
+            yield named(b)
             yield made(b)
             number += -(-b.num_rows // (WIDTH * SLOTS))
 

@@ -85,9 +85,11 @@ def test_blocks_are_made_where_the_bags_lie(spark, tmp_path):
     # a block is in one file, whatever its terms
     assert len({r.block for r in rows}) == len({(r.block, r.file) for r in rows}) >= 700 // 64
     assert len({(r.term, r.block) for r in rows}) == len(rows)
-    assert sorted((p.key, r.term, p.tf, p.dl) for r in rows for p in r.postings) == sorted((k, t, tf, dl) for k, (terms, dl) in bags.items() for t, tf in terms.items())
+    keys = {r.block: r["keys"] for r in index.texts().collect()}
+    assert sorted(k for ks in keys.values() for k in ks) == sorted(texts)
+    assert sorted((keys[r.block][a], r.term, tf, dl) for r in rows for a, tf, dl in zip(r.at, r.tf, r.dl)) == sorted((k, t, tf, dl) for k, (terms, dl) in bags.items() for t, tf in terms.items())
     for r in rows:
-        assert r.n == len(r.postings)
+        assert r.n == len(r.at) == len(r.tf)
         for s in range(16):
-            mine = [p for p in r.postings if p.slot == s]
-            assert (r.most_tf[s], r.least_dl[s]) == ((max(p.tf for p in mine), min(p.dl for p in mine)) if mine else (0, 0))
+            mine = [i for i, a in enumerate(r.at) if a // 4 == s]
+            assert (r.most_tf[s], r.least_dl[s]) == ((max(r.tf[i] for i in mine), min(r.dl[i] for i in mine)) if mine else (0, 0))
